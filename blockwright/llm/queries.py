@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwright.llm import ngram_quality
+from blockwright.llm import bpe, ngram_quality, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_harmonic_packing": packing.op6,
+        "op8_byte_bpe": bpe.op8,
         "op9_ngram_quality": ngram_quality.op9,
     }
 
