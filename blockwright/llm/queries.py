@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwright.llm import bpe, ngram_quality, packing
+from blockwright.llm import bpe, fingerprint, ngram_quality, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_order_minhash": fingerprint.op2,
         "op6_harmonic_packing": packing.op6,
         "op8_byte_bpe": bpe.op8,
         "op9_ngram_quality": ngram_quality.op9,

@@ -156,6 +156,22 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return idx[new], inverse
 
 
+def refine(idx: np.ndarray, lead: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """``idx`` in exact order: within equal ``lead`` (ascending, cut short) by ``full``, then by index."""
+    equal = lead[1:] == lead[:-1]
+    wrong = equal & (full[idx[1:]] != full[idx[:-1]])
+    if not wrong.any():
+        return idx
+    run = np.zeros(len(idx), np.int64)
+    np.cumsum(~equal, out=run[1:])
+    bad = np.zeros(int(run[-1]) + 1, bool)
+    bad[run[1:][wrong]] = True
+    sel = np.flatnonzero(bad[run])
+    sub = idx[sel]
+    idx[sel] = sub[np.lexsort((sub, full[sub], run[sel]))]
+    return idx
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... (length of them) of each range, one after the other."""
     total = int(lengths.sum())
