@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwright.llm import bpe, fingerprint, ngram_quality, packing
+from blockwright.llm import bpe, fingerprint, langid, line_crf, ngram_quality, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_order_minhash": fingerprint.op2,
+        "op3_line_crf": line_crf.op3,
+        "op4_kneser_ney_toxicity": toxicity.op4,
         "op6_harmonic_packing": packing.op6,
+        "op7_byte_cnn_language": langid.op7,
         "op8_byte_bpe": bpe.op8,
         "op9_ngram_quality": ngram_quality.op9,
     }
