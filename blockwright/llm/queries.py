@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwright.llm import bpe, fingerprint, langid, line_crf, ngram_quality, packing, toxicity
+from blockwright.llm import bpe, fingerprint, langid, line_crf, ngram_quality, packing, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_order_minhash": fingerprint.op2,
         "op3_line_crf": line_crf.op3,
         "op4_kneser_ney_toxicity": toxicity.op4,
+        "op5_two_stage_suffix_array": suffix_dedup.op5,
         "op6_harmonic_packing": packing.op6,
         "op7_byte_cnn_language": langid.op7,
         "op8_byte_bpe": bpe.op8,
         "op9_ngram_quality": ngram_quality.op9,
+        "op10_prefix_suffix_tree": substring_dedup.op10,
     }
 
 
