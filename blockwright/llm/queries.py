@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwright.llm import bpe, fingerprint, langid, line_crf, ngram_quality, packing, substring_dedup, suffix_dedup, toxicity
+from blockwright.llm import bpe, fingerprint, jaccard_join, langid, line_crf, ngram_quality, packing, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_trie_jaccard_join": jaccard_join.op1,
         "op2_order_minhash": fingerprint.op2,
         "op3_line_crf": line_crf.op3,
         "op4_kneser_ney_toxicity": toxicity.op4,
