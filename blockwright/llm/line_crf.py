@@ -215,6 +215,19 @@ def classify(docs: DataFrame, field: LineField, text: str = "text", key: str = "
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, field: LineField, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, with all columns; no exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for lo, hi, buf, off in tx.byte_chunks(batch, text, CHUNK):
+                good[lo:hi] = field.quality(buf, off) >= least
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.crc32(key.cast("string").cast("binary")) % n

@@ -4,7 +4,8 @@ DataFrame functions only. Two passes over the texts:
 
 1. every word and every pair of neighbouring words is hashed into ``BUCKETS`` buckets; their counts in
    the raw corpus (all documents) and in the trusted target (documents whose label says quality 1)
-   give two smoothed multinomials;
+   give two multinomials, smoothed so that a bucket's ratio is that of the target's count to the
+   count that its share of the corpus lets expect, both with a pseudo-count;
 2. each document scores the mean of log(target / raw) over its n-grams, and is kept if the base rules
    hold and the score reaches ``THRESHOLD``.
 
@@ -23,10 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
-#: Smoothing mass of a bucket.
-ALPHA = 1.0
+#: Pseudo-count of a bucket, of the target and of what the corpus lets expect: rare n-grams say little.
+PSEUDO = 20.0
 #: Least mean log ratio of a kept document.
-THRESHOLD = -0.15
+THRESHOLD = -0.1
 MIN_WORDS = 50
 #: Largest share, in hundredths, of words in repeated 3-word windows.
 MAX_REPEAT = 50
@@ -121,33 +122,45 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, text: str = "text", key: st
     half = F.col("bucket") >= BUCKETS
     totals = {r["h"]: (r["raw"], r["target"]) for r in counts.groupBy(half.alias("h")).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()}
 
-    def share(c: str, i: int) -> Column:
-        t = F.when(half, F.lit(float(totals.get(True, (0, 0))[i]))).otherwise(F.lit(float(totals.get(False, (0, 0))[i])))
-        return F.log((F.col(c) + F.lit(ALPHA)) / (t + F.lit(ALPHA * BUCKETS)))
+    def total(i: int) -> Column:
+        return F.when(half, F.lit(float(totals.get(True, (0, 0))[i]))).otherwise(F.lit(float(totals.get(False, (0, 0))[i])))
 
     if not any(t for _, t in totals.values()):
         return counts.select("bucket", F.lit(0.0).alias("llr"))
-    return counts.select("bucket", (share("target", 1) - share("raw", 0)).alias("llr"))
+    expected = F.col("raw") * total(1) / F.greatest(total(0), F.lit(1.0))
+    return counts.select("bucket", F.log((F.col("target") + F.lit(PSEUDO)) / (expected + F.lit(PSEUDO))).alias("llr"))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: key, base columns, base_failed, score (mean log ratio), kept."""
-    ratios = F.broadcast(ratio_table(docs, trusted, text, key))  # at most 2 * BUCKETS rows
+def _verdicts(docs: DataFrame, ratios: DataFrame, text: str, carry: list[str], threshold: float) -> DataFrame:
+    """``carry``, the base columns, base_failed, score and kept of every row."""
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    base = base_columns(docs.select(F.col(key).alias(key), F.col(text).alias("_t")), "_t").drop("_t")
+    base = base_columns(docs.select(*carry, F.col(text).alias("_t")), "_t").drop("_t")
     base = base.withColumn("_row", F.monotonically_increasing_id())
     # an empty array still gives a row, so that documents without words stay
     base = base.withColumn("_w", F.when(F.size("_w") == 0, F.array(F.lit(None).cast("string"))).otherwise(F.col("_w")))
-    g = _ngrams(base, ["_row", key, *cols])
+    g = _ngrams(base, ["_row", *carry, *cols])
     g = g.join(ratios.select(F.col("bucket").alias("_u"), F.col("llr").alias("_lu")), "_u", "left")
     g = g.join(ratios.select(F.col("bucket").alias("_b"), F.col("llr").alias("_lb")), "_b", "left")
     s = g.groupBy("_row").agg(
-        F.first(key).alias(key),
-        *[F.first(c).alias(c) for c in cols],
+        *[F.first(c).alias(c) for c in (*carry, *cols)],
         F.sum(F.coalesce("_lu", F.lit(0.0)) + F.coalesce("_lb", F.lit(0.0))).alias("_sum"),
     )
     score = F.col("_sum") / F.greatest(2 * F.col("n_words") - 1, F.lit(1))
-    return s.select(key, *cols, F.round(score, 9).alias("score")).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return s.select(*carry, *cols, F.round(score, 9).alias("score")).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of ``docs``: key, base columns, base_failed, score (mean log ratio), kept."""
+    ratios = F.broadcast(ratio_table(docs, trusted, text, key))  # at most 2 * BUCKETS rows
+    return _verdicts(docs, ratios, text, [key], threshold)
+
+
+def keep(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all columns. Rows are told apart by key and text."""
+    ratios = F.broadcast(ratio_table(docs, trusted, text, key))
+    named = docs.withColumn("_id", F.xxhash64(key, text))
+    good = _verdicts(named, ratios, text, ["_id"], threshold).where("kept").select("_id").distinct()
+    return named.join(good.hint("shuffle_hash"), "_id", "left_semi").drop("_id")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -353,9 +353,11 @@ def covered(search: Search, sums: np.ndarray, first: np.ndarray, doc: np.ndarray
     return np.cumsum(step[:-1]) > 0
 
 
-def find(docs: DataFrame, search: Search, kernel: Callable) -> DataFrame:
+def find(docs: DataFrame, search: Search, kernel: Callable, rows: DataFrame | None = None) -> DataFrame:
     """Rows of ``docs`` (key, text; key a long without nulls) with ``marks``: packed parts of each, for ``covered``.
 
+    ``rows``: the same rows with more columns, if these are to be returned, too.
+
     The kernel gets (search, symbols of each part, windows of each part, keys) and says for each window whether it is
     marked.
     """
@@ -372,11 +374,13 @@ def find(docs: DataFrame, search: Search, kernel: Callable) -> DataFrame:
     texts = docs.join(asked.hint("shuffle_hash"), "key").select("key", "text", "items").mapInArrow(run(_texts), SENT)
     found = texts.repartition(buckets, "to").sortWithinPartitions("kind", "to", "doc").mapInArrow(run(_groups, kernel), SENT)
     marks = found.groupBy(F.col("doc").alias("key")).agg(F.collect_list("payload").alias("marks"))
-    return docs.join(marks.hint("shuffle_hash"), "key", "left").select("key", "text", "marks")
+    rows = docs if rows is None else rows
+    more = [c for c in rows.columns if c not in ("key", "text")]
+    return rows.join(marks.hint("shuffle_hash"), "key", "left").select("key", "text", "marks", *more)
 
 
 def apply_marks(found: DataFrame, search: Search, finish: Callable, schema: T.StructType) -> DataFrame:
-    """``finish`` gets (keys, texts as bytes and offsets, symbols' starts and ends, first, covered) of each chunk."""
+    """``finish`` gets (keys, texts as bytes, their offsets, first symbol of each, covered symbols, rows) of each chunk."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +393,7 @@ def apply_marks(found: DataFrame, search: Search, finish: Callable, schema: T.St
                 rec = [np.frombuffer(b"".join(x or ()), REC) for x in marks[lo:hi]]
                 doc = np.repeat(np.arange(hi - lo), [len(r) for r in rec])
                 gone = covered(search, sums, first, doc, np.concatenate([np.zeros(0, REC), *rec]))
-                rows = list(finish(keys[lo:hi], buf, off, first, gone))
+                rows = list(finish(keys[lo:hi], buf, off, first, gone, batch.slice(lo, hi - lo)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     return found.mapInArrow(run, schema)

@@ -16,7 +16,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockwright.llm import repeats as rp
@@ -128,19 +130,34 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """key, n_words, n_removed, kept (the remaining words joined by one space) of every row."""
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
-    def finish(keys: list, buf: np.ndarray, off: np.ndarray, first: np.ndarray, gone: np.ndarray) -> Iterator[tuple]:
+    def finish(keys: list, buf: np.ndarray, off: np.ndarray, first: np.ndarray, gone: np.ndarray, _: object) -> Iterator[tuple]:
         for k, (n, r, t) in zip(keys, _kept(buf, off, first, gone), strict=True):
             yield k, n, r, t.decode()
 
     return rp.apply_marks(marked(docs, text, key), SEARCH, finish, schema)
 
 
+def rewrite(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` with all columns. A text that loses words becomes the others joined by one space, with its new length."""
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(rp.NO_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
+    found = rp.find(rows.select("key", "text"), SEARCH, kernel, rows)
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("new", T.StringType())])
+
+    def finish(keys: list, buf: np.ndarray, off: np.ndarray, first: np.ndarray, gone: np.ndarray, batch: pa.RecordBatch) -> Iterator[tuple]:
+        for row, (_, r, t) in zip(batch.column(3).to_pylist(), _kept(buf, off, first, gone), strict=True):
+            yield row, t.decode() if r else None
+
+    out = rp.apply_marks(found, SEARCH, finish, schema)
+    new = {text: F.coalesce("new", f"row.{text}"), n_chars: F.when(F.col("new").isNull(), F.col(f"row.{n_chars}")).otherwise(F.char_length("new").cast("long"))}
+    return out.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: digests of what stays of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_words", "n_removed")] + [T.StructField("kept_sha256", T.StringType())])
 
-    def finish(keys: list, buf: np.ndarray, off: np.ndarray, first: np.ndarray, gone: np.ndarray) -> Iterator[tuple]:
+    def finish(keys: list, buf: np.ndarray, off: np.ndarray, first: np.ndarray, gone: np.ndarray, _: object) -> Iterator[tuple]:
         for k, (n, r, t) in zip(keys, _kept(buf, off, first, gone), strict=True):
             yield k, n, r, hashlib.sha256(t).hexdigest()
 

@@ -114,7 +114,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
 
-    def finish(keys: list, buf: np.ndarray, off: np.ndarray, first: np.ndarray, gone: np.ndarray) -> Iterator[tuple]:
+    def finish(keys: list, buf: np.ndarray, off: np.ndarray, first: np.ndarray, gone: np.ndarray, _: object) -> Iterator[tuple]:
         for i, k in enumerate(keys):
             g = gone[off[i] : off[i + 1]]
             edge = np.flatnonzero(np.diff(np.r_[False, g, False].astype(np.int8)))
@@ -128,7 +128,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
 
-    def finish(keys: list, buf: np.ndarray, off: np.ndarray, first: np.ndarray, gone: np.ndarray) -> Iterator[tuple]:
+    def finish(keys: list, buf: np.ndarray, off: np.ndarray, first: np.ndarray, gone: np.ndarray, _: object) -> Iterator[tuple]:
         for i, k in enumerate(keys):
             g = gone[off[i] : off[i + 1]]
             yield k, len(g), int(g.sum()), _spans(g), hashlib.sha256(buf[off[i] : off[i + 1]][~g].tobytes()).hexdigest()
