@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwright.operators import bytes_stats
+from blockwright.operators import archive, bytes_stats, clips, matching
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (bytes_stats,)
+MODULES = (bytes_stats, archive, clips, matching)
 
 
 def queries() -> dict[str, Query]:

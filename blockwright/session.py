@@ -26,3 +26,15 @@ def get_session(app: str = "blockwright", master: str | None = None, **conf: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a dataset folder; the path may be on any file system that Spark reads."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: what the session names, or (in tests) a new temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="blockwright-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
