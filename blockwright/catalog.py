@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwright.operators import archive, bytes_stats, clips, matching
+from blockwright.operators import archive, bytes_stats, clips, images, matching
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (bytes_stats, archive, clips, matching)
+MODULES = (bytes_stats, archive, clips, matching, images)
 
 
 def queries() -> dict[str, Query]:

@@ -94,12 +94,14 @@ SELECT c_custkey, measured, round(coalesce((SELECT max_by(rate, i) FROM r WHERE
 
 
 def rolling_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of the last 240 values of each user."""
+    """Mean of the last 240 values of each user, in hundredths, rounded down (exact integers, so that no order matters)."""
     w = Window.partitionBy("clip").orderBy("frame_no").rowsBetween(-239, 0)
-    return _frames(spark, sf_dir).select("clip", "frame_no", F.round(F.avg("value").over(w), 3).alias("mean"))
+    cents = F.round(F.col("value") * 100).cast("long")
+    return _frames(spark, sf_dir).select("clip", "frame_no", F.floor(F.sum(cents).over(w) / F.count("value").over(w)).alias("mean"))
 
 
-ROLLING_AVERAGE = f"WITH {_FRAMES} SELECT clip, frame_no, round(avg(value) OVER (PARTITION BY clip ORDER BY frame_no ROWS 239 PRECEDING), 3) AS mean FROM f"
+ROLLING_AVERAGE = f"""WITH {_FRAMES} SELECT clip, frame_no, CAST(floor(sum(CAST(round(value * 100) AS BIGINT)) OVER w / count(value) OVER w) AS BIGINT) AS mean
+FROM f WINDOW w AS (PARTITION BY clip ORDER BY frame_no ROWS 239 PRECEDING)"""
 
 
 def mv_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
