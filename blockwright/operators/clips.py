@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from blockwright.session import table
 
@@ -21,14 +21,17 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BEFORE = Window.partitionBy("clip").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
+def _so_far() -> WindowSpec:
+    return Window.partitionBy("clip").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
+
+
 _FRAMES = """f AS (SELECT user_id AS clip, event_id AS frame_no, event_type = 'purchase' AS is_key, event_type = 'error' AS bad,
   CAST(octet_length(encode(props)) AS BIGINT) AS size, ts, value FROM events)"""
 
 
 def keyframe_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last keyframe at or before each frame of its clip; null before the first."""
-    key = F.last(F.when(F.col("is_key"), F.col("frame_no")), ignorenulls=True).over(_BEFORE)
+    key = F.last(F.when(F.col("is_key"), F.col("frame_no")), ignorenulls=True).over(_so_far())
     return _frames(spark, sf_dir).select("clip", "frame_no", key.alias("keyframe"))
 
 
@@ -38,7 +41,7 @@ FROM f ASOF LEFT JOIN (SELECT clip, frame_no FROM f WHERE is_key) k ON f.clip =
 
 def gop_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames and bytes of each group: a keyframe and what follows up to the next."""
-    gop = F.sum(F.col("is_key").cast("long")).over(_BEFORE)
+    gop = F.sum(F.col("is_key").cast("long")).over(_so_far())
     return _frames(spark, sf_dir).select("clip", gop.alias("gop"), "size").groupBy("clip", "gop").agg(F.count("*").alias("frames"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
 
 
@@ -59,8 +62,8 @@ SELECT *, round(frames / 30.0::DOUBLE, 6) AS seconds, round(bytes * 8 / 1000::DO
 
 def packet_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each packet decodes: it is whole and a keyframe came after the last corrupt packet."""
-    key = F.max(F.when(F.col("is_key"), F.col("frame_no"))).over(_BEFORE)
-    bad = F.max(F.when(F.col("bad"), F.col("frame_no"))).over(_BEFORE)
+    key = F.max(F.when(F.col("is_key"), F.col("frame_no"))).over(_so_far())
+    bad = F.max(F.when(F.col("bad"), F.col("frame_no"))).over(_so_far())
     return _frames(spark, sf_dir).select("clip", "frame_no", F.coalesce(key > F.coalesce(bad, F.lit(-1)), F.lit(False)).alias("decodes"))
 
 
