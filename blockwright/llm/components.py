@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockwright.session import shared_folder
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) of every id in ``edges`` (a, b): the smallest id reachable.
@@ -13,6 +15,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     are reached in a logarithmic number of rounds. Smallest neighbours are aggregated before they are shuffled and no
     neighbourhood is ever gathered in one task. Each round is cut off by a checkpoint.
     """
+    shared_folder(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     last = None

@@ -35,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockwright.llm import text as tx
 from blockwright.llm.components import components
+from blockwright.session import shared_folder
 
 SHINGLE = 5
 NUM, DEN = 75, 100
@@ -439,6 +440,7 @@ def shingle_info(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, set_id (0: empty set), component_id (smallest key reachable by links) of every row."""
     d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    shared_folder(docs.sparkSession)
     info = shingle_info(d).checkpoint()
     sets = repeated_sets(d).groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).checkpoint()
     order = global_order(sets)

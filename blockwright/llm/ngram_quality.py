@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockwright.session import shared_folder
+
 BUCKETS = 1 << 16
 #: Pseudo-count of a bucket, of the target and of what the corpus lets expect: rare n-grams say little.
 PSEUDO = 20.0
@@ -109,6 +111,7 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, text: str = "text", key: st
 
     ``trusted``: a column ``key`` with the documents of the target; repeats and nulls in it do nothing.
     """
+    shared_folder(docs.sparkSession)
     good = trusted.select(F.col(key).alias("_good")).where("_good is not null").distinct()
     both = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(good.hint("shuffle_hash"), F.col("_k") == F.col("_good"), "left")
     n = _ngrams(both.select(words(F.coalesce("_t", F.lit(""))).alias("_w"), F.col("_good").isNotNull().cast("long").alias("_in")), ["_in"])

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockwright.llm import text as tx
+from blockwright.session import shared_folder
 
 DISCOUNT = 5.0
 MIN_Z = 4.5
@@ -194,6 +195,7 @@ def fit_counts(docs: DataFrame, labels: DataFrame, text: str, key: str, toxic: s
     size = {r["c"]: r["n"] for r in y.groupBy((F.col(toxic) > 0).alias("c")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(True, 0), size.get(False, 0)
     labelled = docs.select(key, text).join(y.hint("shuffle_hash"), key)
+    shared_folder(docs.sparkSession)
     found = count_classes(labelled, text, toxic, n1, n0).checkpoint()
     sums = {r["key"]: r for r in found.where("kind = 0").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("t", "o", "cont", "ts", "os")]).collect()}
     kept = found.where("kind > 0").orderBy(F.abs("z").desc(), "key").limit(MODEL).collect()

@@ -7,7 +7,6 @@ the rules and treated as one key by the others.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from blockwright.llm import jaccard_join, line_crf, ngram_quality, packing, substring_dedup
 from blockwright.llm import repeats as rp
+from blockwright.session import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least classifier score of a kept document.
@@ -71,10 +71,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is written to the shared checkpoint folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = os.path.join(folder, f"corpus-{uuid.uuid4().hex}")
+    base = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
