@@ -101,6 +101,113 @@ def decode_colour(data: bytes, w: int, h: int) -> np.ndarray:
     return np.stack([image_of(px[:, :, k], w, h) for k in range(4)], 2).astype(np.uint8)
 
 
+def _palette(ends: np.ndarray) -> np.ndarray:
+    """(blocks, 4, 3) colours between two 565 ends."""
+    r, g, c = ends >> 11, ends >> 5 & 63, ends & 31
+    rgb = np.stack([r << 3 | r >> 2, g << 2 | g >> 4, c << 3 | c >> 2], 2)
+    x, y = rgb[:, 0], rgb[:, 1]
+    return np.stack([x, y, (2 * x + y + 1) // 3, (x + 2 * y + 1) // 3], 1)
+
+
+def _to_565(c: np.ndarray) -> np.ndarray:
+    q = np.rint(np.clip(c, 0, 255) * np.array([31, 63, 31]) / 255).astype(np.int64)
+    return q[..., 0] << 11 | q[..., 1] << 5 | q[..., 2]
+
+
+def encode_colour(image: np.ndarray, rounds: int = 3) -> bytes:
+    """565 colour blocks (always four colours) of an (h, w, 3) image.
+
+    The ends start at the extremes of each block along its main axis (power iteration on the covariance) and are fitted
+    again to the chosen levels by least squares while that helps. All blocks go through each step together.
+    """
+    px = np.stack([blocks_of(image[:, :, k].astype(np.float64)) for k in range(3)], 2)
+    mean = px.mean(1, keepdims=True)
+    d = px - mean
+    cov = np.einsum("bpi,bpj->bij", d, d)
+    axis = np.ones((len(px), 3)) + cov.sum(2) * 1e-3
+    for _ in range(8):
+        axis = np.einsum("bij,bj->bi", cov, axis)
+        axis /= np.maximum(np.linalg.norm(axis, axis=1, keepdims=True), 1e-12)
+    t = np.einsum("bpi,bi->bp", d, axis)
+    ends = np.stack([mean[:, 0] + axis * t.max(1)[:, None], mean[:, 0] + axis * t.min(1)[:, None]], 1)
+    weight = np.array([1, 0, 2 / 3, 1 / 3])
+    best, best_ends, best_pick = np.full(len(px), np.inf), np.zeros((len(px), 2), np.int64), np.zeros((len(px), 16), np.int64)
+    for _ in range(rounds):
+        e = _to_565(ends)
+        e = np.stack([e.max(1), e.min(1)], 1)
+        flat = e[:, 0] == e[:, 1]  # four colours need a larger first end
+        e[flat & (e[:, 0] < 0xFFFF), 0] += 1
+        e[flat & (e[:, 1] == 0xFFFF), 1] -= 1
+        err = ((px[:, :, None, :] - _palette(e)[:, None]) ** 2).sum(3)
+        pick = err.argmin(2)
+        total = np.take_along_axis(err, pick[:, :, None], 2)[:, :, 0].sum(1)
+        win = total < best
+        best, best_ends[win], best_pick[win] = np.where(win, total, best), e[win], pick[win]
+        a = weight[pick]
+        aa, ab, bb = (a * a).sum(1), (a * (1 - a)).sum(1), ((1 - a) ** 2).sum(1)
+        det = aa * bb - ab * ab
+        ax, bx = np.einsum("bp,bpi->bi", a, px), np.einsum("bp,bpi->bi", 1 - a, px)
+        ok = np.abs(det) > 1e-9
+        safe = np.where(ok, det, 1)[:, None]
+        fit = np.stack([(bb[:, None] * ax - ab[:, None] * bx) / safe, (aa[:, None] * bx - ab[:, None] * ax) / safe], 1)
+        ends = np.where(ok[:, None, None], fit, ends)
+    out = np.zeros((len(px), 8), np.uint8)
+    out[:, 0:4:2], out[:, 1:4:2] = best_ends & 255, best_ends >> 8
+    bits = (best_pick << 2 * np.arange(16)).sum(1)
+    out[:, 4:] = bits[:, None] >> 8 * np.arange(4) & 255
+    return out.tobytes()
+
+
+def encode_colour_alpha(image: np.ndarray) -> bytes:
+    """Blocks of an (h, w, 4) image: alpha as a single channel, then colours."""
+    a = np.frombuffer(encode_channel(image[:, :, 3]), np.uint8).reshape(-1, 8)
+    c = np.frombuffer(encode_colour(image[:, :, :3]), np.uint8).reshape(-1, 8)
+    return np.hstack([a, c]).tobytes()
+
+
+def decode_colour_alpha(data: bytes, w: int, h: int) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8).reshape(-1, 16)
+    out = decode_colour(b[:, 8:].tobytes(), w, h)
+    out[:, :, 3] = decode_channel(b[:, :8].tobytes(), w, h)
+    return out
+
+
+def encode_two(image: np.ndarray) -> bytes:
+    """Blocks of two single channels (normal maps)."""
+    return np.hstack([np.frombuffer(encode_channel(image[:, :, k]), np.uint8).reshape(-1, 8) for k in range(2)]).tobytes()
+
+
+def decode_two(data: bytes, w: int, h: int) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8).reshape(-1, 16)
+    return np.stack([decode_channel(b[:, 8 * k : 8 * k + 8].tobytes(), w, h) for k in range(2)], 2)
+
+
+def mip(image: np.ndarray) -> np.ndarray:
+    """The next smaller level of 8-bit pixels: rounded means of 2 x 2; an odd last row or column is dropped, one stays one."""
+    v = image.astype(np.int64)
+    for axis in (0, 1):
+        n = v.shape[axis]
+        a = np.take(v, range(0, n - 1, 2) if n > 1 else [0], axis)
+        b = np.take(v, range(1, n, 2) if n > 1 else [0], axis)
+        v = a + b
+    return (v + 2 >> 2).astype(np.uint8)
+
+
+#: Fixed values of the format: name of each kind of block in a texture file.
+FOUR_CC = {"BC1": b"DXT1", "BC3": b"DXT5", "BC4": b"ATI1", "BC5": b"ATI2"}
+
+
+def texture_file(levels: list[bytes], w: int, h: int, kind: str) -> bytes:
+    """A DDS file of block data with its mip levels."""
+    import struct
+
+    mips = len(levels) > 1
+    flags = 0x1007 | 0x80000 | (0x20000 if mips else 0)
+    head = struct.pack("<4s7I44x", b"DDS ", 124, flags, h, w, len(levels[0]), 0, len(levels))
+    form = struct.pack("<2I4s5I", 32, 4, FOUR_CC[kind], 0, 0, 0, 0, 0)
+    return head + form + struct.pack("<5I", 0x1000 | (0x400008 if mips else 0), 0, 0, 0, 0) + b"".join(levels)
+
+
 def psnr(a: np.ndarray, b: np.ndarray) -> float:
     """Peak signal to noise ratio of 8-bit values, 99 without an error."""
     se = float(((a.astype(np.int64) - b.astype(np.int64)) ** 2).sum())

@@ -142,6 +142,49 @@ def test_textures():
     assert texture.decode_colour(red, 4, 4)[0, 0].tolist() == [255, 0, 0, 255]
 
 
+def test_colour_blocks():
+    y, x = np.mgrid[0:45, 0:67]
+    img = np.stack([x * 3 % 256, y * 5 % 256, (x + y) * 2 % 256, np.where(x < 30, 255, x * y & 255)], 2).astype(np.uint8)
+    bc1 = texture.decode_colour(texture.encode_colour(img[:, :, :3]), 67, 45)
+    assert (bc1[:, :, 3] == 255).all() and texture.psnr(img[:, :, :3], bc1[:, :, :3]) > 32
+    bc3 = texture.decode_colour_alpha(texture.encode_colour_alpha(img), 67, 45)
+    assert texture.psnr(img[:, :, :3], bc3[:, :, :3]) > 32
+    two = texture.decode_two(texture.encode_two(img), 67, 45)
+    assert texture.psnr(img[:, :, :2], two) > 32
+    one = np.array([[[10, 200, 30, 255]]], np.uint8)
+    assert np.abs(texture.decode_colour(texture.encode_colour(one[:, :, :3]), 1, 1)[0, 0, :3].astype(int) - one[0, 0, :3]).max() <= 4
+    white = np.full((4, 4, 3), 255, np.uint8)
+    assert (texture.decode_colour(texture.encode_colour(white), 4, 4)[:, :, 3] == 255).all()
+
+
+def test_mips_and_texture_files():
+    assert texture.mip(np.full((3, 5), 77, np.uint8)).tolist() == [[77, 77]]
+    assert texture.mip(np.array([[0, 255], [255, 0]], np.uint8)).tolist() == [[128]]
+    assert texture.mip(np.array([[9]], np.uint8)).tolist() == [[9]]
+    f = texture.texture_file([bytes(8), bytes(8)], 4, 4, "BC1")
+    assert len(f) == 128 + 16 and f[:4] == b"DDS " and f[84:88] == b"DXT1"
+
+
+def test_old_entropy_blocks():
+    data = (b"abcd" * 50 + bytes(range(60))) * 3
+    lits, tokens, lens, offs, extra, sizes, at, last = bytearray(), bytearray(), bytearray(), bytearray(), [], [], 0, 0
+    for n, match, off in lz.sequences(data):
+        lits += data[at : at + n]
+        at += n + match
+        if not match:
+            break
+        tokens.append(min(n, 15) << 4 | min(match - 4, 15))
+        lens += lz.extended(n) + lz.extended(match - 4)
+        offs.append(0 if off == last else off.bit_length())
+        if off != last:
+            extra.append(off - (1 << off.bit_length() - 1))
+            sizes.append(off.bit_length() - 1)
+        last = off
+    bits = huffman.write_bits(np.array(extra), np.array(sizes))
+    block = b"".join(len(x).to_bytes(4, "little") for x in (lits, tokens, lens, bits)) + b"".join(bytes([0]) + len(s).to_bytes(4, "little") + s for s in (lits, tokens, lens, offs)) + bits
+    assert entropy.decode(block, len(data)) == data
+
+
 def test_dictionary_training():
     samples = b"".join(b"\xc0\x01" + R.randbytes(30) + b"name_word_of_the_header_that_always_repeats_itself_in_every_message_" for _ in range(400))
     d = dictionary.train(samples, 1024)
