@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwright.operators import archive, bytes_stats, clips, codecs, images, matching
+from blockwright.operators import archive, bytes_stats, clips, codecs, images, matching, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (bytes_stats, archive, clips, matching, images, codecs)
+MODULES = (bytes_stats, archive, clips, matching, images, codecs, scalars)
 
 
 def queries() -> dict[str, Query]:
