@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwright.functions import CorruptData, containers, dictionary, entropy, frame, huffman, lz, texture, turbo, x86
+from blockwright.functions import CorruptData, containers, dictionary, entropy, frame, huffman, lz, texture, turbo, video, x86
 from blockwright.session import table
 
 BLOCK = 16 << 10
@@ -184,6 +184,49 @@ def bc_decode_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, good boolean")
 
 
+def decode_clips(packets: DataFrame, width: int, height: int) -> DataFrame:
+    """(clip, gop, frame_no, y, u, v, error) of (clip, gop, frame_no, packet): each group of pictures by itself, in order.
+
+    A group starts with a keyframe and is bounded by the keyframe interval. Damage drops frames up to its end.
+    """
+    import pandas as pd
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        session, out = video.Session(width, height), []
+        for r in g.sort_values("frame_no").itertuples():
+            try:
+                out.append((r.clip, r.gop, r.frame_no, *(np.ascontiguousarray(p).tobytes() for p in session.decode(bytes(r.packet))), None))
+            except CorruptData as e:
+                out.append((r.clip, r.gop, r.frame_no, None, None, None, str(e)))
+        return pd.DataFrame(out, columns=["clip", "gop", "frame_no", "y", "u", "v", "error"])
+
+    return packets.groupBy("clip", "gop").applyInPandas(run, "clip long, gop long, frame_no long, y binary, u binary, v binary, error string")
+
+
+def video_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as 8 x 8 frames, coded in groups of 16 and decoded: whether the decoder shows what the encoder saw, and how well."""
+    import pandas as pd
+
+    size = 8
+
+    def planes(e: list) -> list[np.ndarray]:
+        v = np.clip(np.floor((np.array(e, np.float64) + 1) * 127.5), 0, 255).astype(np.uint8)[: size * size].reshape(size, size)
+        return [v, np.full((size // 2, size // 2), 128, np.uint8), np.full((size // 2, size // 2), 128, np.uint8)]
+
+    def code(g: pd.DataFrame) -> pd.DataFrame:
+        session, out = video.Session(size, size), []
+        for r in g.sort_values("vec_id").itertuples():
+            packet = session.encode(planes(r.embedding), 95, interval=16, reach=1)
+            out.append((0, r.gop, r.vec_id, packet, session.visible()[0].tobytes()))
+        return pd.DataFrame(out, columns=["clip", "gop", "frame_no", "packet", "seen"])
+
+    e = table(spark, sf_dir, "embeddings").withColumn("gop", F.floor(F.col("vec_id") / 16))
+    coded = e.groupBy("gop").applyInPandas(code, "clip long, gop long, frame_no long, packet binary, seen binary")
+    shown = decode_clips(coded.select("clip", "gop", "frame_no", "packet"), size, size)
+    both = shown.join(coded.select("frame_no", "seen"), "frame_no")
+    return both.select(F.col("frame_no").alias("vec_id"), (F.col("y") == F.col("seen")).alias("same"))
+
+
 def codec_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total coded size of all documents by codec, with ratio."""
     import bz2
@@ -214,5 +257,6 @@ QUERIES = {
     "roundtrip_frame": (roundtrip_frame, SOURCE_DIGEST),
     "roundtrip_archive": (roundtrip_archive, PAGE_DIGEST),
     "bc_decode_psnr": (bc_decode_psnr, "SELECT vec_id, true AS good FROM embeddings"),
+    "video_roundtrip": (video_roundtrip, "SELECT vec_id, true AS same FROM embeddings"),
     "codec_compare": (codec_compare, None),
 }

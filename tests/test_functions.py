@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from blockwright.functions import CorruptData, containers, dictionary, entropy, frame, huffman, lz, texture, turbo, x86
+from blockwright.functions import CorruptData, containers, dictionary, entropy, frame, huffman, lz, texture, turbo, video, x86
 
 R = random.Random(5)
 NOISE = R.randbytes(30_000)
@@ -190,3 +190,56 @@ def test_dictionary_training():
     d = dictionary.train(samples, 1024)
     assert 64 <= len(d) <= 1024 and b"header_that_always" in d
     assert dictionary.train(b"abc", 64) == b"abc"
+
+
+def clip_frame(t, w=72, h=40):
+    y, x = np.mgrid[0:h, 0:w]
+    luma = (np.sin((x + 3 * t) / 9) * 50 + np.cos((y + t) / 7) * 40 + 120).clip(0, 255).astype(np.uint8)
+    luma[10:20, 5 + t * 2 : 15 + t * 2] = 230
+    return [luma, np.full((h // 2, w // 2), 100 + t, np.uint8), np.full((h // 2, w // 2), 140, np.uint8)]
+
+
+@pytest.mark.parametrize(("quality", "least"), [(40, 28), (90, 36)])
+def test_video_decoder_shows_what_the_encoder_saw(quality, least):
+    enc, dec = video.Session(72, 40), video.Session(72, 40)
+    packets = []
+    for t in range(14):
+        packets.append(enc.encode(clip_frame(t), quality, interval=5))
+        shown = dec.decode(packets[-1])
+        assert all((a == b).all() for a, b in zip(shown, enc.visible(), strict=True))
+        assert texture.psnr(clip_frame(t)[0], shown[0]) > least
+    assert [chr(p[2]) for p in packets] == ["I" if t % 5 == 0 else "P" for t in range(14)]
+    fresh = video.Session(72, 40)
+    with pytest.raises(CorruptData):
+        fresh.decode(packets[1])
+    fresh.decode(packets[5])
+    with pytest.raises(CorruptData):
+        fresh.decode(packets[6][:-1])
+    with pytest.raises(CorruptData):
+        fresh.decode(packets[7])
+    fresh.decode(packets[10])
+    for i in range(200):
+        d = bytearray(packets[i % 14])
+        d[R.randrange(len(d))] ^= 1 << R.randrange(8)
+        try:
+            video.Session(72, 40).decode(bytes(d))
+        except CorruptData:
+            pass
+
+
+def test_video_parts():
+    assert video.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(video.ZIGZAG.tolist()) == list(range(64))
+    assert np.allclose(video.BASIS @ video.BASIS.T, np.eye(8))
+    r = np.random.default_rng(1).integers(-200, 200, (50, 8, 8))
+    back = video.inverse(np.rint(video.forward(r)).astype(int), np.ones(64, int))
+    assert np.abs(back - r).max() <= 2
+    levels = np.zeros(64, int)
+    levels[[0, 9, 63]] = 5, -300, 8
+    coded = video.put_levels(levels)
+    assert dict(video.take_levels(coded, 0)[0]) == {0: 5, 9: -300, 63: 8}
+    for d in (0, -127, 127, 128, -128, 255, -300):
+        assert video.take_vector(video.put_vector(d), 0)[0] == d
+    for n in (0, 127, 128, 1 << 20):
+        assert video.take_number(video.put_number(n), 0)[0] == n
+    with pytest.raises(ValueError):
+        video.Session(71, 40)
