@@ -5,9 +5,10 @@ are found; equal sets form one class and count once.
 
 1. Shingle sets: hashed, one per distinct set of a chunk of documents.
 2. Which shingles repeat: a chunk sends each distinct shingle once, as packed runs dealt by hash; a bucket answers which
-   of them other chunks have, too. A shingle with several holders in a chunk needs no answer, so that frequent shingles
-   stay small. A set can only be linked if at least ``num / den`` of it repeats: most sets end here.
-3. Candidates: the global order puts rarer shingles first; linked sets share one of their first shingles (the prefix
+   of them other chunks have, too, and how often they occur. A chunk sends a shingle once even if many of its sets hold
+   it, so that frequent shingles stay small. A set can only be linked if at least ``num / den`` of it repeats: most sets
+   end here.
+3. Candidates: the global order puts rarer shingles first (by the count of step 2, then by hash); linked sets share one of their first shingles (the prefix
    that leaves too little for a link). Sets that share one, and whose sizes allow a link, are chained to candidate
    components; no pairs are made.
 4. Join: the sets of a candidate component (in bounded blocks, if it is large) are stored in a trie in the global order;
@@ -40,10 +41,6 @@ from blockwright.session import shared_folder
 SHINGLE = 5
 NUM, DEN = 75, 100
 CHUNK = 4 << 20
-#: Shingles whose frequency is known exactly in the global order (the most frequent ones).
-FREQUENT = 1 << 16
-#: A shingle is reported as frequent by a task if this share of its sets have it.
-SHARE = 1 / 256
 #: Most sets of a block of a large candidate component.
 BLOCK = 512
 NO_KEY = -(1 << 63)
@@ -112,7 +109,9 @@ SENT = T.StructType([T.StructField("to", T.LongType()), T.StructField("bucket",
 SETS = T.StructType([T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType())])
 POSTING = T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sid", T.LongType())])
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-COUNT = T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType())])
+LINK = T.StructType([*EDGE.fields, T.StructField("part", T.BooleanType())])
+#: A shingle of a set: hash and how often it occurs.
+SHINGLE_OF = np.dtype([("token", "<u8"), ("count", "<u2")])
 
 
 def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
@@ -131,7 +130,7 @@ def needed(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def repeated_sets(docs: DataFrame) -> DataFrame:
-    """(sid, n, tokens): sets of which enough shingles repeat, with the shingles that do (8 bytes each, sorted).
+    """(sid, n, tokens): sets of which enough shingles repeat, with the shingles that do, in the global order.
 
     Equal sets of different chunks appear more than once.
     """
@@ -156,7 +155,7 @@ def repeated_sets(docs: DataFrame) -> DataFrame:
             yield _batch(rows, SENT)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """To each chunk its shingles of a single set that other chunks hold, too."""
+        """To each chunk its shingles that repeat anywhere, with their counts."""
 
         def done(held: list[list[np.ndarray]]) -> pa.RecordBatch | None:
             t = np.concatenate([x[0] for x in held])
@@ -164,13 +163,14 @@ def repeated_sets(docs: DataFrame) -> DataFrame:
             order = np.argsort(t, kind="stable")
             group = np.empty(len(t), np.int64)
             group[order] = np.cumsum(np.r_[True, t[order][1:] != t[order][:-1]]) - 1
-            hit = (np.bincount(group) > 1)[group] & ~many
+            count = np.minimum(np.bincount(group, 1 + many), 65535).astype(np.int64)[group]
+            hit = count > 1
             rows, at = [], 0
             for x in held:
-                h = hit[at : at + len(x[0])]
+                h = np.flatnonzero(hit[at : at + len(x[0])])
+                if len(h):
+                    rows.append((int(x[3][0]), 0, tx.pack(np.diff(x[0][h], prepend=np.uint64(0)), x[1][h], np.packbits(x[2][h]), tx.narrow(count[at + h]))))
                 at += len(x[0])
-                if h.any():
-                    rows.append((int(x[3][0]), 0, tx.pack(np.diff(x[0][h], prepend=np.uint64(0)), x[1][h])))
             return _batch(rows, SENT) if rows else None
 
         now, held = None, []
@@ -193,13 +193,24 @@ def repeated_sets(docs: DataFrame) -> DataFrame:
             yield _batch([(number, -1, tx.pack(sid.view(np.uint64), tx.narrow(size), np.diff(t, prepend=np.uint64(0)), tx.narrow(o)))], SENT)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(sid: np.ndarray, size: np.ndarray, token: list[np.ndarray], owner: list[np.ndarray]) -> pa.RecordBatch | None:
-            t, o = np.concatenate(token), np.concatenate(owner).astype(np.int64)
-            order = np.lexsort((t, o))
-            t, o = t[order], o[order]
+        def done(sid: np.ndarray, size: np.ndarray, inner: np.ndarray, inner_of: np.ndarray, got: list[tuple]) -> pa.RecordBatch | None:
+            if not got:
+                return None
+            t, o, m, c = (np.concatenate([g[i] for g in got]) for i in range(4))
+            # counts of the shingles that several sets of the chunk hold
+            order = np.argsort(t[m], kind="stable")
+            known, counts = t[m][order], c[m][order]
+            inner_count = counts[np.searchsorted(known, inner)] if len(inner) else np.zeros(0, np.int64)
+            t = np.concatenate([t[~m], inner])
+            o = np.concatenate([o[~m], inner_of]).astype(np.int64)
+            c = np.concatenate([c[~m], inner_count])
+            order = np.lexsort((t, c, o))
+            t, o, c = t[order], o[order], c[order]
             edge = np.searchsorted(o, np.arange(len(sid) + 1))
             enough = np.flatnonzero(np.diff(edge) >= needed(size.astype(np.int64)))
-            rows = [(int(sid[i].view(np.int64)), int(size[i]), t[edge[i] : edge[i + 1]].tobytes()) for i in enough.tolist()]
+            both = np.empty(len(t), SHINGLE_OF)
+            both["token"], both["count"] = t, c
+            rows = [(int(sid[i].view(np.int64)), int(size[i]), both[edge[i] : edge[i + 1]].tobytes()) for i in enough.tolist()]
             return _batch(rows, SETS) if rows else None
 
         state = None
@@ -209,10 +220,10 @@ def repeated_sets(docs: DataFrame) -> DataFrame:
                 if bucket < 0:
                     if state and (out := done(*state)) is not None:
                         yield out
-                    state = (got[0], got[1], [np.cumsum(got[2], dtype=np.uint64)], [got[3]])
+                    state = (got[0], got[1], np.cumsum(got[2], dtype=np.uint64), got[3], [])
                 else:
-                    state[2].append(np.cumsum(got[0], dtype=np.uint64))
-                    state[3].append(got[1])
+                    n = len(got[0])
+                    state[4].append((np.cumsum(got[0], dtype=np.uint64), got[1], np.unpackbits(got[2], count=n).astype(bool), got[3].astype(np.int64)))
         if state and (out := done(*state)) is not None:
             yield out
 
@@ -221,37 +232,6 @@ def repeated_sets(docs: DataFrame) -> DataFrame:
     return met.mapInArrow(assemble, SETS)
 
 
-class Order:
-    """The global order of shingles: by known frequency (0 if not frequent), then by hash."""
-
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        order = np.argsort(tokens)
-        self.tokens, self.counts = tokens[order], counts[order]
-
-    def sort(self, t: np.ndarray) -> np.ndarray:
-        """Indices that put shingles into the global order."""
-        count = np.zeros(len(t), np.int64)
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, t), len(self.tokens) - 1)
-            hit = self.tokens[at] == t
-            count[hit] = self.counts[at[hit]]
-        return np.lexsort((t, count))
-
-
-def global_order(sets: DataFrame) -> Order:
-    """Counts the shingles that are frequent in some task's sets; at most FREQUENT of them are kept, the most frequent."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(2).to_pylist()
-            t, n = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_counts=True)
-            often = n >= max(2, SHARE * len(raw))
-            yield _columns([t[often].view(np.int64), n[often]], COUNT)
-
-    top = sets.mapInArrow(count, COUNT).groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    return Order(np.array([r["token"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64))
-
-
 class Forest:
     """Union-find over 0 .. n - 1 with labels at hand for vectorised tests."""
 
@@ -271,24 +251,23 @@ class Forest:
         return True
 
 
-def candidate_edges(sets: DataFrame, order: Order) -> DataFrame:
+def candidate_edges(sets: DataFrame) -> DataFrame:
     """(a, b): sets that share a shingle of their prefixes and whose sizes allow a link, chained."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             token, size, sid = [], [], []
             for s, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                t = np.frombuffer(raw, np.uint64)
+                t = np.frombuffer(raw, SHINGLE_OF)["token"]
                 # shingles that do not repeat come first of all and cannot be shared
-                take = n - needed(n) + 1 - (n - len(t))
-                t = t[order.sort(t)[: max(take, 0)]]
-                token.append(t.view(np.int64))
+                t = t[: max(n - needed(n) + 1 - (n - len(t)), 0)]
+                token.append(t.astype(np.int64))
                 size.append(np.full(len(t), n))
                 sid.append(np.full(len(t), s))
             yield _columns([np.concatenate(token), np.concatenate(size), np.concatenate(sid)], POSTING)
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by shingle and size; neighbours are chained unless this task has connected them already."""
+        """Rows come by shingle and size; neighbours are joined. Each set that has one ends up next to its task's smallest."""
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -299,16 +278,14 @@ def candidate_edges(sets: DataFrame, order: Order) -> DataFrame:
 
         last = (None, 0, 0)
         for b in batches:
-            out = []
             for t, n, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if t == last[0] and s != last[2] and DEN * last[1] >= NUM * n:
                     x, y = find(s), find(last[2])
                     if x != y:
                         root[max(x, y)] = min(x, y)
-                        out.append((s, last[2]))
                 last = (t, n, s)
-            if out:
-                yield _batch(out, EDGE)
+        if root:
+            yield _batch([(x, find(x)) for x in root], EDGE)
 
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sets.mapInArrow(post, POSTING).repartition(parts, "token").sortWithinPartitions("token", "n", "sid").mapInArrow(chain, EDGE)
@@ -374,53 +351,61 @@ class Trie:
             todo += [(k, have) for k in reversed(kids)]
 
 
-def join_block(sids: list[int], sizes: list[int], tokens: list[np.ndarray], order: Order) -> list[tuple[int, int]]:
-    """Links that connect the sets of a block: a forest, which has the components of all links."""
+def join_block(sids: list[int], sizes: list[int], tokens: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(set, smallest set that links reach) of a block, for all sets that have a link."""
     if len(sids) < 2:
         return []
-    every = np.unique(np.concatenate(tokens))
+    whole = np.concatenate(tokens)
+    every, first = np.unique(whole["token"], return_index=True)
     rank = np.empty(len(every), np.int64)
-    rank[order.sort(every)] = np.arange(len(every))
-    trie = Trie([np.sort(rank[np.searchsorted(every, t)]) for t in tokens], sizes)
-    forest, out = Forest(len(sids)), []
+    rank[np.lexsort((every, whole["count"][first]))] = np.arange(len(every))
+    trie = Trie([rank[np.searchsorted(every, t["token"])] for t in tokens], sizes)
+    forest = Forest(len(sids))
     mask = np.zeros(len(every), bool)
     for x in range(len(sids)):
         mask[trie.seqs[x]] = True
         for y in trie.visit(x, mask, forest.label):
-            if forest.union(x, y):
-                out.append((sids[trie.order[x]], sids[trie.order[y]]))
+            forest.union(x, y)
         mask[trie.seqs[x]] = False
+    out = []
+    for members in forest.members.values():
+        if len(members) > 1:
+            own = [sids[trie.order[i]] for i in members]
+            out += [(s, min(own)) for s in own if s != min(own)]
     return out
 
 
-def link_forest(sets: DataFrame, order: Order) -> DataFrame:
-    """(a, b): links between different sets, enough to connect what all links connect."""
+def link_forest(sets: DataFrame) -> DataFrame:
+    """(a, b, part): sets connected by links; ``part`` if the candidate component has more blocks, which meet only later."""
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cand = components(candidate_edges(sets, order))
+    cand = components(candidate_edges(sets))
     size = cand.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = sets.join(cand, sets["sid"] == cand["id"]).join(size, "root")
     mine = F.pmod(F.xxhash64("sid"), F.col("blocks"))
     # a block of sets meets every block of its candidate component once; most components are a single block
     dealt = placed.select("root", "sid", "n", "tokens", "blocks", mine.alias("i")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("j"))
-    dealt = dealt.select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "sid", "n", "tokens")
+    dealt = dealt.select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "sid", "n", "tokens", (F.col("blocks") > 1).alias("part"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [])
+        now, held, cut = None, ([], [], []), False
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if out := join_block(*held):
+                yield _batch([(*e, cut) for e in out], LINK)
+
         for b in batches:
-            for g, s, n, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if g != now and held[0]:
-                    if out := join_block(*held, order):
-                        yield _batch(out, EDGE)
+            for g, s, n, raw, part in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if g != now:
+                    yield from done()
                     held = ([], [], [])
-                now = g
+                now, cut = g, part
                 held[0].append(s)
                 held[1].append(n)
-                held[2].append(np.frombuffer(raw, np.uint64))
-        if held[0] and (out := join_block(*held, order)):
-            yield _batch(out, EDGE)
+                held[2].append(np.frombuffer(raw, SHINGLE_OF))
+        yield from done()
 
-    return dealt.repartition(parts, "g").sortWithinPartitions("g", "sid").mapInArrow(join, EDGE)
+    return dealt.repartition(parts, "g").sortWithinPartitions("g", "sid").mapInArrow(join, LINK)
 
 
 def shingle_info(docs: DataFrame) -> DataFrame:
@@ -443,8 +428,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     shared_folder(docs.sparkSession)
     info = shingle_info(d).checkpoint()
     sets = repeated_sets(d).groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).checkpoint()
-    order = global_order(sets)
-    roots = components(link_forest(sets, order).checkpoint())
+    links = link_forest(sets).checkpoint()
+    roots = links.where("not part").select(F.col("a").alias("id"), F.col("b").alias("root"))
+    if not links.where("part").isEmpty():
+        roots = roots.unionByName(components(links.where("part").select("a", "b")))
     least = info.where("sid <> 0").groupBy("sid").agg(F.min("key").alias("least"))
     least = least.join(roots, least["sid"] == roots["id"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     comp = least.groupBy("root").agg(F.min("least").alias("component"))
