@@ -139,7 +139,7 @@ def repeated_sets(docs: DataFrame) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each bucket the chunk's shingles: those of a single set with that set, the others without."""
-        for number, _, _, token, owner, many in _chunks(batches):
+        for number, sid, _, token, owner, many in _chunks(batches):
             keep = ~many
             keep[1:] |= many[1:] & (token[1:] != token[:-1])  # one of those with several holders
             keep[0] = True
@@ -151,7 +151,7 @@ def repeated_sets(docs: DataFrame) -> DataFrame:
             rows = []
             for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(b)], strict=True):
                 g = order[i:j]
-                rows.append((int(b[i]), int(b[i]), tx.pack(np.diff(t[g], prepend=np.uint64(0)), tx.narrow(o[g]), np.packbits(m[g]), np.array([number], np.int64))))
+                rows.append((int(b[i]), int(b[i]), tx.pack(np.diff(t[g], prepend=np.uint64(0)), tx.narrow(o[g]), np.packbits(m[g]), np.array([number, seal(sid)], np.int64))))
             yield _batch(rows, SENT)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def repeated_sets(docs: DataFrame) -> DataFrame:
             for x in held:
                 h = np.flatnonzero(hit[at : at + len(x[0])])
                 if len(h):
-                    rows.append((int(x[3][0]), 0, tx.pack(np.diff(x[0][h], prepend=np.uint64(0)), x[1][h], np.packbits(x[2][h]), tx.narrow(count[at + h]))))
+                    rows.append((int(x[3][0]), 0, tx.pack(np.diff(x[0][h], prepend=np.uint64(0)), x[1][h], np.packbits(x[2][h]), tx.narrow(count[at + h]), x[3][1:])))
                 at += len(x[0])
             return _batch(rows, SENT) if rows else None
 
@@ -222,6 +222,8 @@ def repeated_sets(docs: DataFrame) -> DataFrame:
                         yield out
                     state = (got[0], got[1], np.cumsum(got[2], dtype=np.uint64), got[3], [])
                 else:
+                    if int(got[4][0]) != seal(state[0].view(np.int64)):
+                        raise RuntimeError("a chunk was answered for other sets than it holds")
                     n = len(got[0])
                     state[4].append((np.cumsum(got[0], dtype=np.uint64), got[1], np.unpackbits(got[2], count=n).astype(bool), got[3].astype(np.int64)))
         if state and (out := done(*state)) is not None:
@@ -232,6 +234,11 @@ def repeated_sets(docs: DataFrame) -> DataFrame:
     return met.mapInArrow(assemble, SETS)
 
 
+def seal(sid: np.ndarray) -> int:
+    """A checksum of a chunk's sets, so that answers are only taken for the sets that asked."""
+    return int((sid >> 1).sum() & ((1 << 62) - 1))
+
+
 class Forest:
     """Union-find over 0 .. n - 1 with labels at hand for vectorised tests."""
 
