@@ -294,8 +294,10 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         if root:
             yield _batch([(x, find(x)) for x in root], EDGE)
 
+    # each task names every set that it has seen once, so fewer tasks over the same partitions send fewer rows
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.mapInArrow(post, POSTING).repartition(parts, "token").sortWithinPartitions("token", "n", "sid").mapInArrow(chain, EDGE)
+    dealt = sets.mapInArrow(post, POSTING).repartition(parts, "token").sortWithinPartitions("token", "n", "sid")
+    return dealt.coalesce(max(2, parts // 4)).mapInArrow(chain, EDGE)
 
 
 class Trie:
