@@ -1,16 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models over words and word pairs.
 
 Counts are document frequencies in the labelled training documents of each class (toxic, ordinary). An expression's
-class count is discounted by DISCOUNT and the mass that this frees goes to a backoff distribution that both classes
-share: continuation counts (in how many contexts a word occurs in any class) for words, counts of both classes together
-for pairs. A rare expression is thus almost as likely in either class; only expressions whose class counts differ beyond
-chance (|z| > MIN_Z) keep a ratio of their own. A document's raw score is the sum of log P(toxic) - log P(ordinary) over
-its words, divided by their number. A logistic curve fitted on a fold of the labelled training documents that the counts
-leave out turns it into a score of 0 to 1.
+class count is discounted (by Ney's estimate from how many expressions of the class occur once and twice) and the mass
+that this frees goes to a backoff distribution that both classes share: continuation counts (in how many contexts a word
+occurs in any class) for words, counts of both classes together for pairs. Every expression keeps its counts, also those
+of a single document. The two class probabilities are interpolated with the classes' common one by how far the counts
+differ beyond chance (z * z against RELIABLE_Z squared), so weak evidence counts little, but counts; an expression that no
+labelled document has is as likely in either class. A document's raw score is the sum of log P(toxic) - log P(ordinary)
+over its words (each after the one before it, as far as the pair's counts are reliable), divided by their number. A
+logistic curve fitted on a fold of the labelled training documents that the counts leave out turns it into a score of 0
+to 1.
 
 Counting: distinct (expression, document) pairs are summed in each task, sent as packed runs to buckets by the hash of
-the word, and merged there; what a bucket returns is what passes the test of significance. The kept model is bounded by
-MODEL entries (the most significant ones), which is what its shipping to the workers relies on.
+the word, and merged there. Scoring: a chunk of documents sends each distinct expression once to its bucket, which
+returns the counts it has; the chunk's words go as streams of word numbers to where the answers meet. No model is
+collected or shipped, and no expression is left out.
 
 Defined results: null and empty texts have a raw score of 0; rows that repeat are scored one by one (of repeated labels
 of a document the largest counts); null labels and labels without a document teach nothing; extra columns are ignored;
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,10 +36,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from blockwright.llm import text as tx
 from blockwright.session import shared_folder
 
-DISCOUNT = 5.0
-MIN_Z = 4.5
-#: Most entries of the model.
-MODEL = 200_000
+#: The |z| at which an expression's own probabilities weigh as much as the common one.
+RELIABLE_Z = 4.5
+#: Bits of the map that spares texts without a label the exchange.
+BITS = 1 << 26
 CHUNK = 4 << 20
 #: Entries that a task sums up before it sends them.
 HOLD = 4 << 20
@@ -42,6 +47,8 @@ HOLD = 4 << 20
 BINS = 4000
 SPAN = 2.0
 
+#: Sums over the expressions of a bucket.
+SUMS = ("t", "o", "cont", "t0", "t1", "t2", "o0", "o1", "o2")
 LOW = np.uint64((1 << 24) - 1)
 #: Bytes of words: letters, digits and everything beyond ASCII.
 OUTSIDE = np.ones(256, bool)
@@ -49,23 +56,30 @@ OUTSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80
 _TO_SPACE = np.where(OUTSIDE, np.uint8(0x20), tx.LOWER)
 
 
-def expressions(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key of each word, key of the pair that ends there or 0, document of each word).
-
-    A key holds 40 bits of the word's hash; the low 24 bits are 0 for a word and come from the word before for a pair.
-    """
+def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each document and the end)."""
     buf = _TO_SPACE[buf]
     s, e, first = tx.word_spans(buf, off)
-    if not len(s):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = tx.word_hashes(buf, s, e)
-    doc = tx.owners(first)
+    return (tx.word_hashes(buf, s, e) if len(s) else np.zeros(0, np.uint64)), first
+
+
+def pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key of each word, key of the pair that ends there or 0)."""
     one = h & ~LOW
     two = np.zeros(len(h), np.uint64)
     two[1:] = one[1:] | np.maximum(h[:-1] >> np.uint64(40), np.uint64(1))
-    two[0] = 0
     two[1:][doc[1:] != doc[:-1]] = 0
-    return one, two, doc
+    return one, two
+
+
+def expressions(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key of each word, key of the pair that ends there or 0, document of each word).
+
+    A key holds 40 bits of the word's hash; the low 24 bits are 0 for a word and come from the word before for a pair.
+    """
+    h, first = words(buf, off)
+    doc = tx.owners(first)
+    return *pairs(h, doc), doc
 
 
 def fold(key: Column, n: int) -> Column:
@@ -85,17 +99,28 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[at], np.add.reduceat(c, at)
 
 
+def bucket_count(spark: SparkSession) -> int:
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucket_of(k: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key: that of its word."""
+    return ((k >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+
+
 def count_classes(labelled: DataFrame, text: str, toxic: str, n1: int, n0: int) -> DataFrame:
-    """Rows of (kind, key, t, o, cont): kind 1 and 2 are significant words and pairs, kind 0 sums of a bucket."""
+    """Rows of (kind, key, t, o, cont, t0, t1, t2, o0, o1, o2, payload): kind 0 sums of a bucket over words (key 1) and pairs
+    (key 2), with how many of them each class has at all, once and twice; kind 1 the entries of bucket ``key`` (keys, both
+    counts, continuation counts) if there are documents of both classes."""
     spark = labelled.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(spark)
     sent = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("payload", T.BinaryType())])
     sent_arrow = to_arrow_schema(sent)
-    out = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("t", "o", "cont", "ts", "os", "z")])
+    out = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in SUMS] + [T.StructField("payload", T.BinaryType())])
     out_arrow = to_arrow_schema(out)
 
     def send(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        b = ((k >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+        b = bucket_of(k, buckets)
         order = np.argsort(b, kind="stable")
         k, c, b = k[order], c[order], b[order]
         edge = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
@@ -124,19 +149,16 @@ def count_classes(labelled: DataFrame, text: str, toxic: str, n1: int, n0: int)
         if held:
             yield send(*_merge(keys, counts))
 
-    def judge(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    def judge(bucket: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
         k, c = _merge(keys, counts)
         t, o = c[:, 0], c[:, 1]
         word = (k & LOW) == 0
         at = np.flatnonzero(np.r_[True, (k[1:] >> np.uint64(24)) != (k[:-1] >> np.uint64(24))])
         cont = np.repeat(np.add.reduceat((~word).astype(np.int64), at), np.diff(np.r_[at, len(k)]))
-        p = (t + o) / max(n1 + n0, 1)
-        with np.errstate(all="ignore"):
-            z = (t / n1 - o / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-        keep = np.flatnonzero((np.maximum(t, o) > DISCOUNT) & (np.abs(z) > MIN_Z)) if n1 and n0 else np.zeros(0, np.int64)
-        cut = np.maximum(c - DISCOUNT, 0)
-        sums = [(0, kind, float(t[m].sum()), float(o[m].sum()), float((~word).sum()), float(cut[m, 0].sum()), float(cut[m, 1].sum()), 0.0) for kind, m in ((1, word), (2, ~word))]
-        rows = sums + [(1 if word[i] else 2, int(k[i].view(np.int64)), float(t[i]), float(o[i]), float(cont[i]), 0.0, 0.0, float(z[i])) for i in keep.tolist()]
+        seen = lambda x: (float((x > 0).sum()), float((x == 1).sum()), float((x == 2).sum()))
+        rows = [(0, kind, float(t[m].sum()), float(o[m].sum()), float((~word).sum()), *seen(t[m]), *seen(o[m]), None) for kind, m in ((1, word), (2, ~word))]
+        if n1 and n0:
+            rows.append((1, bucket, *[0.0] * len(SUMS), tx.pack(np.diff(k, prepend=np.uint64(0)), tx.narrow(t), tx.narrow(o), tx.narrow(np.where(word, cont, 0)))))
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), out_arrow, strict=True)], schema=out_arrow)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,78 +166,106 @@ def count_classes(labelled: DataFrame, text: str, toxic: str, n1: int, n0: int)
         for b in batches:
             for bucket, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if bucket != now and keys:
-                    yield judge(keys, counts)
+                    yield judge(now, keys, counts)
                     keys, counts = [], []
                 now = bucket
                 d, t, o = tx.unpack(payload)
                 keys.append(np.cumsum(d, dtype=np.uint64))
                 counts.append(np.stack([t.astype(np.int64), o.astype(np.int64)], 1))
         if keys:
-            yield judge(keys, counts)
+            yield judge(now, keys, counts)
 
     return labelled.select(text, toxic).mapInArrow(count, sent).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, out)
 
 
+class Masses:
+    """What the classes' counts sum up to, and the ratios that follow from it."""
+
+    def __init__(self, sums: dict, n1: int, n0: int):
+        none = dict.fromkeys(SUMS, 0.0)
+        sums = {k: sums.get(k) or none for k in (1, 2)}
+        self.n1, self.n0 = n1, n0
+        self.total = {k: np.maximum([s["t"], s["o"]], 1.0) for k, s in sums.items()}
+        self.discount = {k: np.array([s[f"{c}1"] / max(s[f"{c}1"] + 2 * s[f"{c}2"], 1.0) for c in "to"]) for k, s in sums.items()}
+        self.free = {k: self.discount[k] * np.array([s["t0"], s["o0"]]) / self.total[k] for k, s in sums.items()}
+        self.contexts = max(sums[1]["cont"], 1.0)
+
+    def ratios(self, k: np.ndarray, count: np.ndarray, cont: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log ratio, reliability) of each expression from its key, its counts in both classes and its continuation count."""
+        every = (count.sum(1)) / (self.n1 + self.n0)
+        with np.errstate(all="ignore"):
+            z = (count[:, 0] / self.n1 - count[:, 1] / self.n0) / np.sqrt(every * (1 - every) * (1 / self.n1 + 1 / self.n0))
+        z = np.nan_to_num(z, posinf=0.0, neginf=0.0)
+        trust = z * z / (z * z + RELIABLE_Z * RELIABLE_Z)
+        out = np.zeros(len(k))
+        for kind, m in ((1, (k & LOW) == 0), (2, (k & LOW) != 0)):
+            total, w = self.total[kind], trust[m][:, None]
+            common = count[m].sum(1)[:, None] / total.sum()
+            shared = np.maximum(cont[m], 0.5)[:, None] / self.contexts if kind == 1 else common
+            p = np.maximum(count[m] - self.discount[kind], 0) / total + self.free[kind] * shared
+            p = w * p + (1 - w) * common
+            out[m] = np.log(p[:, 0]) - np.log(p[:, 1])
+        return out, trust
+
+
+def entries(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys, toxic counts, ordinary counts, continuation counts) of a bucket."""
+    d, t, o, cont = tx.unpack(payload)
+    return np.cumsum(d, dtype=np.uint64), t, o, cont
+
+
 class Model:
-    """Log ratios of the kept expressions and the curve that turns raw scores into scores."""
+    """The entries of all buckets as a table, the masses, and the curve that turns raw scores into scores."""
 
-    def __init__(self, keys: np.ndarray, ratios: np.ndarray, slope: float = 0.0, offset: float = -4.0):
-        order = np.argsort(keys)
-        self.keys, self.ratios, self.slope, self.offset = keys[order], ratios[order], slope, offset
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[(keys >> np.uint64(48)).astype(np.int64)] = True
+    def __init__(self, found: DataFrame | None, masses: Masses | None, buckets: int = 1, slope: float = 0.0, offset: float = -4.0):
+        self.found, self.masses, self.buckets, self.slope, self.offset = found, masses, buckets, slope, offset
 
     def ratio(self, keys: np.ndarray) -> np.ndarray:
-        """The ratio of each key, NaN if the model has none."""
+        """The ratio of each key, NaN if it has no entry; for a look at some keys."""
         out = np.full(len(keys), np.nan)
-        maybe = np.flatnonzero(self.seen[(keys >> np.uint64(48)).astype(np.int64)])
-        if len(maybe) and len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
-            hit = self.keys[at] == keys[maybe]
-            out[maybe[hit]] = self.ratios[at[hit]]
+        if self.found is None or not len(keys):
+            return out
+        masses, want = self.masses, np.unique(keys)
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for payload in b.column(0).to_pylist():
+                    k, t, o, cont = entries(payload)
+                    hit = np.isin(k, want)
+                    k, t, o, cont = k[hit], t[hit], o[hit], cont[hit]
+                    r, _ = masses.ratios(k, np.stack([t, o], 1).astype(np.float64), cont.astype(np.float64))
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(r)], names=["key", "ratio"])
+
+        mine = self.found.where("kind = 1").where(F.col("key").isin(np.unique(bucket_of(keys, self.buckets)).tolist()))
+        got = {r["key"]: r["ratio"] for r in mine.select("payload").mapInArrow(look, "key long, ratio double").collect()}
+        for i, k in enumerate(keys.view(np.int64).tolist()):
+            out[i] = got.get(k, np.nan)
         return out
 
-    def raw(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Length-normalised log ratio of each text: a known pair stands for its second word given the first."""
-        one, two, doc = expressions(buf, off)
-        n = np.bincount(doc, minlength=len(off) - 1)
-        if not len(one):
-            return np.zeros(len(off) - 1)
-        own, pair = self.ratio(one), self.ratio(two)
-        own = np.nan_to_num(own)
-        before = np.zeros(len(own))
-        before[1:] = own[:-1]
-        gain = np.where(np.isnan(pair), own, pair - before)
-        return np.bincount(doc, gain, minlength=len(off) - 1) / np.maximum(n, 1)
+
+def maybe_labelled(docs: DataFrame, y: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose key may be one of ``y``: all that are, and the few whose bit is set by another key."""
+    pos = (F.pmod(F.xxhash64(key), F.lit(BITS)) + 1).alias("_pos")
+    maps = y.select(pos).groupBy(F.expr("bitmap_bucket_number(_pos)").alias("_at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_pos))").alias("_map"))
+    bit = "shiftright(cast(conv(hex(substring(_map, cast(bitmap_bit_position(_pos) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(_pos) % 8 as int)) & 1 = 1"
+    return docs.select("*", pos).join(F.broadcast(maps), F.expr(f"bitmap_bucket_number(_pos) = _at and {bit}"), "left_semi").drop("_pos")
 
 
 def fit_counts(docs: DataFrame, labels: DataFrame, text: str, key: str, toxic: str) -> Model:
-    """Counts over all labelled documents of ``docs``; the model has at most MODEL entries."""
+    """Counts over all labelled documents of ``docs``."""
+    spark = docs.sparkSession
     y = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull()).groupBy(key).agg(F.max(toxic).alias(toxic))
     size = {r["c"]: r["n"] for r in y.groupBy((F.col(toxic) > 0).alias("c")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(True, 0), size.get(False, 0)
-    labelled = docs.select(key, text).join(y.hint("shuffle_hash"), key)
-    shared_folder(docs.sparkSession)
+    if not n1 or not n0:
+        return Model(None, None)
+    labelled = maybe_labelled(docs.select(key, text), y, key).join(y.hint("shuffle_hash"), key)
+    shared_folder(spark)
     found = count_classes(labelled, text, toxic, n1, n0).checkpoint()
-    sums = {r["key"]: r for r in found.where("kind = 0").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("t", "o", "cont", "ts", "os")]).collect()}
-    kept = found.where("kind > 0").orderBy(F.abs("z").desc(), "key").limit(MODEL).collect()
-    if not kept:
-        return Model(np.zeros(0, np.uint64), np.zeros(0))
-    keys = np.array([r["key"] for r in kept], np.int64).view(np.uint64)
-    kind = np.array([r["kind"] for r in kept])
-    count = np.array([(r["t"], r["o"]) for r in kept])
-    cont = np.array([r["cont"] for r in kept])
-    ratios = np.zeros(len(kept))
-    for k in (1, 2):
-        if k not in sums:
-            continue
-        m, s = kind == k, sums[k]
-        total = np.maximum([s["t"], s["o"]], 1.0)
-        free = 1 - np.array([s["ts"], s["os"]]) / total
-        shared = np.maximum(cont[m], 0.5) / max(sums[1]["cont"], 1.0) if k == 1 else count[m].sum(1) / total.sum()
-        p = np.maximum(count[m] - DISCOUNT, 0) / total + free * shared[:, None]
-        ratios[m] = np.log(np.maximum(p[:, 0], 1e-300)) - np.log(np.maximum(p[:, 1], 1e-300))
-    return Model(keys, ratios)
+    sums = {r["key"]: r.asDict() for r in found.where("kind = 0").groupBy("key").agg(*[F.sum(c).alias(c) for c in SUMS]).collect()}
+    if not sums or not all(sums[1][c] for c in ("t", "o")):
+        return Model(None, None)
+    return Model(found, Masses(sums, n1, n0), bucket_count(spark))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 60) -> tuple[float, float]:
@@ -235,18 +285,128 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 60) -> tu
     return float(b[0] / scale), float(b[1])
 
 
+def _asked(one: np.ndarray, two: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words and pairs by bucket and key, where each bucket's begin; one more than buckets)."""
+    k = np.unique(np.concatenate([one, two[two != 0]]))
+    b = bucket_of(k, buckets)
+    order = np.argsort(b, kind="stable")
+    return k[order], np.searchsorted(b[order], np.arange(buckets + 1))
+
+
 def raw_scores(docs: DataFrame, model: Model, text: str, key: str) -> DataFrame:
-    """(key, raw) of every row; no exchange."""
+    """(key, raw) of every row: length-normalised log ratio of each text, a pair standing for its second word given the first."""
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("raw", T.DoubleType())])
     arrow = to_arrow_schema(schema)
+    if model.found is None:
+        return docs.select(key, F.lit(0.0).alias("raw"))
+    masses, buckets = model.masses, model.buckets
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = T.StructType([T.StructField("to", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("payload", T.BinaryType())])
+    sent_arrow = to_arrow_schema(sent)
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), sent_arrow, strict=True)], schema=sent_arrow)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
             k = batch.column(batch.schema.get_field_index(key))
             for lo, hi, buf, off in tx.byte_chunks(batch, text, CHUNK):
-                yield pa.RecordBatch.from_arrays([k.slice(lo, hi - lo).cast(arrow.field(0).type), pa.array(model.raw(buf, off))], schema=arrow)
-
-    return docs.select(key, text).mapInArrow(run, schema)
+                yield number, k.slice(lo, hi - lo), buf, off
+                number += 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """To each bucket the chunk's distinct words and pairs; rows come by chunk number."""
+        for number, _, buf, off in numbered(batches):
+            one, two, _ = expressions(buf, off)
+            k, edge = _asked(one, two, buckets)
+            seal = k.sum(dtype=np.uint64)[None]
+            at = np.flatnonzero(np.diff(edge)).tolist()
+            if at:
+                yield rows([(number, b, tx.pack(np.diff(k[edge[b] : edge[b + 1]], prepend=np.uint64(0)), seal)) for b in at])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """To each chunk the places and counts of its expressions that have an entry; a bucket's entries come before its questions."""
+        now, known, counts = None, np.zeros(0, np.uint64), ()
+        for batch in batches:
+            out = []
+            for to, bucket, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket != now:
+                    now, known, counts = bucket, np.zeros(0, np.uint64), ()
+                if to < 0:
+                    known, *counts = entries(payload)
+                    continue
+                d, seal = tx.unpack(payload)
+                k = np.cumsum(d, dtype=np.uint64)
+                at = np.minimum(np.searchsorted(known, k), max(len(known) - 1, 0))
+                hit = np.flatnonzero(known[at] == k) if len(known) else np.zeros(0, np.int64)
+                if len(hit):
+                    out.append((to, bucket, tx.pack(tx.narrow(np.diff(hit, prepend=0)), *[tx.narrow(c[at[hit]]) for c in counts], seal)))
+            if out:
+                yield rows(out)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's keys and its words as numbers (the more frequent, the smaller)."""
+        for number, k, buf, off in numbered(batches):
+            h, first = words(buf, off)
+            at, inverse = tx.distinct(h)
+            order = np.argsort(-np.bincount(inverse, minlength=len(at)), kind="stable")
+            rank = np.empty(len(at), np.int64)
+            rank[order] = np.arange(len(at))
+            held = pa.RecordBatch.from_arrays([k.cast(arrow.field(0).type)], schema=pa.schema([arrow.field(0)]))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held.schema) as w:
+                w.write_batch(held)
+            keys = np.frombuffer(sink.getvalue(), np.uint8)
+            yield rows([(number, -1, tx.pack(keys, tx.narrow(np.diff(first)), h[at[order]], tx.narrow(rank[inverse])))])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(payload: bytes, got: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            keys, n, h, stream = tx.unpack(payload)
+            keys = pa.ipc.open_stream(keys.tobytes()).read_all().column(0).combine_chunks()
+            doc = np.repeat(np.arange(len(n)), n)
+            one, two = pairs(h[stream], doc)
+            k, edge = _asked(one, two, buckets)
+            count = np.zeros((len(k), 3))
+            seal = k.sum(dtype=np.uint64)
+            for bucket, data in got:
+                d, *c, check = tx.unpack(data)
+                if check[0] != seal:
+                    raise RuntimeError("a chunk was answered for other expressions than it holds")
+                count[edge[bucket] + np.cumsum(d, dtype=np.int64)] = np.stack(c, 1)
+            order = np.argsort(k)
+            k, count = k[order], count[order]
+            ratio, trust = np.zeros(len(k)), np.zeros(len(k))
+            seen = np.flatnonzero(count[:, :2].any(1))
+            ratio[seen], trust[seen] = masses.ratios(k[seen], count[seen, :2], count[seen, 2])
+            gain = ratio[np.searchsorted(k, one)]
+            pair = np.flatnonzero(two)
+            at = np.searchsorted(k, two[pair])
+            gain[pair] += trust[at] * (ratio[at] - gain[pair - 1] - gain[pair])
+            return pa.RecordBatch.from_arrays([keys, pa.array(np.bincount(doc, gain, minlength=len(n)) / np.maximum(n, 1))], schema=arrow)
+
+        now, held, got = None, None, []
+        for b in batches:
+            for to, bucket, payload in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if to != now:
+                    if held is not None:
+                        yield done(held, got)
+                    now, held, got = to, None, []
+                if bucket < 0:
+                    held = payload
+                elif held is None:
+                    raise RuntimeError("an answer for a chunk that is not there")
+                else:
+                    got.append((bucket, payload))
+        if held is not None:
+            yield done(held, got)
+
+    docs = docs.select(key, text)
+    table = model.found.where("kind = 1").select(F.lit(-1).cast("long").alias("to"), F.col("key").alias("bucket"), "payload")
+    # a chunk's number holds its task's: the texts come first in both unions, so that they have the same
+    answers = docs.mapInArrow(ask, sent).unionByName(table).repartition(buckets, "bucket").sortWithinPartitions("bucket", "to").mapInArrow(answer, sent)
+    met = docs.mapInArrow(own, sent).unionByName(answers).repartition(parts, "to").sortWithinPartitions("to", "bucket")
+    return met.mapInArrow(assemble, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", toxic: str = "toxic", part: Column | None = None) -> Model:
@@ -254,7 +414,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     part = part if part is not None else fold(F.col(key), 5) == 4
     model = fit_counts(docs.where(~part), labels.where(~part), text, key, toxic)
     y = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull()).where(part).groupBy(key).agg(F.max(toxic).alias(toxic))
-    seen = raw_scores(docs.where(part), model, text, key).join(y, key)
+    seen = raw_scores(maybe_labelled(docs.where(part), y, key), model, text, key).join(y, key)
     b = F.width_bucket("raw", F.lit(-SPAN), F.lit(SPAN), F.lit(BINS)).alias("bin")
     bins = seen.groupBy(b, (F.col(toxic) > 0).alias("y")).agg(F.count("*").alias("n")).collect()
     x = np.array([(r["bin"] - 0.5) / BINS * 2 * SPAN - SPAN for r in bins])
@@ -263,7 +423,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, score) of every row; no exchange."""
+    """(key, score) of every row."""
     logit = F.col("raw") * F.lit(model.slope) + F.lit(model.offset)
     return raw_scores(docs, model, text, key).select(key, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))).alias("score"))
 

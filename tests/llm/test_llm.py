@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -305,6 +306,49 @@ def test_toxicity_counts(spark):
     assert sum(r["cont"] for r in found if r["key"] == 1) == len({p for w in words for p in zip(w, w[1:], strict=False)})
 
 
+def test_toxicity_keeps_every_expression(spark):
+    rs = random.Random(4)
+    rows = [(i, " ".join(rs.choices(["oak", "elm", "fir", "ash", "bay", "yew"], k=6))) for i in range(120)]
+    rows = [(i, f"{t} grim {t}" if i in (0, 4) else f"{t} mild" if i == 1 else t) for i, t in rows] + [(200, "oak grim elm"), (201, "grim"), (202, "never seen"), (203, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    m = toxicity.fit_counts(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int"), "text", "doc_id", "toxic")
+    got = {r["doc_id"]: r["raw"] for r in toxicity.raw_scores(d.repartition(3), m, "text", "doc_id").collect()}
+    # the same by dictionaries, every expression kept
+    count, ctx = {1: {}, 2: {}}, {}
+    for i, t in rows[:120]:
+        w = t.split()
+        for kind, found in ((1, set(w)), (2, set(zip(w, w[1:], strict=False)))):
+            for x in found:
+                count[kind].setdefault(x, [0, 0])[i % 4 != 0] += 1
+    for _, x in count[2]:
+        ctx[x] = ctx.get(x, 0) + 1
+
+    def smooth(kind, x):
+        if x not in count[kind]:
+            return 0.0, 0.0
+        every, own = list(count[kind].values()), count[kind][x]
+        q = sum(own) / 120
+        z = (own[0] / 30 - own[1] / 90) / math.sqrt(q * (1 - q) * (1 / 30 + 1 / 90)) if q < 1 else 0.0
+        trust = z * z / (z * z + toxicity.RELIABLE_Z**2)
+        common = sum(own) / sum(map(sum, every))
+        p = []
+        for c in (0, 1):
+            total, n1, n2 = sum(e[c] for e in every), sum(e[c] == 1 for e in every), sum(e[c] == 2 for e in every)
+            cut = n1 / max(n1 + 2 * n2, 1)
+            shared = max(ctx.get(x, 0), 0.5) / sum(ctx.values()) if kind == 1 else common
+            p.append(trust * (max(own[c] - cut, 0) / total + cut * sum(e[c] > 0 for e in every) / total * shared) + (1 - trust) * common)
+        return math.log(p[0] / p[1]), trust
+
+    for i, t in rows:
+        w, raw = (t or "").split(), 0.0
+        for j, x in enumerate(w):
+            own, _ = smooth(1, x)
+            pair, trust = smooth(2, (w[j - 1], x)) if j else (0.0, 0.0)
+            raw += own + trust * (pair - smooth(1, w[j - 1])[0] - own)
+        assert got[i] == pytest.approx(raw / max(len(w), 1), abs=1e-9)
+    assert got[201] > 0 and got[202] == 0
+
+
 def test_toxicity_odd_texts(docs, fixture, empty):
     none = toxicity.train(docs, docs.select("doc_id", F.lit(None).cast("int").alias("toxic")))
     out = toxicity.toxicity(docs, none).collect()
