@@ -12,9 +12,10 @@ are found; equal sets form one class and count once.
    that leaves too little for a link). Sets that share one, and whose sizes allow a link, are chained to candidate
    components; no pairs are made.
 4. Join: the sets of a candidate component (in bounded blocks, if it is large) are stored in a trie in the global order;
-   each set is looked up in it, sharing the overlap of common paths, pruned by what the remaining lengths allow, and by
-   what is known to be connected. The links that connect are kept.
-5. Components of the links give each document its component.
+   each set is looked up in it, sharing the overlap of common paths, pruned by what the remaining lengths allow. Every
+   link is verified and counted once for each of its sets; those that connect are kept.
+5. Components of the links give each document its component. A document's links are those of its class (equal sets) with
+   other classes.
 
 Hashes of shingles have 48 bits, of sets 64. Defined results: a text with fewer words than SHINGLE is one shingle (the
 whole sequence); one without words has an empty set, linked with nothing; a null key counts as the smallest; rows that
@@ -109,7 +110,7 @@ SENT = T.StructType([T.StructField("to", T.LongType()), T.StructField("bucket",
 SETS = T.StructType([T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType())])
 POSTING = T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sid", T.LongType())])
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-LINK = T.StructType([*EDGE.fields, T.StructField("part", T.BooleanType())])
+LINK = T.StructType([*EDGE.fields, T.StructField("n", T.LongType()), T.StructField("part", T.BooleanType())])
 #: A shingle of a set: hash and how often it occurs.
 SHINGLE_OF = np.dtype([("token", "<u8"), ("count", "<u2")])
 
@@ -315,11 +316,11 @@ class Trie:
             m = min(len(a), len(b))
             d = np.flatnonzero(a[:m] != b[:m])
             lcp[i] = d[0] if len(d) else m
-        #: (from depth, to depth, first leaf, end of leaves, children, leaves that end here)
+        #: (from depth, to depth, first leaf, end of leaves, children, leaves that end here, smallest size, longest sequence)
         self.roots = self._build(lcp)
 
     def _build(self, lcp: np.ndarray) -> list[int]:
-        self.nodes: list[tuple[int, int, int, int, list[int], list[int]]] = []
+        self.nodes: list[tuple[int, int, int, int, list[int], list[int], int, int]] = []
         out: list[int] = []
         todo = [(0, len(self.seqs), 0, out)]
         while todo:
@@ -331,19 +332,19 @@ class Trie:
                 ends = [i for i in range(a, b) if self.lengths[i] == to]
                 kids: list[int] = []
                 into.append(len(self.nodes))
-                self.nodes.append((depth, to, a, b, kids, ends))
+                self.nodes.append((depth, to, a, b, kids, ends, int(self.sizes[a:b].min()), int(self.lengths[a:b].max())))
                 if b - a > len(ends):
                     todo.append((a + len(ends), b, to, kids))
         return out
 
-    def visit(self, x: int, mask: np.ndarray, skip: np.ndarray) -> Iterator[int]:
-        """Leaves after leaf x that link with it; ``mask``: the numbers of x; subtrees with x's label in ``skip`` only are passed."""
+    def visit(self, x: int, mask: np.ndarray, skip: np.ndarray | None = None) -> Iterator[int]:
+        """Leaves after leaf x that link with it; ``mask``: the numbers of x; leaves with x's label in ``skip`` are passed."""
         seq, size = self.seqs[x], int(self.sizes[x])
         todo = [(r, 0) for r in reversed(self.roots)]
         while todo:
             node, have = todo.pop()
-            start, end, lo, hi, kids, ends = self.nodes[node]
-            if hi <= x + 1 or (skip[max(lo, x + 1) : hi] == skip[x]).all():
+            start, end, lo, hi, kids, ends, small, longest = self.nodes[node]
+            if hi <= x + 1 or skip is not None and (skip[max(lo, x + 1) : hi] == skip[x]).all():
                 continue
             if end > start:
                 part = self.seqs[lo][start:end]
@@ -351,17 +352,20 @@ class Trie:
                 rest = len(seq) - int(np.searchsorted(seq, part[-1], "right"))
             else:
                 rest = len(seq)
-            small = int(self.sizes[lo:hi].min())
-            if (NUM + DEN) * (have + min(rest, int(self.lengths[lo:hi].max()) - end)) < NUM * (size + small):
+            if (NUM + DEN) * (have + min(rest, longest - end)) < NUM * (size + small):
                 continue
             for i in ends:
-                if i > x and skip[i] != skip[x] and (NUM + DEN) * have >= NUM * (size + int(self.sizes[i])):
+                if i > x and (skip is None or skip[i] != skip[x]) and (NUM + DEN) * have >= NUM * (size + int(self.sizes[i])):
                     yield i
             todo += [(k, have) for k in reversed(kids)]
 
 
-def join_block(sids: list[int], sizes: list[int], tokens: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(set, smallest set that links reach) of a block, for all sets that have a link."""
+def join_block(sids: list[int], sizes: list[int], tokens: list[np.ndarray], blocks: list[int]) -> list[tuple[int, int, int]]:
+    """(set, smallest set that links reach, number of links) for all sets that have a link.
+
+    ``blocks``: the block of each set. Where two blocks meet, only links between them are taken: those inside a block are
+    found where it meets itself.
+    """
     if len(sids) < 2:
         return []
     whole = np.concatenate(tokens)
@@ -369,23 +373,31 @@ def join_block(sids: list[int], sizes: list[int], tokens: list[np.ndarray]) -> l
     rank = np.empty(len(every), np.int64)
     rank[np.lexsort((every, whole["count"][first]))] = np.arange(len(every))
     trie = Trie([rank[np.searchsorted(every, t["token"])] for t in tokens], sizes)
+    block = np.array(blocks)[trie.order]
+    block = block if (block != block[0]).any() else None
     forest = Forest(len(sids))
+    count = np.zeros(len(sids), np.int64)
     mask = np.zeros(len(every), bool)
     for x in range(len(sids)):
         mask[trie.seqs[x]] = True
-        for y in trie.visit(x, mask, forest.label):
+        for y in trie.visit(x, mask, block):
+            count[x] += 1
+            count[y] += 1
             forest.union(x, y)
         mask[trie.seqs[x]] = False
     out = []
     for members in forest.members.values():
         if len(members) > 1:
-            own = [sids[trie.order[i]] for i in members]
-            out += [(s, min(own)) for s in own if s != min(own)]
+            least = min(sids[trie.order[i]] for i in members)
+            out += [(sids[trie.order[i]], least, int(count[i])) for i in members]
     return out
 
 
 def link_forest(sets: DataFrame) -> DataFrame:
-    """(a, b, part): sets connected by links; ``part`` if the candidate component has more blocks, which meet only later."""
+    """(a, b, n, part): sets with a link, the smallest that links reach, and their number of links.
+
+    ``part`` if the candidate component has more blocks, which meet only later: then a set has a row for each meeting.
+    """
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cand = components(candidate_edges(sets))
@@ -394,24 +406,25 @@ def link_forest(sets: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("sid"), F.col("blocks"))
     # a block of sets meets every block of its candidate component once; most components are a single block
     dealt = placed.select("root", "sid", "n", "tokens", "blocks", mine.alias("i")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("j"))
-    dealt = dealt.select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "sid", "n", "tokens", (F.col("blocks") > 1).alias("part"))
+    dealt = dealt.select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "sid", "n", "tokens", (F.col("blocks") > 1).alias("part"), "i")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, cut = None, ([], [], []), False
+        now, held, cut = None, ([], [], [], []), False
 
         def done() -> Iterator[pa.RecordBatch]:
             if out := join_block(*held):
                 yield _batch([(*e, cut) for e in out], LINK)
 
         for b in batches:
-            for g, s, n, raw, part in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for g, s, n, raw, part, block in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if g != now:
                     yield from done()
-                    held = ([], [], [])
+                    held = ([], [], [], [])
                 now, cut = g, part
                 held[0].append(s)
                 held[1].append(n)
                 held[2].append(np.frombuffer(raw, SHINGLE_OF))
+                held[3].append(block)
         yield from done()
 
     return dealt.repartition(parts, "g").sortWithinPartitions("g", "sid").mapInArrow(join, LINK)
@@ -432,7 +445,9 @@ def shingle_info(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles, set_id (0: empty set), component_id (smallest key reachable by links) of every row."""
+    """key, n_shingles, set_id (0: empty set), n_links (other sets that the set links with), component_id (smallest key
+    reachable by links) of every row.
+    """
     d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shared_folder(docs.sparkSession)
     info = shingle_info(d).checkpoint()
@@ -441,13 +456,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     roots = links.where("not part").select(F.col("a").alias("id"), F.col("b").alias("root"))
     if not links.where("part").isEmpty():
         roots = roots.unionByName(components(links.where("part").select("a", "b")))
+    counts = links.groupBy(F.col("a").alias("linked")).agg(F.sum("n").alias("n_links"))
     least = info.where("sid <> 0").groupBy("sid").agg(F.min("key").alias("least"))
     least = least.join(roots, least["sid"] == roots["id"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     comp = least.groupBy("root").agg(F.min("least").alias("component"))
-    by_set = least.join(comp, "root").select("sid", "component")
+    by_set = least.join(comp, "root").join(counts, F.col("sid") == F.col("linked"), "left").select("sid", "component", "n_links")
     out = info.join(by_set, "sid", "left")
     name = lambda c: F.nullif(F.col(c), F.lit(NO_KEY))
-    return out.select(name("key").alias(key), "n_shingles", F.col("sid").alias("set_id"), F.when(F.col("sid") == 0, name("key")).otherwise(name("component")).alias("component_id"))
+    return out.select(name("key").alias(key), "n_shingles", F.col("sid").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("sid") == 0, name("key")).otherwise(name("component")).alias("component_id"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,25 @@ def test_jaccard_join_dense_group(spark):
     assert sorted(map(tuple, jaccard_join.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [5, 512])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rs = random.Random(8)
+    base = rs.choices(VOCAB, k=80)
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rs.randint(0, 3)):
+            w[rs.randrange(80)] = rs.choice(VOCAB)
+        rows.append((i, " ".join(w)))
+    rows += [(100, rows[0][1]), (101, ""), (102, "quite alone")]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: frozenset(shingles(t)) for k, t in rows}
+    other = set(sets.values()) - {frozenset()}
+    assert got == {k: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in other) for k, a in sets.items()}
+    assert sum(got.values()) > 4 * len(rows)  # far more than a tree of links
+
+
 def test_trie_visits_every_link():
     rs = random.Random(3)
     seqs = [np.array(sorted(rs.sample(range(30), rs.randint(1, 20)))) for _ in range(80)]
