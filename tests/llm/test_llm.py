@@ -645,6 +645,13 @@ def test_pipeline(spark):
     assert sorted(map(tuple, c.run(spark, sf).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in got)
 
 
+def test_pipeline_returns_tokens(spark, docs):
+    import corpus_pipeline as c
+
+    got = c.pack(spark, docs, "").collect()
+    assert got and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], np.uint32).tobytes()) == r["ids_crc32"] for r in got)
+
+
 def test_pipeline_odd_rows(spark, tmp_path):
     import corpus_pipeline as c
 
