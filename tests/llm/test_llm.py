@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force on small fixtures, with nulls, empties, ties, repeats, extra columns."""
 
 import base64
+import functools
 import hashlib
 import math
 import random
@@ -346,6 +347,7 @@ def brute_kneser_ney(train, texts):
         n = sum(both[v, x] for x in after[v])
         return (max(both[v, w] - d2, 0) + d2 * len(after[v]) * s1(w)) / n
 
+    @functools.cache
     def log_p(q, v, w):
         if v not in after:
             return math.log(r(q, w))
@@ -383,7 +385,6 @@ def test_toxicity_is_kneser_ney(spark, monkeypatch, head):
     assert len(got) == len(rows) + len(more)
     for (i, _), x in zip(rows + more, want, strict=True):
         assert got[i] == pytest.approx(x, abs=2e-5)
-    assert got[201] > got[202] and got[206] > got[202]
 
 
 def test_toxicity_curve_never_falls():
