@@ -1,22 +1,28 @@
 """Harmonic packing of tokenised documents into fixed-length sequences.
 
-A document is cut into pieces of exactly capacity / 1, / 2, / 4, ... tokens (the binary digits of its length), so every
-piece falls into a reciprocal-capacity class and a class's bin holds a fixed number of pieces: capacity / piece length.
-A worker fills the bins of each class on its own. What is left in a class at the end of a partition is laid out in
-sequences of 1, 2, 4, ... pieces, whose lengths are powers of two and need no padding either. No exchange is needed and
-a partition that is lost is simply packed again, with the same result.
+A document of n tokens fills n div capacity sequences by itself; what is left of it, of length r, falls into the
+reciprocal-capacity class k = capacity div r, the lengths from capacity / (k + 1) (without) to capacity / k. A bin of class k holds
+exactly k documents. What k documents leave open, less than one document of the class takes, is filled with the first tokens of the next
+document that comes by, which is cut there; so a sequence costs one cut at most and has no padding. A worker fills the
+bins of all classes on its own, in the order of its documents: no exchange is needed, and a partition that is lost is
+simply packed again, with the same result. What is left in open bins at the end of a partition is laid out one after
+another in full sequences and, for the last less than a capacity, sequences of powers of two.
+
+A worker holds its open bins: less than a capacity for each of the fewer than 2 * sqrt(capacity) classes.
 
 Tokens: the text is cut where no token can span (ASCII white space, between ASCII letters, digits and punctuation),
 each distinct unit of a chunk is tokenised once, and a worker remembers units across chunks in a bounded table.
 
-Defined results: a null or empty text is the end token alone; rows that repeat are packed one by one; extra columns are
-ignored; an empty table gives no pieces.
+Defined results: a null or empty text is the end token alone; rows that repeat, also with equal or null keys, are packed one
+by one; a text of any length is tokenised at once and cut at every capacity; documents of equal length fill bins in the order of the input; extra
+columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,47 +167,67 @@ def tokenizer(path: str) -> UnitTokenizer:
     return _tokenizers[path]
 
 
-def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of the pieces of n tokens: whole capacities, then the binary digits of the rest."""
-    at = 0
-    while n - at >= capacity:
-        yield at, capacity
-        at += capacity
-    size = capacity
-    while at < n:
-        size //= 2
-        if n - at >= size:
-            yield at, size
-            at += size
-
-
 class Bins:
-    """The open bins of a worker: one for each class. ``full`` holds rows (piece..., sequence, offset)."""
+    """The open bins of a worker, one for each class. ``full`` holds rows (key, start, tokens, document's tokens, sequence, offset)."""
 
     def __init__(self, first: int, capacity: int):
         self.next, self.capacity = first, capacity
         self.open: dict[int, list[tuple]] = {}
+        #: Bins with all their documents whose rest is still to be filled, and the tokens that they hold.
+        self.waiting: deque[tuple[list[tuple], int]] = deque()
         self.full: list[tuple] = []
 
-    def sequence(self, length: int, pieces: list[tuple]) -> None:
-        self.full += [(*p, self.next, i * length) for i, p in enumerate(pieces)]
+    def sequence(self, pieces: list[tuple]) -> None:
+        at = 0
+        for p in pieces:
+            self.full.append((*p, self.next, at))
+            at += len(p[2])
         self.next += 1
 
-    def add(self, length: int, piece: tuple) -> None:
-        pieces = self.open.setdefault(length, [])
-        pieces.append(piece)
-        if len(pieces) * length == self.capacity:
-            self.sequence(length, self.open.pop(length))
+    def add(self, key: object, own: np.ndarray) -> None:
+        """Places the tokens of a document."""
+        n, at = len(own), 0
+        while n - at >= self.capacity:
+            self.sequence([(key, at, own[at : at + self.capacity], n)])
+            at += self.capacity
+        while at < n and self.waiting:
+            pieces, have = self.waiting.popleft()
+            size = min(self.capacity - have, n - at)
+            pieces.append((key, at, own[at : at + size].copy(), n))
+            at, have = at + size, have + size
+            if have < self.capacity:
+                self.waiting.appendleft((pieces, have))
+            else:
+                self.sequence(pieces)
+        if at < n:
+            k = self.capacity // (n - at)
+            pieces = self.open.setdefault(k, [])
+            pieces.append((key, at, own[at:].copy(), n))
+            if len(pieces) == k:
+                del self.open[k]
+                have = sum(len(p[2]) for p in pieces)
+                if have < self.capacity:
+                    self.waiting.append((pieces, have))
+                else:
+                    self.sequence(pieces)
 
     def close(self) -> None:
-        """Lays out what is left in sequences whose lengths are powers of two."""
-        for length, pieces in sorted(self.open.items()):
-            at = 0
-            while at < len(pieces):
-                n = 1 << ((len(pieces) - at).bit_length() - 1)
-                self.sequence(length, pieces[at : at + n])
-                at += n
+        """Lays out what is left one after another; the last sequences have lengths of powers of two."""
+        left = [p for pieces, _ in self.waiting for p in pieces] + [p for _, pieces in sorted(self.open.items()) for p in pieces]
+        self.waiting.clear()
         self.open = {}
+        rest = sum(len(p[2]) for p in left)
+        pieces, have = [], 0
+        for key, start, own, n in left:
+            at = 0
+            while at < len(own):
+                room = self.capacity if rest >= self.capacity else 1 << (rest.bit_length() - 1)
+                size = min(room - have, len(own) - at)
+                pieces.append((key, start + at, own[at : at + size], n))
+                at, have = at + size, have + size
+                if have == room:
+                    self.sequence(pieces)
+                    pieces, have, rest = [], 0, rest - room
 
 
 def pack_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = True) -> DataFrame:
@@ -221,7 +247,8 @@ def pack_documents(docs: DataFrame, path: str, text: str = "text", key: str = "d
 
     arrow = to_arrow_schema(schema)
 
-    def rows(found: list[tuple]) -> pa.RecordBatch:
+    def rows(placed: list[tuple]) -> pa.RecordBatch:
+        found = [(k, at, len(part), *([part] if ids else []), zlib.crc32(part.tobytes()), n, seq, place) for k, at, part, n, seq, place in placed]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +262,8 @@ def pack_documents(docs: DataFrame, path: str, text: str = "text", key: str = "d
             for lo, hi in tx.chunks(ends, CHUNK):
                 flat, off = tok.encode(texts[lo:hi])
                 for i in range(hi - lo):
-                    own = np.append(flat[off[i] : off[i + 1]], np.uint32(end_id))
-                    n = len(own)
-                    for a, size in cut(n, capacity):
-                        part = own[a : a + size]
-                        bins.add(size, (keys[lo + i], a, size, *([part] if ids else []), zlib.crc32(part.tobytes()), n))
-                if len(bins.full) >= 20_000 or ids and bins.full:
+                    bins.add(keys[lo + i], np.append(flat[off[i] : off[i + 1]], np.uint32(end_id)))
+                if bins.full:
                     yield rows(bins.full)
                     bins.full = []
         bins.close()

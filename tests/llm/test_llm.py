@@ -529,6 +529,34 @@ def test_packing(docs, fixture, empty):
         packing.pack_documents(docs, path, capacity=100)
 
 
+@pytest.mark.parametrize("capacity", [1, 2, 64, 4096])
+def test_bins_of_reciprocal_classes(capacity):
+    rs = random.Random(capacity)
+    lengths = [rs.choice([1, rs.randint(1, 20), rs.randint(1, 3 * capacity), capacity, capacity // 3 + 1]) for _ in range(400)]
+    b = packing.Bins(7, capacity)
+    for i, n in enumerate(lengths):
+        b.add(i, np.arange(n, dtype=np.uint32) + i * 100_000)
+        assert len(b.open) <= 2 * capacity**0.5 and all(len(v) < k and sum(len(p[2]) for p in v) < capacity for k, v in b.open.items())
+    for pieces, have in b.waiting:
+        assert have == sum(len(p[2]) for p in pieces) < capacity
+    before = len(b.full)
+    b.close()
+    assert not b.open and not b.waiting
+    own, by = defaultdict(list), defaultdict(list)
+    for k, start, part, n, seq, place in b.full:
+        assert n == lengths[k] and (part == np.arange(start, start + len(part)) + k * 100_000).all()
+        own[k].append((start, len(part)))
+        by[seq].append((place, len(part)))
+    for k, n in enumerate(lengths):
+        assert [s for s, _ in sorted(own[k])] == [0, *np.cumsum([x for _, x in sorted(own[k])])[:-1]] and sum(x for _, x in own[k]) == n
+    sizes = []
+    for pieces in by.values():
+        assert [s for s, _ in sorted(pieces)] == [0, *np.cumsum([x for _, x in sorted(pieces)])[:-1]]
+        sizes.append(sum(x for _, x in pieces))
+    assert all(x <= capacity and x & (x - 1) == 0 for x in sizes) and sum(x < capacity for x in sizes) <= capacity.bit_length()
+    assert len(b.full) <= len(lengths) + len(by) and min(by) == 7 and before <= len(b.full)
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------
 
 
