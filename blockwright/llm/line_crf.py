@@ -5,11 +5,14 @@ repeated lines, lengths); the chain adds a weight for each pair of neighbouring
 only, so every line of a labelled document carries its label. Exact forward-backward, vectorised over documents, gives
 the marginal of each line; a document's quality is the mean marginal weighted by line length.
 
-The field is fitted on at most MAX_DOCS labelled documents (the smallest hashes of the key) and at most MAX_LINES
-lines of each; scoring reads whole texts.
+The field is fitted on at most MAX_DOCS labelled documents (those with the smallest hashes of the key, in that order as long
+as they have at most MAX_LINES lines together), all lines of each; scoring reads whole texts.
 
 Defined results: a null or empty text is one empty line, which is scored like any other; rows that repeat are scored one
-by one; null labels teach nothing; without training rows of both classes the field scores 0.5 everywhere.
+by one (of repeated training rows of a key the smallest text and the largest label count, once); null labels, null keys and
+labels without a document teach nothing; a score equal to a threshold passes it; extra columns are ignored; a text of any
+length is scored whole, in memory that follows its lines; an empty table gives no rows; without training rows of both
+classes the field scores 0.5 everywhere.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from blockwright.llm import text as tx
 
 MAX_DOCS = 4000
-MAX_LINES = 256
+MAX_LINES = 400_000
 CHUNK = 1 << 20
 STEPS = 120
 
@@ -97,8 +100,9 @@ def line_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.hstack([own, before, after, is_first[:, None], is_last[:, None], np.ones((n, 1))]).astype(np.float32), size, first
 
 
-def forward_backward(unary: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals P(good) of each line, expected transitions (2 x 2, summed) and log partition of each document.
+def forward_backward(unary: np.ndarray, first: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals P(good) of each line, expected transitions (2 x 2, summed, each document's times its ``weight``) and log
+    partition of each document.
 
     unary: score of state good of each line (bad scores 0); trans[a, b]: score of state b after state a.
     """
@@ -129,9 +133,10 @@ def forward_backward(unary: np.ndarray, first: np.ndarray, trans: np.ndarray) ->
     inner = np.ones(len(unary), bool)
     inner[first[:-1]] = False
     j = np.flatnonzero(inner)
+    times = 1.0 if weight is None else np.repeat(weight, n)[j]
     for a in range(2):
         for b in range(2):
-            pair[a, b] = np.exp(np.minimum(alpha[j - 1, a] + trans[a, b] + u[j, b] + beta[j, b] - z[j], 0)).sum()
+            pair[a, b] = (times * np.exp(np.minimum(alpha[j - 1, a] + trans[a, b] + u[j, b] + beta[j, b] - z[j], 0))).sum()
     return p, pair, log_z
 
 
@@ -142,25 +147,26 @@ class LineField:
         self.w = np.zeros(FEATURES)
         self.trans = np.zeros((2, 2))
 
+    def objective(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean log-likelihood of a line and its gradient in (w, trans): documents count alike, both classes have half the weight."""
+        n = np.diff(first)
+        weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y == 0).sum(), 1)) / n
+        state = np.repeat(y.astype(np.float64), n)
+        unary = x @ self.w
+        p, pair, log_z = forward_backward(unary, first, self.trans, weight)
+        own = np.add.reduceat(unary * state, first[:-1]) + (n - 1) * np.where(y > 0, self.trans[1, 1], self.trans[0, 0])
+        seen = np.diag([(weight * (n - 1))[y == 0].sum(), (weight * (n - 1))[y > 0].sum()])
+        return float((weight * (own - log_z)).sum()), np.r_[x.T @ (np.repeat(weight, n) * (state - p)), (seen - pair).ravel()]
+
     def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = STEPS) -> None:
-        """Gradient ascent (Adam) on the conditional likelihood; documents count alike, classes in the same total weight."""
+        """Gradient ascent (Adam) on ``objective`` with a small ridge."""
         if not len(y) or y.min() == y.max():
             return
-        n = np.diff(first)
-        weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
-        # the likelihood of a document weighs its share, so each document is a chain of its own with that factor
-        lines = np.repeat(weight / n, n)
-        state = np.repeat(y.astype(np.float64), n)
         theta = np.zeros(FEATURES + 4)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for t in range(1, steps + 1):
             self.w, self.trans = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
-            p, pair, _ = forward_backward(x @ self.w, first, self.trans)
-            g = np.zeros_like(theta)
-            g[:FEATURES] = x.T @ (lines * (state - p))
-            seen = np.array([[(n[y == 0] - 1).sum(), 0], [0, (n[y > 0] - 1).sum()]], float)
-            g[FEATURES:] = ((seen - pair) / max(n.sum(), 1)).ravel()
-            g -= 1e-4 * theta
+            g = self.objective(x, first, y)[1] - 1e-4 * theta
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         self.w, self.trans = theta[:FEATURES].copy(), theta[FEATURES:].reshape(2, 2).copy()
@@ -173,11 +179,15 @@ class LineField:
         return np.clip(np.bincount(doc, w * p, minlength=len(off) - 1) / np.bincount(doc, w, minlength=len(off) - 1), 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", quality: str = "quality", max_docs: int = MAX_DOCS) -> LineField:
-    """A field fitted on at most ``max_docs`` labelled documents, chosen by the hash of their key."""
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", quality: str = "quality", max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> LineField:
+    """A field fitted on at most ``max_docs`` labelled documents of ``max_lines`` lines, chosen by the hash of their key."""
     y = labels.where(F.col(key).isNotNull() & F.col(quality).isNotNull()).groupBy(key).agg(F.max(quality).alias("_y"))
     y = y.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(max_docs)
-    rows = docs.select(key, text).join(F.broadcast(y), key)  # at most max_docs rows
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)).join(F.broadcast(y), key)  # at most max_docs keys
+    rows = rows.groupBy(key, "_y").agg(F.min(text).alias(text))
+    lines = F.length(F.regexp_replace(text, "[^\n]", "")) + 1
+    before = F.sum(lines).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.col(key).cast("string")), key))  # of max_docs rows
+    rows = rows.withColumn("_lines", before).where(F.col("_lines") <= max_lines)
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("x", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
@@ -188,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 x, _, first = line_features(buf, off)
                 out = []
                 for i in range(hi - lo):
-                    part = x[first[i] : min(first[i + 1], first[i] + MAX_LINES)]
+                    part = x[first[i] : first[i + 1]]
                     out.append((int(ys[lo + i] > 0), len(part), np.ascontiguousarray(part).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 

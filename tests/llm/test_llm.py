@@ -262,6 +262,36 @@ def test_forward_backward_is_exact():
     assert np.allclose(p, want) and np.allclose(pair, expect)
 
 
+def test_line_field_gradient_is_that_of_the_likelihood():
+    rs = np.random.default_rng(3)
+    n = rs.integers(1, 9, 12)
+    first = np.r_[0, np.cumsum(n)]
+    x, y = rs.normal(size=(first[-1], line_crf.FEATURES)), np.arange(12) % 2
+    f = line_crf.LineField()
+    f.w, f.trans = rs.normal(size=line_crf.FEATURES) * 0.1, rs.normal(size=(2, 2))
+    _, g = f.objective(x, first, y)
+    theta = np.r_[f.w, f.trans.ravel()]
+    for i in [*range(0, line_crf.FEATURES, 7), *range(line_crf.FEATURES, len(theta))]:
+        up, down = theta.copy(), theta.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        ends = []
+        for t in (up, down):
+            f.w, f.trans = t[: line_crf.FEATURES], t[line_crf.FEATURES :].reshape(2, 2)
+            ends.append(f.objective(x, first, y)[0])
+        assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(g[i], abs=1e-7)
+
+
+def test_line_field_learns_from_whole_texts(spark):
+    """The bad lines of a document come after its first 300 lines; repeated rows of a key count once."""
+    good = "\n".join(["a plain line of some words"] * 300)
+    rows = [(i, good + ("\n||| 99 ### !!!" * 300 if i % 2 else "")) for i in range(40)] + [(1, good + "\n||| 99 ### !!!" * 300)] * 20
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    f = line_crf.train(d, d.selectExpr("doc_id", "cast(1 - doc_id % 2 as int) as quality").distinct())
+    tail = line_crf.classify(spark.createDataFrame([(1, "||| 99 ### !!!\n" * 9), (2, "a plain line of some words\n" * 9)], "doc_id long, text string"), f).collect()
+    assert {r["doc_id"]: r["score"] for r in tail}[1] < 0.2 < 0.5 < {r["doc_id"]: r["score"] for r in tail}[2]
+
+
 def test_line_features_do_not_depend_on_neighbours():
     texts = ["a b\nA!! B!!\n\nx", "", "tail\n", "a b\nA!! B!!\n\nx"]
     raw = [t.encode() for t in texts]
