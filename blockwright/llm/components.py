@@ -12,12 +12,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) of every id in ``edges`` (a, b): the smallest id reachable.
 
     A large star connects the larger neighbours of each id to the smallest one, a small star the smaller ones; stars
-    are reached in a logarithmic number of rounds. Smallest neighbours are aggregated before they are shuffled and no
-    neighbourhood is ever gathered in one task. Each round is cut off by a checkpoint.
+    are reached in a logarithmic number of rounds. Smallest neighbours are aggregated before they are shuffled; the
+    edges of a hub meet its smallest neighbour in a join whose large partitions adaptive execution splits. Each round is
+    cut off by a checkpoint. More than ``rounds`` rounds are an error, never an incomplete result.
     """
     shared_folder(edges.sparkSession)
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    first = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    e = first.where("u <> v")
     last = None
     for _ in range(rounds):
         both = e.union(e.select("v", "u"))
@@ -30,5 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if (now["n"], now["h"]) == last:
             break
         last = (now["n"], now["h"])
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
+    ids = first.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     roots = e.groupBy("u").agg(F.min("v").alias("root"))
     return ids.join(roots, ids["id"] == roots["u"], "left").select("id", F.coalesce("root", "id").alias("root"))

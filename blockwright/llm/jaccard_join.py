@@ -10,10 +10,12 @@ are found; equal sets form one class and count once.
    end here.
 3. Candidates: the global order puts rarer shingles first (by the count of step 2, then by hash); linked sets share one of their first shingles (the prefix
    that leaves too little for a link). Sets that share one, and whose sizes allow a link, are chained to candidate
-   components; no pairs are made.
-4. Join: the sets of a candidate component (in bounded blocks, if it is large) are stored in a trie in the global order;
-   each set is looked up in it, sharing the overlap of common paths, pruned by what the remaining lengths allow. Every
-   link is verified and counted once for each of its sets; those that connect are kept.
+   components; no pairs are made. A batch chains its own sets first and sends a shingle once for each chain, so that what
+   is sent does not grow with the number of tasks times that of sets.
+4. Join: the sets of a candidate component are stored in a trie in the global order; each set is looked up in it, sharing
+   the overlap of common paths, pruned by what the remaining lengths allow. A component of more than BLOCK sets is cut
+   into blocks of sets with the same smallest shingle (a large one by hash), and only blocks that share a prefix shingle
+   meet. Every link is verified and counted once for each of its sets; those that connect are kept.
 5. Components of the links give each document its component. A document's links are those of its class (equal sets) with
    other classes.
 
@@ -108,7 +110,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
 
 SENT = T.StructType([T.StructField("to", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 SETS = T.StructType([T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType())])
-POSTING = T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sid", T.LongType())])
+#: kind 0: a set (to) and the set that stands for its chain (sid); kind 1: a shingle (to) of a chain (sid) and the sizes of its sets there.
+POSTING = T.StructType([T.StructField("to", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("sid", T.LongType())])
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 LINK = T.StructType([*EDGE.fields, T.StructField("n", T.LongType()), T.StructField("part", T.BooleanType())])
 #: A shingle of a set: hash and how often it occurs.
@@ -259,23 +262,52 @@ class Forest:
         return True
 
 
+def prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, their sets) of the prefixes of a batch of (sid, n, tokens, ...): sets that link share one of these."""
+    token = []
+    for n, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        t = np.frombuffer(raw, SHINGLE_OF)["token"]
+        # shingles that do not repeat come first of all and cannot be shared
+        token.append(t[: max(n - needed(n) + 1 - (n - len(t)), 0)])
+    return np.concatenate(token).astype(np.int64), np.repeat(np.arange(len(token)), [len(t) for t in token])
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n elements the smallest that edges (a, b) reach."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+
+
 def candidate_edges(sets: DataFrame) -> DataFrame:
     """(a, b): sets that share a shingle of their prefixes and whose sizes allow a link, chained."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            token, size, sid = [], [], []
-            for s, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                t = np.frombuffer(raw, SHINGLE_OF)["token"]
-                # shingles that do not repeat come first of all and cannot be shared
-                t = t[: max(n - needed(n) + 1 - (n - len(t)), 0)]
-                token.append(t.astype(np.int64))
-                size.append(np.full(len(t), n))
-                sid.append(np.full(len(t), s))
-            yield _columns([np.concatenate(token), np.concatenate(size), np.concatenate(sid)], POSTING)
+            sid, size = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            token, owner = prefixes(b)
+            order = np.lexsort((size[owner], token))
+            t, o = token[order], owner[order]
+            near = np.flatnonzero((t[1:] == t[:-1]) & (DEN * size[o[:-1]] >= NUM * size[o[1:]]))
+            label = joined(len(sid), o[near], o[near + 1])
+            inner = np.flatnonzero(label != np.arange(len(sid)))
+            if len(inner):
+                yield _columns([sid[inner], np.zeros(len(inner), np.int32), size[inner], size[inner], sid[label[inner]]], POSTING)
+            chain_of = label[o]
+            order = np.lexsort((chain_of, t))
+            t, chain_of, n = t[order], chain_of[order], size[o[order]]
+            at = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (chain_of[1:] != chain_of[:-1])]) if len(t) else np.zeros(0, np.int64)
+            if len(at):
+                yield _columns([t[at], np.ones(len(at), np.int32), np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), sid[chain_of[at]]], POSTING)
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by shingle and size; neighbours are joined. Each set that has one ends up next to its task's smallest."""
+        """Rows come by shingle and smallest size; what the sizes so far reach is joined. Each chain that has one ends up next
+        to its task's smallest."""
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -284,21 +316,28 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
                 x = up
             return x
 
-        last = (None, 0, 0)
+        shingle, reach, at = None, 0, 0
         for b in batches:
-            for t, n, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if t == last[0] and s != last[2] and DEN * last[1] >= NUM * n:
-                    x, y = find(s), find(last[2])
+            inner = []
+            for to, kind, lo, hi, s in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if kind == 0:
+                    inner.append((to, s))
+                    continue
+                if to == shingle and DEN * reach >= NUM * lo:
+                    x, y = find(s), find(at)
                     if x != y:
                         root[max(x, y)] = min(x, y)
-                last = (t, n, s)
+                    if hi > reach:
+                        reach, at = hi, s
+                else:
+                    shingle, reach, at = to, hi, s
+            if inner:
+                yield _batch(inner, EDGE)
         if root:
             yield _batch([(x, find(x)) for x in root], EDGE)
 
-    # each task names every set that it has seen once, so fewer tasks over the same partitions send fewer rows
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sets.mapInArrow(post, POSTING).repartition(parts, "token").sortWithinPartitions("token", "n", "sid")
-    return dealt.coalesce(max(2, parts // 4)).mapInArrow(chain, EDGE)
+    return sets.mapInArrow(post, POSTING).repartition(parts, "to").sortWithinPartitions("kind", "to", "lo", "sid").mapInArrow(chain, EDGE)
 
 
 class Trie:
@@ -393,6 +432,34 @@ def join_block(sids: list[int], sizes: list[int], tokens: list[np.ndarray], bloc
     return out
 
 
+def met_blocks(placed: DataFrame) -> DataFrame:
+    """(g, sid, n, tokens, part, i): the sets of large components (root) by the meetings g of their blocks i.
+
+    A block holds sets with the same smallest shingle, or part of them if there are more than BLOCK.
+    """
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = [int(np.frombuffer(raw, SHINGLE_OF)["token"].min(initial=(1 << 48) - 1)) for raw in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], names=[*b.schema.names, "least"])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            token, owner = prefixes(b)
+            both = np.unique(np.stack([token, b.column(3).to_numpy(zero_copy_only=False)[owner]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["token", "i"])
+
+    kinds = T.StructType([*placed.schema.fields, T.StructField("least", T.LongType())])
+    # sets of equal smallest shingles go together, few of them with others of the component
+    some = placed.mapInArrow(smallest, kinds).withColumn("home", F.xxhash64("root", F.pmod("least", F.ceil(F.col("many") / BLOCK))))
+    crowd = some.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("subs"))
+    some = some.join(crowd, "home").select("sid", "n", "tokens", F.xxhash64("home", F.pmod(F.xxhash64("sid"), F.col("subs"))).alias("i")).checkpoint()
+    posted = some.mapInArrow(post, "token long, i long").distinct().checkpoint()
+    pairs = posted.join(posted.withColumnRenamed("i", "j"), "token").where("i <= j").select("i", "j").distinct()
+    meet = pairs.select(F.xxhash64("i", "j").alias("g"), F.explode(F.array_distinct(F.array("i", "j"))).alias("i"))
+    return some.join(meet, "i").withColumn("part", F.lit(True))
+
+
 def link_forest(sets: DataFrame) -> DataFrame:
     """(a, b, n, part): sets with a link, the smallest that links reach, and their number of links.
 
@@ -400,13 +467,15 @@ def link_forest(sets: DataFrame) -> DataFrame:
     """
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cand = components(candidate_edges(sets))
-    size = cand.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = sets.join(cand, sets["sid"] == cand["id"]).join(size, "root")
-    mine = F.pmod(F.xxhash64("sid"), F.col("blocks"))
-    # a block of sets meets every block of its candidate component once; most components are a single block
-    dealt = placed.select("root", "sid", "n", "tokens", "blocks", mine.alias("i")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("j"))
-    dealt = dealt.select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "sid", "n", "tokens", (F.col("blocks") > 1).alias("part"), "i")
+    cand = components(candidate_edges(sets)).checkpoint()
+    # the component's size meets its ids, not its sets: those come by id
+    size = cand.groupBy("root").agg(F.count("*").alias("many"))
+    placed = sets.join(cand.join(size, "root"), sets["sid"] == cand["id"]).select("sid", "n", "tokens", "root", "many")
+    columns = ("g", "sid", "n", "tokens", "part", "i")
+    dealt = placed.where(F.col("many") <= BLOCK).select(F.xxhash64("root").alias("g"), "sid", "n", "tokens", F.lit(False).alias("part"), F.lit(0).cast("long").alias("i"))
+    if not size.where(F.col("many") > BLOCK).isEmpty():
+        dealt = dealt.unionByName(met_blocks(placed.where(F.col("many") > BLOCK)).select(*columns))
+    dealt = dealt.select(*columns)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, cut = None, ([], [], [], []), False
@@ -461,7 +530,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     least = least.join(roots, least["sid"] == roots["id"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     comp = least.groupBy("root").agg(F.min("least").alias("component"))
     by_set = least.join(comp, "root").join(counts, F.col("sid") == F.col("linked"), "left").select("sid", "component", "n_links")
-    out = info.join(by_set, "sid", "left")
+    # empty sets have no class to look up
+    out = info.where("sid <> 0").join(by_set, "sid", "left").unionByName(info.where("sid = 0").select("*", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("n_links")))
     name = lambda c: F.nullif(F.col(c), F.lit(NO_KEY))
     return out.select(name("key").alias(key), "n_shingles", F.col("sid").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("sid") == 0, name("key")).otherwise(name("component")).alias("component_id"))
 
