@@ -61,6 +61,19 @@ def srgb_to_linear(v: Column) -> Column:
     return F.floor(F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4))) * 65535 + 0.5)
 
 
+def float_to_half(f: Column) -> Column:
+    """The bits of a half float of a non-negative value, ties up; others as 0, large ones as the largest."""
+    guess = F.floor(F.log2(F.when(f > 0, f)))
+    two = lambda n: F.pow(F.lit(2.0), n)
+    e = F.when(two(guess + 1) <= f, guess + 1).when(two(guess) > f, guess - 1).otherwise(guess)
+    small = F.floor((f * 16777216).cast("float") + F.lit(0.5).cast("float"))
+    return F.when(~(f > 0), 0).when(f >= 65504, 0x7BFF).when(f < 2.0**-14, small).otherwise(F.floor(f * two(10 - e) + 0.5) + (e + 14) * 1024).cast("long")
+
+
+def half_to_float(h: Column) -> Column:
+    return F.when(h < 1024, h / 16777216.0).otherwise((1 + h % 1024 / 1024.0) * F.pow(F.lit(2.0), F.floor(h / 1024) - 15))
+
+
 def token_groups(token: Column) -> Column:
     """Group of a token: literal length class (0, 1, 2-3, more) by match class (0-1, 2-4, 5-14, 15)."""
     lit, match = F.shiftright(token, 4), token.bitwiseAND(F.lit(15))

@@ -77,7 +77,7 @@ SELECT coalesce(nullif(lower(regexp_extract(name, '\.([^./]*)$', 1)), ''), '(non
 
 def is_safe(name: Column) -> Column:
     """Whether a stored name may be written below a target folder: no empty, ``.`` or ``..`` part, no drive or backslash."""
-    parts = F.split(F.regexp_replace(name, "/$", ""), "/")
+    parts = F.split(F.regexp_replace(name, "/\\z", ""), "/")
     return (name != "") & F.forall(parts, lambda s: ~s.isin("", ".", "..")) & ~name.rlike("[\\\\:\\x00]")
 
 
@@ -85,24 +85,24 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of pages as they are, without scheme, and with stray parts, each with the verdict."""
     p = table(spark, sf_dir, "pages")
     bare = F.regexp_replace("url", "^[a-z]+://", "")
-    forms = F.array(F.col("url"), bare, F.concat(bare, F.lit("/../x")), F.concat(F.lit("/"), bare), F.concat(bare, F.lit("/")), F.concat(bare, F.lit("//y")))
+    forms = F.array(F.col("url"), bare, F.concat(bare, F.lit("/../x")), F.concat(F.lit("/"), bare), F.concat(bare, F.lit("/")), F.concat(bare, F.lit("//y")), F.concat(bare, F.lit("//\n")))
     n = p.select("page_id", F.posexplode(forms).alias("form", "name"))
     return n.select("page_id", F.col("form").cast("int").alias("form"), "name", is_safe(F.col("name")).alias("safe"))
 
 
 SAFE_NAMES = r"""WITH b AS (SELECT page_id, url, regexp_replace(url, '^[a-z]+://', '') AS bare FROM pages),
-n AS (SELECT page_id, unnest(range(0, 6)) AS form, unnest([url, bare, bare || '/../x', '/' || bare, bare || '/', bare || '//y']) AS name FROM b)
+n AS (SELECT page_id, unnest(range(0, 7)) AS form, unnest([url, bare, bare || '/../x', '/' || bare, bare || '/', bare || '//y', bare || '//' || chr(10)]) AS name FROM b)
 SELECT page_id, CAST(form AS INTEGER) AS form, name,
-  name <> '' AND NOT contains(name, chr(92)) AND NOT contains(name, ':') AND len(list_filter(string_split(regexp_replace(name, '/$', ''), '/'), lambda s: s IN ('', '.', '..'))) = 0 AS safe FROM n"""
+  name <> '' AND NOT contains(name, chr(92)) AND NOT contains(name, ':') AND len(list_filter(string_split(CASE WHEN right(name, 1) = '/' THEN left(name, -1) ELSE name END, '/'), lambda s: s IN ('', '.', '..'))) = 0 AS safe FROM n"""
 
 
 def substring_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose name holds any of the alternatives of a bar-separated list; empty alternatives do nothing."""
-    only = F.split(F.lit("a1||7|e-"), "[|]")
+    only = F.split(F.lit("ring||no such|e b"), "[|]")
     return table(spark, sf_dir, "part").where(F.exists(only, lambda s: (s != "") & F.contains(F.col("p_name"), s))).select("p_partkey", "p_name")
 
 
-SUBSTRING_FILTER = "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'a1') OR contains(p_name, '7') OR contains(p_name, 'e-')"
+SUBSTRING_FILTER = "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'no such') OR contains(p_name, 'e b')"
 
 QUERIES = {
     "archive_toc": (archive_toc, ARCHIVE_TOC),

@@ -11,8 +11,8 @@ from pyspark.sql.window import Window, WindowSpec
 
 from blockwright.session import table
 
-#: The standard frame rates that a measured rate may be snapped to.
-RATES = (24000 / 1001, 24.0, 25.0, 30000 / 1001, 30.0, 50.0, 60000 / 1001, 60.0)
+#: The standard frame rates (numerator, denominator) that a measured rate may be snapped to.
+RATES = ((24000, 1001), (24, 1), (25, 1), (30000, 1001), (30, 1), (50, 1), (60000, 1001), (60, 1), (120, 1))
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,15 +85,22 @@ SELECT s_suppkey AS clip, CAST(s_nationkey + 5 AS BIGINT) AS rows, least(8, CAST
 
 
 def rate_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's measured rate, snapped to the last standard rate within half a percent of it."""
-    m = table(spark, sf_dir, "customer").select("c_custkey", F.round(23.5 + F.pmod(F.col("c_custkey") * 37, F.lit(3700)) / 100.0, 4).alias("measured"))
-    rate = F.coalesce(*[F.when(F.abs(F.col("measured") - r) < F.col("measured") * 0.005, F.lit(r)) for r in reversed(RATES)], F.col("measured"))
-    return m.select("c_custkey", "measured", F.round(rate, 6).alias("rate"))
-
-
-RATE_SNAP = """WITH m AS (SELECT c_custkey, round(23.5::DOUBLE + (c_custkey * 37 % 3700) / 100.0::DOUBLE, 4) AS measured FROM customer),
-r(i, rate) AS (VALUES (0, 24000 / 1001.0::DOUBLE), (1, 24.0), (2, 25.0), (3, 30000 / 1001.0::DOUBLE), (4, 30.0), (5, 50.0), (6, 60000 / 1001.0::DOUBLE), (7, 60.0))
-SELECT c_custkey, measured, round(coalesce((SELECT max_by(rate, i) FROM r WHERE abs(measured - rate) < measured * 0.005::DOUBLE), measured), 6) AS rate FROM m"""
+    """Each clip's stated rate, or, if the measured one is off by more than 5 % of it, the last standard rate within half a
+    percent of the measured one, else the measured one in thousandths."""
+    m = table(spark, sf_dir, "customer").select("c_custkey", (F.lit(24.0) + F.pmod("c_custkey", F.lit(4)) * 12).alias("stated"), F.round(23.5 + F.pmod(F.col("c_custkey") * 37, F.lit(9800)) / 100.0, 4).alias("measured"))
+    near = [F.abs(F.col("measured") - F.lit(n / d)) < F.col("measured") * 0.005 for n, d in RATES]
+    pick = lambda k: F.coalesce(*[F.when(hit, F.lit(r[k]).cast("long")) for hit, r in zip(reversed(near), reversed(RATES), strict=True)])
+    off = F.abs(F.col("measured") - F.col("stated")) > F.col("stated") * 0.05
+    num = F.when(~off, F.col("stated").cast("long")).otherwise(F.coalesce(pick(0), F.floor(F.col("measured") * 1000 + 0.5)))
+    den = F.when(~off, F.lit(1).cast("long")).otherwise(F.coalesce(pick(1), F.lit(1000).cast("long")))
+    return m.select("c_custkey", "stated", "measured", num.alias("num"), den.alias("den"))
+
+
+RATE_SNAP = f"""WITH m AS (SELECT c_custkey, 24.0::DOUBLE + c_custkey % 4 * 12 AS stated, round(23.5::DOUBLE + (c_custkey * 37 % 9800) / 100.0::DOUBLE, 4) AS measured FROM customer),
+r(i, n, d) AS (VALUES {", ".join(f"({i}, {n}::BIGINT, {d}::BIGINT)" for i, (n, d) in enumerate(RATES))}),
+s AS (SELECT m.*, (SELECT max(i) FROM r WHERE abs(measured - n / d::DOUBLE) < measured * 0.005::DOUBLE) AS i FROM m)
+SELECT c_custkey, stated, measured, CASE WHEN abs(measured - stated) <= stated * 0.05::DOUBLE THEN CAST(stated AS BIGINT) WHEN s.i IS NULL THEN CAST(floor(measured * 1000 + 0.5) AS BIGINT) ELSE n END AS num,
+CASE WHEN abs(measured - stated) <= stated * 0.05::DOUBLE THEN 1 WHEN s.i IS NULL THEN 1000 ELSE d END AS den FROM s LEFT JOIN r ON r.i = s.i"""
 
 
 def rolling_average(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,28 +102,6 @@ BAND_REUSE = """WITH r AS (SELECT l_partkey % 50 AS img, l_suppkey % 20 AS field
 SELECT img, i, field, coalesce((SELECT min(r.i - b.i) FROM r b WHERE b.img = r.img AND b.field = r.field AND b.i < r.i AND b.i >= r.i - 16), 0) AS distance FROM r"""
 
 
-def hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 4 of 64 patterns nearest to each 16-pixel mask, by differing bits or those of the complement; ties by pattern."""
-    p = _pixels(spark, sf_dir).where("x < 16")
-    mask = p.groupBy("y").agg(F.sum(F.when(F.col("f") > 0, F.pow(F.lit(2), F.col("x")).cast("long")).otherwise(0)).cast("long").alias("mask"))
-    k = mask.select("y", "mask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("seed"))
-    bits = F.bit_count(F.col("mask").bitwiseXOR(pattern(F.col("seed"))))
-    k = k.select("y", "seed", F.least(bits, 16 - bits).alias("bits"))
-    four = k.groupBy("y").agg(F.slice(F.sort_array(F.collect_list(F.struct("bits", "seed"))), 1, 4).alias("four"))
-    return four.select("y", F.posexplode("four").alias("rank", "b")).select("y", "rank", F.col("b.seed").alias("seed"), F.col("b.bits").alias("bits"))
-
-
-def pattern(seed: Column) -> Column:
-    """A 16-bit pattern of a seed."""
-    return F.pmod(seed * 40503 + 12345, F.lit(65536))
-
-
-HAMMING_TOPK = f"""WITH {_PIXELS}, m AS (SELECT y, CAST(sum(CASE WHEN f > 0 THEN 1 << CAST(x AS INTEGER) ELSE 0 END) AS BIGINT) AS mask FROM px WHERE x < 16 GROUP BY y),
-k AS (SELECT y, seed, bit_count(xor(mask, (seed * 40503 + 12345) % 65536)) AS b FROM m CROSS JOIN range(64) AS t(seed)),
-r AS (SELECT y, seed, CAST(least(b, 16 - b) AS INTEGER) AS bits FROM k)
-SELECT y, CAST(row_number() OVER (PARTITION BY y ORDER BY bits, seed) - 1 AS INTEGER) AS rank, seed, bits FROM r QUALIFY rank < 4"""
-
-
 def bc4_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 8 levels between two 8-bit ends: 6 between them if the first is larger, else 4 and the extremes."""
     e = spark.range(256).select(F.col("id").alias("a")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"), F.lit(17).cast("long"))).alias("b"))
@@ -177,24 +155,33 @@ SELECT quality, CAST(i AS INTEGER) AS i, greatest(1, least(255, (base * CASE WHE
 FROM range(1, 101) AS q(quality), b"""
 
 
+#: Scale of limited-range luma and chroma, and the matrices of both standards (v to r, u and v to g, u to b).
+LIMITED = (1.164, 1.138)
+MATRIX = {1: (1.5748, 0.1873, 0.4681, 1.8556), 0: (1.402, 0.344, 0.714, 1.772)}
+
+
 def yuv_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours of sampled YUV triples, limited range, by the two usual matrices (709 from 720 lines on)."""
-    s = lambda c: F.explode(F.sequence(F.lit(16).cast("long"), F.lit(235).cast("long"), F.lit(73).cast("long"))).alias(c)
-    p = spark.range(2).select(F.col("id").alias("hd"))
+    """Colours of 0 to 255 of sampled YUV triples, limited and full range, by both usual matrices (709 from 720 lines on)."""
+    s = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"), F.lit(51).cast("long"))).alias(c)
+    p = spark.range(4).select((F.col("id") % 2).alias("hd"), F.floor(F.col("id") / 2).alias("full"))
     for c in ("y", "u", "v"):
         p = p.select("*", s(c))
-    y, u, v = (F.col("y") - 16) * 255 / 219, (F.col("u") - 128) * 255 / 224, (F.col("v") - 128) * 255 / 224
-    pick = lambda a, b: F.when(F.col("hd") == 1, F.lit(a)).otherwise(F.lit(b))
-    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(255.0), c))
-    r, g, b = y + pick(1.5748, 1.402) * v, y - pick(0.1873, 0.344136) * u - pick(0.4681, 0.714136) * v, y + pick(1.8556, 1.772) * u
-    return p.select("hd", "y", "u", "v", *[F.round(clip(c), 3).alias(n) for n, c in (("r", r), ("g", g), ("b", b))])
-
-
-YUV_RGB = """WITH s(a) AS (VALUES (16), (89), (162), (235)), p AS (SELECT hd, CAST(y.a AS BIGINT) AS y, CAST(u.a AS BIGINT) AS u, CAST(v.a AS BIGINT) AS v FROM range(2) AS h(hd), s y, s u, s v),
-n AS (SELECT *, (y - 16) * 255 / 219 AS l, (u - 128) * 255 / 224 AS cb, (v - 128) * 255 / 224 AS cr FROM p),
-c AS (SELECT *, l + CASE hd WHEN 1 THEN 1.5748::DOUBLE ELSE 1.402 END * cr AS r0, l - CASE hd WHEN 1 THEN 0.1873::DOUBLE ELSE 0.344136 END * cb - CASE hd WHEN 1 THEN 0.4681::DOUBLE ELSE 0.714136 END * cr AS g0,
-  l + CASE hd WHEN 1 THEN 1.8556::DOUBLE ELSE 1.772 END * cb AS b0 FROM n)
-SELECT hd, y, u, v, round(greatest(0.0::DOUBLE, least(255.0, r0)), 3) AS r, round(greatest(0.0::DOUBLE, least(255.0, g0)), 3) AS g, round(greatest(0.0::DOUBLE, least(255.0, b0)), 3) AS b FROM c"""
+    wide = F.col("full") == 1
+    y = F.when(wide, F.col("y") / 255.0).otherwise((F.col("y") - 16) / 255.0 * LIMITED[0])
+    chroma = lambda c: (F.col(c) / 255.0 - 0.5) * F.when(wide, F.lit(1.0)).otherwise(F.lit(LIMITED[1]))
+    u, v = chroma("u"), chroma("v")
+    m = [F.when(F.col("hd") == 1, F.lit(a)).otherwise(F.lit(b)) for a, b in zip(MATRIX[1], MATRIX[0], strict=True)]
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * 255
+    r, g, b = y + m[0] * v, y - m[1] * u - m[2] * v, y + m[3] * u
+    return p.select("hd", "full", "y", "u", "v", *[F.round(clip(c), 3).alias(n) for n, c in (("r", r), ("g", g), ("b", b))])
+
+
+_M = [f"CASE hd WHEN 1 THEN {a}::DOUBLE ELSE {b}::DOUBLE END" for a, b in zip(MATRIX[1], MATRIX[0], strict=True)]
+YUV_RGB = f"""WITH p AS (SELECT id % 2 AS hd, id // 2 AS "full", y * 51 AS y, u * 51 AS u, v * 51 AS v FROM range(4) AS h(id), range(6) AS a(y), range(6) AS b(u), range(6) AS c(v)),
+n AS (SELECT *, CASE WHEN "full" = 1 THEN y / 255.0::DOUBLE ELSE (y - 16) / 255.0::DOUBLE * {LIMITED[0]}::DOUBLE END AS l, (u / 255.0::DOUBLE - 0.5) * CASE WHEN "full" = 1 THEN 1.0::DOUBLE ELSE {LIMITED[1]}::DOUBLE END AS cb,
+  (v / 255.0::DOUBLE - 0.5) * CASE WHEN "full" = 1 THEN 1.0::DOUBLE ELSE {LIMITED[1]}::DOUBLE END AS cr FROM p),
+c AS (SELECT *, l + {_M[0]} * cr AS r0, l - {_M[1]} * cb - {_M[2]} * cr AS g0, l + {_M[3]} * cb AS b0 FROM n)
+SELECT hd, "full", y, u, v, {", ".join(f"round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x}0)) * 255, 3) AS {x}" for x in "rgb")} FROM c"""
 
 QUERIES = {
     "mip_level": (mip_level, MIP_LEVEL),
@@ -202,7 +189,6 @@ QUERIES = {
     "psnr": (psnr, PSNR),
     "sad_search": (sad_search, SAD_SEARCH),
     "band_reuse": (band_reuse, BAND_REUSE),
-    "hamming_topk": (hamming_topk, HAMMING_TOPK),
     "bc4_palette": (bc4_palette, BC4_PALETTE),
     "bc1_palette": (bc1_palette, BC1_PALETTE),
     "quant_tables": (quant_tables, QUANT_TABLES),
