@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -68,9 +68,15 @@ def extended(v: int) -> bytes:
 
 
 def encode(data: bytes, dictionary: bytes = b"") -> bytes:
-    """A plain block; ``dictionary`` is history before it."""
-    whole, at, out = dictionary + data, len(dictionary), bytearray()
-    for lits, n, off in sequences(whole, len(dictionary)):
+    """A plain block of the greedy parse; ``dictionary`` is history before it."""
+    whole = dictionary + data
+    return write(whole, sequences(whole, len(dictionary)), len(dictionary))
+
+
+def write(whole: bytes, parse: Iterable[tuple[int, int, int]], start: int = 0) -> bytes:
+    """A plain block of a parse of ``whole`` from ``start`` on."""
+    at, out = start, bytearray()
+    for lits, n, off in parse:
         m = n - LEAST if n else 0
         out.append(min(lits, 15) << 4 | min(m, 15))
         out += extended(lits) + whole[at : at + lits]

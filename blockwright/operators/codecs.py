@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwright.functions import CorruptData, containers, dictionary, entropy, frame, huffman, lz, texture, turbo, video, x86
+from blockwright.functions import CorruptData, containers, dictionary, entropy, entropy3, frame, huffman, lz, parse, texture, turbo, video, x86
 from blockwright.session import table
 
 BLOCK = 16 << 10
@@ -70,6 +70,56 @@ def roundtrip_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, entropy.encode, entropy.decode)
 
 
+def roundtrip_entropy3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document coded in entropy blocks of version 3 and back, with repeat indices in the tokens of every second block."""
+    return _round_trip(spark, sf_dir, lambda b: entropy3.encode(b, commands=len(b) % 2 == 1), entropy3.decode)
+
+
+def roundtrip_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document coded in plain blocks of the lazy parse and back."""
+    return _round_trip(spark, sf_dir, lambda b: lz.write(b, parse.lazy(b)), lz.decode)
+
+
+def parse_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every message and of its plain blocks by each parse, and of its entropy blocks; the parses must decode."""
+
+    def sizes(raw: bytes) -> tuple:
+        ways = [lz.write(raw, p) for p in (lz.sequences(raw), parse.skipping(raw), parse.lazy(raw), parse.cheapest(raw))]
+        if any(lz.decode(w, len(raw)) != raw for w in ways):
+            raise CorruptData("a parse does not decode")
+        return len(raw), *map(len, ways), len(entropy.encode(raw)), len(entropy3.encode(raw, parse.repriced(raw)))
+
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    out = map_bytes(rows, "key", "text", sizes, "raw long, greedy long, skipping long, lazy long, cheapest long, entropy2 long, entropy3 long")
+    return out.select("key.conv_id", "key.turn", "raw", "greedy", "skipping", "lazy", "cheapest", "entropy2", "entropy3", "error")
+
+
+def match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, pos, len, off): for each position of a message its earlier places, each with a longer common prefix than the nearer ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, t, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pc.fill_null(b.column(2), "").cast(pa.binary()).to_pylist(), strict=True):
+                before = parse.earlier(raw)
+                found = [(c, t, p, n, off) for p in range(len(before)) for n, off in parse.longer_matches(raw, before, p, MATCH_DEPTH, len(raw))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["conv_id", "turn", "pos", "len", "off"])
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInArrow(run, "conv_id bigint, turn bigint, pos bigint, len bigint, off bigint")
+
+
+#: Candidates of a position: the nearest places with the same four bytes.
+MATCH_DEPTH = 128
+MATCH_TABLE = f"""WITH r AS (SELECT conv_id, turn, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM conversations),
+k AS (SELECT conv_id, turn, pos, substr(h, CAST(2 * pos + 1 AS BIGINT), 8) AS key, substr(h, CAST(2 * pos + 1 AS BIGINT)) AS rest FROM (SELECT *, unnest(range(0, n - 3)) AS pos FROM r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, key ORDER BY pos) AS i FROM k),
+p AS (SELECT a.conv_id, a.turn, a.pos, a.pos - b.pos AS off,
+  len(list_filter(range(1, CAST(length(a.rest) // 2 + 1 AS BIGINT)), lambda j: substr(a.rest, 1, CAST(2 * j AS BIGINT)) = substr(b.rest, 1, CAST(2 * j AS BIGINT)))) AS len
+  FROM o a JOIN o b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.key = b.key AND b.i < a.i AND b.i >= a.i - {MATCH_DEPTH}),
+m AS (SELECT *, max(len) OVER (PARTITION BY conv_id, turn, pos ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM p)
+SELECT conv_id, turn, pos, len, off FROM m WHERE best IS NULL OR len > best"""
+
+
 def roundtrip_turbo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document coded in turbo blocks and back."""
     return _round_trip(spark, sf_dir, turbo.encode, turbo.decode)
@@ -249,6 +299,10 @@ def codec_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "roundtrip_plain": (roundtrip_plain, SOURCE_DIGEST),
     "roundtrip_entropy": (roundtrip_entropy, SOURCE_DIGEST),
+    "roundtrip_entropy3": (roundtrip_entropy3, SOURCE_DIGEST),
+    "roundtrip_lazy": (roundtrip_lazy, SOURCE_DIGEST),
+    "parse_sizes": (parse_sizes, None),
+    "match_table": (match_table, MATCH_TABLE),
     "roundtrip_turbo": (roundtrip_turbo, SOURCE_DIGEST),
     "roundtrip_huffman": (roundtrip_huffman, SOURCE_DIGEST),
     "roundtrip_dictionary": (roundtrip_dictionary, SOURCE_DIGEST),
