@@ -5,14 +5,14 @@ import random
 import numpy as np
 import pytest
 
-from blockwright.functions import CorruptData, containers, dictionary, entropy, frame, huffman, lz, texture, turbo, video, x86
+from blockwright.functions import CorruptData, containers, dictionary, entropy, entropy3, frame, huffman, lz, parse, texture, turbo, video, x86
 
 R = random.Random(5)
 NOISE = R.randbytes(30_000)
 CASES = [bytes(R.choices(range(3), k=n)) for n in range(0, 300, 7)] + [b"\x07" * 50_000, bytes((i % 5 + i // 777) & 255 for i in range(50_000)), NOISE, NOISE + NOISE]
 
 
-@pytest.mark.parametrize("codec", [lz, entropy, turbo])
+@pytest.mark.parametrize("codec", [lz, entropy, entropy3, turbo])
 def test_round_trip_and_exact_size(codec):
     for c in CASES:
         e = codec.encode(c)
@@ -24,7 +24,7 @@ def test_round_trip_and_exact_size(codec):
                 codec.decode(e, len(c) - 1)
 
 
-@pytest.mark.parametrize("codec", [lz, entropy, turbo])
+@pytest.mark.parametrize("codec", [lz, entropy, entropy3, turbo])
 def test_damage_is_an_error_or_other_bytes_but_never_a_crash(codec):
     c = CASES[-3][:3000]
     e = codec.encode(c)
@@ -243,3 +243,141 @@ def test_video_parts():
         assert video.take_number(video.put_number(n), 0)[0] == n
     with pytest.raises(ValueError):
         video.Session(71, 40)
+
+
+def _mixed(seed: int, n: int) -> bytes:
+    r = random.Random(seed)
+    words = [bytes(r.randrange(97, 123) for _ in range(r.randint(2, 9))) for _ in range(300)]
+    return b" ".join(r.choice(words) for _ in range(n))
+
+
+@pytest.mark.parametrize("commands", [False, True])
+def test_entropy3_round_trips(commands):
+    r = random.Random(5)
+    pixels = bytes(x for i in range(9000) for x in (i % 7 * 3, i // 50 % 256, i * i % 5))
+    noise = bytes(r.randrange(256) for _ in range(3000))
+    ramp = bytes((i // 3 + (i % 3) * 40 + (r.randrange(3) if i % 17 == 0 else 0)) & 255 for i in range(40_000))
+    far = noise * 3 + _mixed(2, 9000) + noise
+    for data in (b"", b"a", b"ab" * 300, noise, pixels, ramp, far, _mixed(1, 60_000) + pixels * 4):
+        coded = entropy3.encode(data, commands=commands)
+        assert entropy3.decode(coded, len(data)) == data
+        assert len(data) < 5000 or data is noise or len(coded) < len(data)
+        if len(data) > 20:
+            assert entropy.decode(coded, len(data)) == data and coded[3] >> 6 == 3
+    scaled = entropy3.encode(pixels)
+    assert scaled[23] & 127 in range(1, 65)
+
+
+def test_entropy3_regions_and_modes():
+    text, r = _mixed(3, 60_000), random.Random(6)
+    data = text + bytes(r.randrange(256) for _ in range(300_000)) + text[::-1]
+    edges = [0, len(text), len(text) + 300_000, len(data)]
+    split = entropy3.write_regions(data, [0, edges[1], len(data)])
+    assert split[0] & 15 == entropy3.REGIONAL and len(split) < len(entropy3.write_stream(data))
+    assert entropy3.read_stream(split[0] & 15, split[0] >> 4, split[5:], len(data)) == data
+    flat = np.frombuffer(text[:30_000], np.uint8)
+    smooth = np.arange(30_000).astype(np.uint8)
+    noise = np.frombuffer(data[edges[1] : edges[1] + 30_000], np.uint8)
+    modes, _ = entropy3.chunk_modes([(flat, noise), (noise, smooth % 3), (noise, noise)])
+    assert modes[0][1] == 0 and modes[0][0] != entropy3.RAW and modes[1] in ((entropy3.PLAIN, 1), (entropy3.CONTEXT, 1)) and modes[2][0] == entropy3.RAW
+    tables = [np.array([r.choice([0, 0, 0, 3, 7, 11]) for _ in range(256)], np.uint8) for _ in range(16)]
+    tables[3][:] = 0
+    back, at = entropy3.read_tables(b"x" + entropy3.write_tables(tables), 1, 16)
+    assert all((a == b).all() for a, b in zip(tables, back, strict=True)) and at == 1 + len(entropy3.write_tables(tables))
+
+
+def test_entropy3_damage_never_escapes():
+    r, data = random.Random(7), _mixed(4, 3000)
+    good = entropy3.encode(data, commands=True)
+    for i in range(300):
+        bad = bytearray(good)
+        bad[r.randrange(len(bad))] ^= 1 << r.randrange(8)
+        bad = bytes(bad[: r.randrange(len(bad))]) if i % 3 == 0 else bytes(bad)
+        try:
+            assert len(entropy3.decode(bad, len(data))) == len(data)
+        except CorruptData:
+            pass
+
+
+def test_best_scale_is_the_cheapest():
+    r = random.Random(8)
+    off = np.array([r.randrange(1, 30_000) * 12 for _ in range(2000)])
+    assert entropy3.best_scale(off, np.zeros(3, np.int64)) in (6, 12) and entropy3.best_scale(off * 0 + r.randrange(1, 9) * 2 + 1, np.zeros(3, np.int64)) >= 1
+    odd = np.array([r.randrange(1, 60_000) for _ in range(2000)])
+    assert entropy3.best_scale(odd, np.zeros(3, np.int64)) == 1
+    for s in (1, 3, 12, 64):
+        symbol, value = entropy3.offset_symbols(off, s)
+        for o, c, v in zip(off.tolist(), symbol.tolist(), value.tolist(), strict=True):
+            top, factor = entropy3.offset_of(c, s)
+            assert (v if top < 0 else top << 8 | v & 255) * factor == o
+
+
+def test_parses():
+    r = random.Random(9)
+    noise = bytes(r.randrange(256) for _ in range(30_000))
+    for data in (b"", b"short", _mixed(5, 2000), b"abcd" * 2000 + _mixed(6, 500), noise + noise):
+        greedy = len(lz.encode(data))
+        for way in (parse.skipping(data), parse.lazy(data, 4), parse.lazy(data, 32), parse.cheapest(data), parse.repriced(data)):
+            way = list(way)
+            assert sum(n + m for n, m, _ in way) == len(data) and lz.decode(lz.write(data, way), len(data)) == data
+        best = len(lz.write(data, parse.cheapest(data, 64)))
+        assert best <= greedy + 1 and best <= len(lz.write(data, parse.lazy(data, 64))) + 1
+    assert len(lz.write(noise + noise, parse.lazy(noise + noise))) < 0.6 * 2 * len(noise)
+    assert parse.incompressible(noise, 4096) and not parse.incompressible(noise[:9000], 4096) and not parse.incompressible(_mixed(5, 9000), 4096)
+
+
+def test_cheapest_parse_against_every_parse():
+    data = b"abababcabababcxabababcabab" + b"z" * 12
+
+    def brute(p: int, done: int) -> int:
+        if p == len(data):
+            return 8 * 16 * (p - done)
+        best = brute(p + 1, done)
+        if p < len(data) - lz.TAIL:
+            for q in range(p):
+                n = lz.common(data, q, p, len(data) - 5 - p)
+                for m in range(4, n + 1):
+                    best = min(best, 128 * (p - done) + 128 + 256 + 128 * max(0, (m - 19) // 255 + 1 if m >= 19 else 0) + brute(p + m, p + m))
+        return best
+
+    price = sum(128 * n + (128 + 256 + (128 if m >= 19 else 0) if m else 0) for n, m, _ in parse.cheapest(data, 1000))
+    assert price == brute(0, 0)
+
+
+def test_longer_matches_are_the_records():
+    data = _mixed(11, 400)
+    before = parse.earlier(data)
+    for p in range(0, len(before), 7):
+        best, want = 0, []
+        for q in range(p - 1, -1, -1):
+            n = lz.common(data, q, p, len(data) - p)
+            if n >= 4 and n > best:
+                best = n
+                want.append((n, p - q))
+        assert list(parse.longer_matches(data, before, p, 10_000, len(data))) == want
+
+
+def test_partition_patterns_have_their_checksum(spark):
+    """Fixed value: the checksum of the two-part patterns of the format."""
+    from blockwright.operators import texels
+
+    assert {r["parts"]: r["checksum"] for r in texels.partition_checksum(spark, "").collect()}[2] == 0x5D5FC459
+
+
+def test_colour_ranges_are_even(spark):
+    from blockwright.operators import texels
+
+    by = {}
+    for r in texels.colour_ranges(spark, "").collect():
+        by.setdefault(r["levels"], []).append(r["wide"])
+    for n, wide in by.items():
+        assert max(abs(a - i * 255 / (n - 1)) for i, a in enumerate(sorted(wide))) < 1.5 and len(set(wide)) == n
+
+
+def test_two_means_by_hand():
+    from blockwright.operators.texels import two_means
+
+    px = np.zeros((1, 16, 3))
+    px[0, 5:9] = 200
+    px[0, 12] = 180
+    assert two_means(px).tolist() == [sum(1 << i for i in (5, 6, 7, 8, 12))] and two_means(np.full((1, 16, 3), 9.0)).tolist() == [0]
