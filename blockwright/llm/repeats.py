@@ -7,19 +7,22 @@ one gram occurrence form a *segment* of neighbouring windows. So all work on equ
 1. scan: segments of each chunk; equal segments of a chunk are settled there and one of them is sent on, as a packed
    run of (gram hash, segment hash, document, place) for each bucket of gram hashes;
 2. buckets: equal segments of all chunks are settled by their hashes; where different segments share a gram, only the
-   windows themselves can tell, so their texts are asked for;
-3. texts: the documents with such segments send them to their gram; a gram with many different segments is split by a
-   longer common string (the part that the windows of a small block have in common), so that no group grows with the
-   frequency of a short string;
-4. groups: a kernel (a suffix array or a suffix tree) finds equal windows within bounded batches of whole groups;
+   windows themselves can tell, so their texts are asked for, one for each class of equal segments;
+3. texts: the documents with such segments send them to their gram. The prefix of a gram with more than CROWD different
+   segments is extended to the whole window: the document sends hashes of windows instead, one for each class of equal
+   windows of a chunk, dealt by that hash. So no group grows with how often a string, short or long, occurs: a group of
+   texts has at most CROWD parts, and a window is sent once for each chunk of a task;
+4. groups: a kernel (a suffix array or a suffix tree) finds equal windows within bounded batches of whole groups; windows
+   that came as hashes are settled in buckets;
 5. the spans that are found return to their documents.
 
 What is shuffled: a few bytes for each segment, the texts twice (by document), and the texts of segments in step 3.
-Hashes have 64 bits, of segments with their place relative to the gram.
+Hashes have 64 bits, of segments with their place relative to the gram. What a document is told is checked against its
+own hashes.
 
 Rules: ``any`` marks every window that occurs twice or more, ``smaller`` those that also occur in a document with a
-smaller key. Keys are integers; a null key comes first. Rows with equal keys are told apart by the hash of what is
-marked.
+smaller key. Keys are integers; null keys are equal to one another and come first (inside, such a row goes by a key of its
+text, below all others). Rows with equal keys are told apart by the hash of what is marked.
 """
 
 from __future__ import annotations
@@ -29,23 +32,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockwright.llm import text as tx
 
+#: Rows without a key have keys from here to LAST_NULL.
 NO_KEY = -(1 << 63)
+LAST_NULL = NO_KEY + (1 << 32) - 1
 #: A part of a document: symbols from a on, m windows of which lo to hi are meant, place of the gram, hash, gram.
 REC = np.dtype([("a", "<u4"), ("m", "<u2"), ("lo", "<u2"), ("hi", "<u2"), ("at", "<u2"), ("sh", "<u8"), ("h", "<u8")])
 #: Low bits of a gram's order that hold its position.
 PLACE = np.uint64(24)
 #: Positions that the sliding minimum takes at a time.
 STEP = 1 << 20
-#: A gram with more different segments than this is split.
+#: The windows of a gram with more different segments than this are dealt one by one.
 CROWD = 1000
-BUCKET, MARKED, ASKED, SPLIT = range(4)
+BUCKET, MARKED, ASKED, SPLIT, WINDOW = range(5)
 
 SENT = T.StructType([T.StructField("to", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("payload", T.BinaryType())])
 SENT_ARROW = to_arrow_schema(SENT)
@@ -59,8 +64,6 @@ class Search:
     gram: int
     words: bool
     smaller: bool
-    #: Windows of a block when a crowded gram is split.
-    block: int
     #: Bytes of text that are scanned at a time, symbols of segments that a kernel gets at a time.
     chunk: int
     batch: int
@@ -153,10 +156,16 @@ def batches_of(rows: Iterator[tuple], limit: int = 8 << 20) -> Iterator[pa.Recor
         yield to_batch(out)
 
 
+def rank(keys: np.ndarray) -> np.ndarray:
+    """Keys as they compare: all null ones are equal."""
+    return np.maximum(keys, LAST_NULL)
+
+
 def settle(search: Search, group: np.ndarray, keys: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Which segments are marked by an equal one. group: class of each segment; many: stands for two or more."""
     n = int(group.max()) + 1 if len(group) else 0
     if search.smaller:
+        keys = rank(keys)
         least = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(least, group, keys)
         return keys > least[group]
@@ -207,8 +216,8 @@ def _compare(search: Search, parts: list[list[np.ndarray]]) -> Iterator[tuple]:
     kinds = np.bincount(gram, speaks, minlength=n)
     if search.smaller:
         least = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(least, gram, k)
-        open_ = ~marked & (k > least[gram])
+        np.minimum.at(least, gram, rank(k))
+        open_ = ~marked & (rank(k) > least[gram])
         need = open_ | speaks
     else:
         open_ = ~marked
@@ -250,9 +259,9 @@ def _located(search: Search, sums: np.ndarray, first: np.ndarray, doc: np.ndarra
     return ok
 
 
-def _texts(search: Search, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _texts(search: Search, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Documents with what is marked and asked of them: passes marks on, sends asked segments to their groups."""
-    ln, width = search.length, search.length - search.gram + 1
+    ln = search.length
     for batch in batches:
         keys = batch.column(0).to_pylist()
         items = batch.column(2).to_pylist()
@@ -280,24 +289,47 @@ def _texts(search: Search, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]
             for i in plain.tolist():
                 s = int(start[i])
                 yield int(key[i]), ASKED, keys[lo + doc[i]], rec[i].tobytes() + sym[s : s + int(rec["m"][i]) + ln - 1].tobytes()
-            # blocks of windows, counted from the gram so that equal windows fall into equal blocks
-            crowd = np.flatnonzero(kind == SPLIT)
-            at, m = rec["at"].astype(np.int64), rec["m"].astype(np.int64)
-            r0 = width - 1 - at  # number of a segment's first window, counted from the leftmost that can have the gram
-            b0, b1 = r0 // search.block, (r0 + m - 1) // search.block
-            c = np.repeat(crowd, (b1 - b0 + 1)[crowd])
-            b = tx.ranges(b0[crowd], (b1 - b0 + 1)[crowd])
-            if not len(c):
-                continue
-            w_lo, w_hi = np.maximum(b * search.block - r0[c], 0), np.minimum((b + 1) * search.block - r0[c], m[c])
-            left = start[c] - r0[c] + b * search.block  # where the block's first window would start
-            core = tx.span_hash(sums, left + search.block - 1, left + ln)
-            to = tx.mix(core ^ tx.mix(rec["h"][c] + b.astype(np.uint64))).view(np.int64)
-            for i, x, y, k in zip(c.tolist(), w_lo.tolist(), w_hi.tolist(), to.tolist(), strict=True):
-                r = rec[i].copy()
-                r["lo"], r["hi"] = x, y
-                s = int(start[i]) + x
-                yield k, ASKED, keys[lo + doc[i]], r.tobytes() + sym[s : s + y - x + ln - 1].tobytes()
+            yield from _windows(search, buckets, sums, first, doc, start, rec["m"].astype(np.int64), np.array(keys[lo:hi], np.int64), np.flatnonzero(kind == SPLIT))
+
+
+def _windows(search: Search, buckets: int, sums: np.ndarray, first: np.ndarray, doc: np.ndarray, start: np.ndarray, m: np.ndarray, keys: np.ndarray, crowd: np.ndarray) -> Iterator[tuple]:
+    """Settles equal windows of the crowded segments of a chunk and sends one of each class to the bucket of its hash."""
+    w = tx.ranges(start[crowd], m[crowd])
+    if not len(w):
+        return
+    owner = np.repeat(doc[crowd], m[crowd])
+    h = tx.span_hash(sums, w, w + search.length)
+    k = keys[owner]
+    one, group = tx.distinct(h)
+    marked = settle(search, group, k, np.zeros(len(w), bool))
+    hit = np.flatnonzero(marked)
+    if len(hit):
+        cut = np.flatnonzero(np.r_[True, (w[hit][1:] != w[hit][:-1] + 1) | (owner[hit][1:] != owner[hit][:-1])])
+        a, n = w[hit][cut], np.diff(np.r_[cut, len(hit)])
+        at = np.zeros(len(a), np.int64)
+        rec = records(a - first[owner[hit][cut]], n, at, segment_hash(search, sums, a, n, at))
+        yield from by_document(k[hit][cut], rec, MARKED)
+    go, many = (np.flatnonzero(~marked), np.zeros(len(w), bool)) if search.smaller else (one, marked)
+    to = ((h[go] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((h[go], to))
+    go, to = go[order], to[order]
+    edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+    for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(go)], strict=False):
+        g = go[i:j]
+        yield int(to[i]), WINDOW, 0, tx.pack(np.diff(h[g], prepend=np.uint64(0)), k[g].view(np.uint64), tx.narrow(w[g] - first[owner[g]]), many[g].view(np.uint8))
+
+
+def _meet(search: Search, parts: list[list[np.ndarray]]) -> Iterator[tuple]:
+    """Settles the windows of a bucket that came as hashes."""
+    h = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    k = np.concatenate([p[1] for p in parts]).view(np.int64)
+    place = np.concatenate([p[2].astype(np.int64) for p in parts])
+    many = np.concatenate([p[3] for p in parts]).astype(bool)
+    _, group = tx.distinct(h)
+    hit = np.flatnonzero(settle(search, group, k, many) & ~many)
+    if len(hit):
+        one = np.ones(len(hit), np.int64)
+        yield from by_document(k[hit], records(place[hit], one, one * 0, tx.mix(h[hit])), MARKED)
 
 
 def _groups(search: Search, kernel: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -323,11 +355,19 @@ def _groups(search: Search, kernel: Callable, batches: Iterator[pa.RecordBatch])
         yield from by_document(k[owner[cut]], out, MARKED)
 
     now, total, rec, sym, keys = None, 0, [], [], []
+    bucket, parts = None, []
     for b in batches:
         for to, kind, doc, payload in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             if kind == MARKED:
                 yield doc, kind, doc, payload
                 continue
+            if kind == WINDOW:
+                if to != bucket and parts:
+                    yield from _meet(search, parts)
+                    parts = []
+                bucket = to
+                parts.append(tx.unpack(payload))
+                continue
             if to != now and total > search.batch:
                 yield from solve(rec, sym, keys)
                 total, rec, sym, keys = 0, [], [], []
@@ -338,6 +378,8 @@ def _groups(search: Search, kernel: Callable, batches: Iterator[pa.RecordBatch])
             total += len(sym[-1])
     if rec:
         yield from solve(rec, sym, keys)
+    if parts:
+        yield from _meet(search, parts)
 
 
 def covered(search: Search, sums: np.ndarray, first: np.ndarray, doc: np.ndarray, rec: np.ndarray) -> np.ndarray:
@@ -371,7 +413,7 @@ def find(docs: DataFrame, search: Search, kernel: Callable, rows: DataFrame | No
     sent = docs.mapInArrow(run(_scan, buckets), SENT)
     met = sent.repartition(buckets, "to").sortWithinPartitions("kind", "to").mapInArrow(run(_buckets), SENT)
     asked = met.groupBy(F.col("doc").alias("key")).agg(F.collect_list(F.struct("kind", "payload")).alias("items"))
-    texts = docs.join(asked.hint("shuffle_hash"), "key").select("key", "text", "items").mapInArrow(run(_texts), SENT)
+    texts = docs.join(asked.hint("shuffle_hash"), "key").select("key", "text", "items").mapInArrow(run(_texts, buckets), SENT)
     found = texts.repartition(buckets, "to").sortWithinPartitions("kind", "to", "doc").mapInArrow(run(_groups, kernel), SENT)
     marks = found.groupBy(F.col("doc").alias("key")).agg(F.collect_list("payload").alias("marks"))
     rows = docs if rows is None else rows
@@ -385,7 +427,7 @@ def apply_marks(found: DataFrame, search: Search, finish: Callable, schema: T.St
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [None if k == NO_KEY else k for k in batch.column(0).to_pylist()]
+            keys = [None if k <= LAST_NULL else k for k in batch.column(0).to_pylist()]
             marks = batch.column(2).to_pylist()
             for lo, hi, buf, off in tx.byte_chunks(batch, "text", search.chunk):
                 sym, first = search.symbols(buf, off)
@@ -399,6 +441,12 @@ def apply_marks(found: DataFrame, search: Search, finish: Callable, schema: T.St
     return found.mapInArrow(run, schema)
 
 
+def key_of(text: str, key: str) -> Column:
+    """The key that a row goes by: its own, or one below all others that depends on the text."""
+    null = F.lit(NO_KEY) + F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 32) - 1))
+    return F.coalesce(F.col(key).cast("long"), null).alias("key")
+
+
 def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(key, text) without nulls."""
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return docs.select(key_of(text, key), F.coalesce(F.col(text), F.lit("")).alias("text"))

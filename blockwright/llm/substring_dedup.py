@@ -29,7 +29,7 @@ GRAM = 5
 #: Most suffixes of a subtree (more only if all of them are equal).
 GROUP = 50_000
 
-SEARCH = rp.Search(length=LENGTH, gram=GRAM, words=True, smaller=True, block=1, chunk=4 << 20, batch=1 << 19)
+SEARCH = rp.Search(length=LENGTH, gram=GRAM, words=True, smaller=True, chunk=2 << 20, batch=1 << 18)
 
 
 def prefix_groups(ids: np.ndarray, starts: np.ndarray, length: int, limit: int = GROUP) -> Iterator[np.ndarray]:
@@ -99,7 +99,7 @@ def kernel(search: rp.Search, parts: list[np.ndarray], size: np.ndarray, keys: n
     ids = np.unique(np.concatenate(parts), return_inverse=True)[1].astype(np.int32)
     base = np.r_[0, np.cumsum([len(p) for p in parts])][:-1]
     starts = tx.ranges(base, size)
-    owner = np.repeat(keys, size)
+    owner = np.repeat(rp.rank(keys), size)
     hit = np.zeros(len(starts), bool)
     for idx in prefix_groups(ids, starts, search.length):
         order, same = subtree(ids, starts[idx], search.length)
@@ -139,7 +139,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 def rewrite(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with all columns. A text that loses words becomes the others joined by one space, with its new length."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(rp.NO_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(rp.key_of(text, key), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
     found = rp.find(rows.select("key", "text"), SEARCH, kernel, rows)
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("new", T.StringType())])
 

@@ -4,7 +4,7 @@ Every byte covered by a string of LENGTH bytes that also starts anywhere else (t
 Candidates come from ``repeats``. A kernel gets bounded batches of whole groups as one text and builds its suffix array
 in two stages: suffixes that are smaller than their successors are sorted directly; the others are induced by scanning
 the buckets of first bytes in ascending order, since such a suffix lies in its bucket in the order of its successor.
-Neighbours of the array that share LENGTH bytes or more are repeats.
+Neighbours of the array whose common prefix has LENGTH bytes or more are repeats.
 
 Defined results: null and empty texts hold no bytes; a null key comes first; rows that repeat hold equal strings, so
 that each loses what is long enough; extra columns are ignored; an empty table gives no rows.
@@ -25,7 +25,7 @@ from blockwright.llm import text as tx
 LENGTH = 400
 GRAM = 32
 
-SEARCH = rp.Search(length=LENGTH, gram=GRAM, words=False, smaller=False, block=32, chunk=2 << 20, batch=1 << 18)
+SEARCH = rp.Search(length=LENGTH, gram=GRAM, words=False, smaller=False, chunk=2 << 20, batch=1 << 18)
 
 
 def smaller_than_next(t: np.ndarray) -> np.ndarray:
@@ -40,14 +40,52 @@ def smaller_than_next(t: np.ndarray) -> np.ndarray:
     return step[at] > 0
 
 
+def sort_directly(t: np.ndarray, idx: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes ``idx`` in order of their first ``depth`` symbols (or a few more), equal ones as they come.
+
+    Seven symbols of nine bits are compared at a time, and only those that were equal so far go on to the next seven.
+    """
+    seven = np.zeros(len(t) + depth + 8, np.uint64)
+    for j in range(min(7, len(t))):
+        seven[: len(t) - j] |= t[j:].astype(np.uint64) << np.uint64(9 * (6 - j))
+    order = idx[np.argsort(seven[idx], kind="stable")]
+    tie = seven[order][1:] == seven[order][:-1]
+    for d in range(7, depth, 7):
+        at = np.flatnonzero(np.r_[tie, False] | np.r_[False, tie])  # places in runs of equal ones
+        if not len(at):
+            break
+        goes_on = np.r_[False, tie][at]
+        k = seven[order[at] + d]
+        mixed = goes_on[1:] & (k[1:] != k[:-1])
+        if mixed.any():  # sort the runs that differ here
+            run = np.cumsum(~goes_on) - 1
+            some = np.zeros(int(run[-1]) + 1, bool)
+            some[run[1:][mixed]] = True
+            sub = np.flatnonzero(some[run])
+            by = sub[np.lexsort((k[sub], run[sub]))]
+            order[at[sub]] = order[at[by]]
+            k[sub] = k[by]
+            tie[at[1:][goes_on[1:]] - 1] = (k[1:] == k[:-1])[goes_on[1:]]
+    return order
+
+
+def common_prefixes(sums: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Symbols, up to ``most``, that the suffixes at a and at b share (by the hashes of ever shorter steps)."""
+    n = len(sums) - 1
+    out = np.zeros(len(a), np.int64)
+    step = 1 << (most.bit_length() - 1)
+    while step:
+        i = np.flatnonzero((out + step <= most) & (np.maximum(a, b) + out + step <= n))
+        x, y = a[i] + out[i], b[i] + out[i]
+        out[i[tx.span_hash(sums, x, x + step) == tx.span_hash(sums, y, y + step)]] += step
+        step //= 2
+    return out
+
+
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``t`` (symbols 0 to 256, ending with a 0) in order of their first ``depth`` symbols."""
     direct = smaller_than_next(t)
-    # stage 1: sort the smaller ones directly; two bytes a symbol keep the order of symbols
-    raw = t.astype(">u2").tobytes()
-    idx = np.flatnonzero(direct)
-    text = {i: raw[2 * i : 2 * (i + depth)] for i in idx.tolist()}
-    own = np.array(sorted(text, key=text.__getitem__), np.int64)
+    own = sort_directly(t, np.flatnonzero(direct), depth)
     own_first = t[own]
     # stage 2: scan the buckets; a suffix larger than its successor goes to the end of its bucket's first part
     queue: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -90,10 +128,7 @@ def kernel(search: rp.Search, parts: list[np.ndarray], size: np.ndarray, keys: n
     number[starts] = np.arange(len(starts))
     order = number[suffix_array(t, search.length)]
     order = order[order >= 0]
-    # windows that are equal are neighbours: compare the common prefixes up to the length
-    sums = tx.prefix_hash(t)
-    h = tx.span_hash(sums, starts, starts + search.length)[order]
-    equal = h[1:] == h[:-1]
+    equal = common_prefixes(tx.prefix_hash(t), starts[order[:-1]], starts[order[1:]], search.length) >= search.length
     hit = np.zeros(len(starts), bool)
     hit[order[1:][equal]] = True
     hit[order[:-1][equal]] = True
