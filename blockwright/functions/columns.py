@@ -82,6 +82,20 @@ def token_groups(token: Column) -> Column:
     return a * 4 + b
 
 
+def _match_class(match: Column) -> Column:
+    return F.when(match < 2, 0).when(match < 5, 1).when(match < 15, 2).otherwise(3)
+
+
+def command_groups(token: Column) -> Column:
+    """Group of a command token: literal run (its low two bits) by match class (the next four)."""
+    return token.bitwiseAND(F.lit(3)) * 4 + _match_class(F.shiftright(token, 2).bitwiseAND(F.lit(15)))
+
+
+def price_groups(index: Column) -> Column:
+    """Group of a command token's price: literal run (high half, 3 and more as one) by match class."""
+    return F.least(F.shiftright(index, 4), F.lit(3)) * 4 + _match_class(index.bitwiseAND(F.lit(15)))
+
+
 def split_match(length: Column) -> Column:
     """A match of 33 to 96 bytes as parts of at most 32 and at least 4, others whole."""
     first = F.least(F.lit(32), length - 4)

@@ -64,15 +64,15 @@ def extension(name: Column) -> Column:
 
 
 def type_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files and bytes by extension, pages by their URL and parts by their type's last word."""
+    """Files and bytes by extension, the most bytes first: pages by their URL and parts by their type's last word."""
     p = table(spark, sf_dir, "pages").select(F.col("url").alias("name"), F.octet_length("html").cast("long").alias("raw"))
     q = table(spark, sf_dir, "part").select(F.concat_ws(".", "p_name", F.regexp_extract("p_type", r"(\S+)$", 1)).alias("name"), F.col("p_size").cast("long").alias("raw"))
-    return p.unionByName(q).groupBy(extension(F.col("name")).alias("ext")).agg(F.count("*").alias("files"), F.sum("raw").alias("raw"))
+    return p.unionByName(q).groupBy(extension(F.col("name")).alias("ext")).agg(F.count("*").alias("files"), F.sum("raw").alias("raw")).orderBy(F.desc("raw"), "ext")
 
 
 TYPE_REPORT = r"""WITH f AS (SELECT url AS name, CAST(octet_length(encode(html)) AS BIGINT) AS raw FROM pages
 UNION ALL SELECT concat_ws('.', p_name, regexp_extract(p_type, '(\S+)$', 1)), CAST(p_size AS BIGINT) FROM part)
-SELECT coalesce(nullif(lower(regexp_extract(name, '\.([^./]*)$', 1)), ''), '(none)') AS ext, count(*) AS files, CAST(sum(raw) AS BIGINT) AS raw FROM f GROUP BY 1"""
+SELECT coalesce(nullif(lower(regexp_extract(name, '\.([^./]*)$', 1)), ''), '(none)') AS ext, count(*) AS files, CAST(sum(raw) AS BIGINT) AS raw FROM f GROUP BY 1 ORDER BY raw DESC, ext"""
 
 
 def is_safe(name: Column) -> Column:

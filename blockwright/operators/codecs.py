@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwright.functions import CorruptData, containers, dictionary, entropy, entropy3, frame, huffman, lz, parse, texture, turbo, video, x86
-from blockwright.session import table
+from blockwright.functions import CorruptData, containers, dictionary, entropy, entropy3, frame, hdr, huffman, lz, parse, texture, turbo, video, x86
+from blockwright.session import spread, table
 
 BLOCK = 16 << 10
 
@@ -56,7 +56,7 @@ def _round_trip(spark: SparkSession, sf_dir: str, encode: Callable[[bytes], byte
         back = b"".join(out)
         return len(back), hashlib.md5(back).hexdigest()
 
-    docs = table(spark, sf_dir, "documents").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return map_bytes(docs, "doc_id", "text", both, "n long, digest string").select("doc_id", "n", "digest")
 
 
@@ -151,10 +151,22 @@ def split_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, forth, back)
 
 
+#: Bytes of passages that a dictionary is trained on: those with the smallest hashes of their key, over the whole table.
+TRAINING = 4 << 20
+
+
+def trained_dictionary(samples: DataFrame, text: str, key: str, size: int = 4096, most: int = TRAINING) -> bytes:
+    """A dictionary of a sample of at most ``most`` bytes, drawn by hash from all rows."""
+    total = samples.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
+    share = min(1.0, 0.9 * most / total) if total > most else 1.0
+    drawn = samples.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else samples
+    rows = sorted((r[0], r[1] or "") for r in drawn.select(key, text).collect())  # at most about ``most`` bytes
+    return dictionary.train("\n".join(t for _, t in rows).encode()[:most], size)
+
+
 def roundtrip_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document coded against a dictionary trained on the benchmark passages (a small, fixed table) and back."""
-    samples = "\n".join(r["text"] or "" for r in table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1000).collect()).encode()
-    d = dictionary.train(samples, 4096)
+    d = trained_dictionary(table(spark, sf_dir, "benchmark"), "text", "item_id")
     return _round_trip(spark, sf_dir, lambda b: lz.encode(b, d), lambda b, n: lz.decode(b, n, d))
 
 
@@ -220,41 +232,64 @@ PAGE_DIGEST = "SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n,
 
 
 def bc_decode_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as 8 x 8 images in single-channel blocks and back: whether the quality holds."""
+    """Vectors as 8 x 8 images in single-channel blocks and back: coded bytes and quality."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
+            size, quality = [], []
             for e in b.column(1).to_pylist():
                 v = np.clip(np.floor((np.array(e, np.float64) + 1) * 127.5), 0, 255).astype(np.uint8)
                 img = v[: len(v) // 8 * 8].reshape(-1, 8)
-                ok.append(texture.psnr(img, texture.decode_channel(texture.encode_channel(img), img.shape[1], img.shape[0])) > 28)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ok)], ["vec_id", "good"])
+                coded = texture.encode_channel(img)
+                size.append(len(coded))
+                quality.append(float(texture.psnr(img, texture.decode_channel(coded, img.shape[1], img.shape[0]))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(quality, pa.float64())], ["vec_id", "coded", "psnr"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, coded long, psnr double")
+
+
+def hdr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as blocks of 16 texels of high range (over twenty octaves) in HDR blocks and back: the largest error in octaves."""
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, good boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            worst = []
+            for e in b.column(1).to_pylist():
+                px = np.exp2(np.resize(np.array(e or [0.0], np.float64), (16, 3)) * 10)
+                back = hdr.decode(hdr.encode(px.reshape(1, 16, 3)))[0]
+                worst.append(float(np.abs(np.log2(np.maximum(back, 2.0**-24)) - np.log2(px)).max()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(worst, pa.float64())], ["vec_id", "octaves"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, octaves double")
 
 
-def decode_clips(packets: DataFrame, width: int, height: int) -> DataFrame:
+def decode_clips(packets: DataFrame, width: int, height: int, carry: str | None = None) -> DataFrame:
     """(clip, gop, frame_no, y, u, v, error) of (clip, gop, frame_no, packet): each group of pictures by itself, in order.
 
-    A group starts with a keyframe and is bounded by the keyframe interval. Damage drops frames up to its end.
+    A group starts with a keyframe and is bounded by the keyframe interval. Damage drops frames up to its end. ``carry``: a
+    binary column that is kept.
     """
     import pandas as pd
 
+    more = [carry] if carry else []
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         session, out = video.Session(width, height), []
         for r in g.sort_values("frame_no").itertuples():
+            kept = [getattr(r, c) for c in more]
             try:
-                out.append((r.clip, r.gop, r.frame_no, *(np.ascontiguousarray(p).tobytes() for p in session.decode(bytes(r.packet))), None))
+                out.append((r.clip, r.gop, r.frame_no, *(np.ascontiguousarray(p).tobytes() for p in session.decode(bytes(r.packet))), None, *kept))
             except CorruptData as e:
-                out.append((r.clip, r.gop, r.frame_no, None, None, None, str(e)))
-        return pd.DataFrame(out, columns=["clip", "gop", "frame_no", "y", "u", "v", "error"])
+                out.append((r.clip, r.gop, r.frame_no, None, None, None, str(e), *kept))
+        return pd.DataFrame(out, columns=["clip", "gop", "frame_no", "y", "u", "v", "error", *more])
 
-    return packets.groupBy("clip", "gop").applyInPandas(run, "clip long, gop long, frame_no long, y binary, u binary, v binary, error string")
+    fields = "clip long, gop long, frame_no long, y binary, u binary, v binary, error string" + "".join(f", {c} binary" for c in more)
+    return packets.groupBy("clip", "gop").applyInPandas(run, fields)
 
 
 def video_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as 8 x 8 frames, coded in groups of 16 and decoded: whether the decoder shows what the encoder saw, and how well."""
+    """Vectors as 8 x 8 frames, coded in groups of 16 and decoded: packet bytes, whether the decoder shows what the encoder saw, and its
+    squared error against the source."""
     import pandas as pd
 
     size = 8
@@ -266,15 +301,21 @@ def video_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def code(g: pd.DataFrame) -> pd.DataFrame:
         session, out = video.Session(size, size), []
         for r in g.sort_values("vec_id").itertuples():
-            packet = session.encode(planes(r.embedding), 95, interval=16, reach=1)
-            out.append((0, r.gop, r.vec_id, packet, session.visible()[0].tobytes()))
+            p = planes(r.embedding)
+            packet = session.encode(p, 95, interval=16, reach=1)
+            out.append((0, r.gop, r.vec_id, packet, p[0].tobytes() + session.visible()[0].tobytes()))
         return pd.DataFrame(out, columns=["clip", "gop", "frame_no", "packet", "seen"])
 
-    e = table(spark, sf_dir, "embeddings").withColumn("gop", F.floor(F.col("vec_id") / 16))
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, y, seen = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
+            shown = [np.frombuffer(x or bytes(size * size), np.uint8).astype(np.int64) for x in y]
+            source = [np.frombuffer(x[: size * size], np.uint8) for x in seen]
+            yield pa.RecordBatch.from_arrays([key, pa.array([a == s[size * size :] for a, s in zip(y, seen, strict=True)], pa.bool_()), pa.array([int(((a - s) ** 2).sum()) for a, s in zip(shown, source, strict=True)], pa.int64())], ["vec_id", "same", "sse"])
+
+    e = table(spark, sf_dir, "embeddings").where("size(embedding) = 64").withColumn("gop", F.floor(F.col("vec_id") / 16))
     coded = e.groupBy("gop").applyInPandas(code, "clip long, gop long, frame_no long, packet binary, seen binary")
-    shown = decode_clips(coded.select("clip", "gop", "frame_no", "packet"), size, size)
-    both = shown.join(coded.select("frame_no", "seen"), "frame_no")
-    return both.select(F.col("frame_no").alias("vec_id"), (F.col("y") == F.col("seen")).alias("same"))
+    return decode_clips(coded, size, size, "seen").select("frame_no", "y", "seen").mapInArrow(judge, "vec_id long, same boolean, sse long")
 
 
 def codec_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +330,7 @@ def codec_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
         fns = (lz.encode, entropy.encode, turbo.encode, zlib.compress, bz2.compress)
         return (len(raw), *[sum(len(f(p)) for p in parts) for f in fns])
 
-    docs = table(spark, sf_dir, "documents").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     s = map_bytes(docs, "doc_id", "text", sizes, "raw long, " + ", ".join(f"{n} long" for n in names))
     t = s.agg(F.sum("raw").alias("raw"), *[F.sum(n).alias(n) for n in names])
     rows = t.select("raw", F.explode(F.array(*[F.struct(F.lit(n).alias("codec"), F.col(n).alias("coded")) for n in names])).alias("x"))
@@ -310,7 +351,8 @@ QUERIES = {
     "split_merge": (split_merge, SOURCE_DIGEST),
     "roundtrip_frame": (roundtrip_frame, SOURCE_DIGEST),
     "roundtrip_archive": (roundtrip_archive, PAGE_DIGEST),
-    "bc_decode_psnr": (bc_decode_psnr, "SELECT vec_id, true AS good FROM embeddings"),
-    "video_roundtrip": (video_roundtrip, "SELECT vec_id, true AS same FROM embeddings"),
+    "bc_decode_psnr": (bc_decode_psnr, None),
+    "video_roundtrip": (video_roundtrip, None),
+    "hdr_roundtrip": (hdr_roundtrip, None),
     "codec_compare": (codec_compare, None),
 }

@@ -84,8 +84,13 @@ c AS (SELECT m.y, m.x // 16 AS block, d, CAST(sum(abs(m.v - r.v)) AS BIGINT) AS
 SELECT y, block, d, sad FROM (SELECT *, row_number() OVER (PARTITION BY y, block ORDER BY sad, abs(d), d) AS k FROM c) WHERE k = 1"""
 
 
+#: Bytes of a field that is sent as it is.
+FIELD_BYTES = 4
+
+
 def band_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each line the nearest of the 16 lines before it (by order and number) with the same supplier, in rows of a part group.
+    """For each line the nearest of the 16 lines before it (by order and number) with the same supplier, in rows of a part group, and
+    the bytes that its field takes: none if it repeats from as far as the line before, up to 3 to point there, all of it if it does not repeat.
 
     A lag over equal values gives the nearest earlier one; the row distance decides whether it lies in the band.
     """
@@ -95,11 +100,15 @@ def band_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     r = li.withColumn("i", F.row_number().over(Window.partitionBy("img").orderBy(*order)))
     j = F.lag("i").over(Window.partitionBy("img", "field").orderBy("i"))
-    return r.select("img", "i", "field", F.coalesce(F.when(F.col("i") - j <= 16, F.col("i") - j), F.lit(0)).alias("distance"))
+    r = r.select("img", "i", "field", F.coalesce(F.when(F.col("i") - j <= 16, F.col("i") - j), F.lit(0)).alias("distance"))
+    before = F.lag("distance").over(Window.partitionBy("img").orderBy("i"))
+    rate = F.when(F.col("distance") == 0, FIELD_BYTES).when(F.coalesce(before == F.col("distance"), F.lit(False)), 0).otherwise(min(FIELD_BYTES, 3))
+    return r.select("img", "i", "field", "distance", rate.alias("rate"))
 
 
-BAND_REUSE = """WITH r AS (SELECT l_partkey % 50 AS img, l_suppkey % 20 AS field, CAST(row_number() OVER (PARTITION BY l_partkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS INTEGER) AS i FROM lineitem)
-SELECT img, i, field, coalesce((SELECT min(r.i - b.i) FROM r b WHERE b.img = r.img AND b.field = r.field AND b.i < r.i AND b.i >= r.i - 16), 0) AS distance FROM r"""
+BAND_REUSE = f"""WITH r AS (SELECT l_partkey % 50 AS img, l_suppkey % 20 AS field, CAST(row_number() OVER (PARTITION BY l_partkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS INTEGER) AS i FROM lineitem),
+d AS (SELECT img, i, field, coalesce((SELECT min(r.i - b.i) FROM r b WHERE b.img = r.img AND b.field = r.field AND b.i < r.i AND b.i >= r.i - 16), 0) AS distance FROM r)
+SELECT *, CASE WHEN distance = 0 THEN {FIELD_BYTES} WHEN distance = lag(distance) OVER (PARTITION BY img ORDER BY i) THEN 0 ELSE {min(FIELD_BYTES, 3)} END AS rate FROM d"""
 
 
 def bc4_palette(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockwright.operators.bytes_stats import bytes_cte
-from blockwright.session import table
+from blockwright.session import spread, table
 
 WINDOW = (1 << 23) - 1
 
@@ -112,20 +111,23 @@ def top_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOP_COMMANDS = """SELECT kind, lit, ml, count(*) AS n, kind * 4096 + lit * 64 + ml AS idx
 FROM (SELECT l_partkey % 4 AS kind, l_suppkey % 16 AS lit, CAST(l_quantity AS BIGINT) AS ml FROM lineitem) GROUP BY kind, lit, ml ORDER BY n DESC, idx DESC LIMIT 252"""
 
-KINDS = ("click", "error", "purchase", "signup", "view")
-
-
 def move_to_front(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slot of each event's type in a three-slot move-to-front list of its user, -1 on a miss.
+    """Slot of each event's type in a three-slot move-to-front list of its user, -1 on a miss, for any number of types.
 
-    The slot is the number of types seen since the type's last occurrence: a running maximum for each type, no fold.
+    Slot 0 holds the type before. Among changes of type, slot 1 holds that of the change before, and slot 2 that of the last
+    change whose type differs from the one two changes later: whatever alternates after it fills the first two slots.
     """
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    e = e.select("*", *[F.max(F.when(F.col("event_type") == k, F.col("event_id"))).over(w).alias(f"_{k}") for k in KINDS])
-    own = F.coalesce(*[F.when(F.col("event_type") == k, F.col(f"_{k}")) for k in KINDS])
-    later = sum((F.coalesce(F.col(f"_{k}") > own, F.lit(False)).cast("int") for k in KINDS), F.lit(0))
-    return e.select("user_id", "event_id", F.when(own.isNull() | (later > 2), -1).otherwise(later).alias("slot"))
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.lag("event_type").over(w).alias("a"))
+    # the types of changes, newest first: a the last, b the one before; c needs the change where an alternation began
+    e = e.withColumn("new", F.coalesce(F.col("event_type") != F.col("a"), F.lit(True)))
+    runs = e.where("new").select("user_id", "event_id", "event_type", F.lag("event_type", 1).over(w).alias("p"), F.lag("event_type", 2).over(w).alias("q"))
+    # before a change to t, with p and q the two types before: the type of the last change that the one two later did not repeat
+    third = F.last(F.when(F.col("q") != F.col("event_type"), F.col("q")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    slot = F.when(F.col("event_type") == F.col("p"), 0).when(F.col("event_type") == F.col("q"), 1).when(F.col("event_type") == third, 2).otherwise(-1)
+    changed = runs.select("user_id", "event_id", slot.alias("slot"))
+    same = e.where("not new").select("user_id", "event_id", F.lit(0).alias("slot"))
+    return changed.unionByName(same)
 
 
 MOVE_TO_FRONT = """WITH p AS (SELECT user_id, event_id, event_type, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS own FROM events),
@@ -134,51 +136,111 @@ SELECT user_id, event_id, CASE WHEN own IS NULL OR later > 2 THEN -1 ELSE CAST(l
 
 
 def delta_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histogram of the differences between bytes three places apart (modulo 256) in part names, 0 before the first."""
+    """Histogram of the differences (modulo 256) between the bytes of messages and those at the last match's offset, 0 before the
+    first: at each place the offset of the nearest earlier occurrence of four bytes that began before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
         for b in batches:
             for raw in pc.fill_null(b.column(0), "").cast(pa.binary()).to_pylist():
                 v = np.frombuffer(raw, np.uint8)
-                d = v.copy()
-                d[3:] = v[3:] - v[:-3]
-                total += np.bincount(d, minlength=256)
+                off = np.zeros(len(v), np.int64)
+                before = previous_occurrence(raw)
+                hit = np.flatnonzero(before >= 0)
+                if len(hit):
+                    at = np.searchsorted(hit, np.arange(len(v)), "left") - 1  # the last match that began before
+                    some = at >= 0
+                    off[some] = (hit - before[hit])[at[some]]
+                back = np.where(off > 0, v[np.arange(len(v)) - off], 0) if len(v) else v
+                total += np.bincount((v - back) & 255, minlength=256)
         i = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(total[i])], ["delta", "n"])
 
-    return table(spark, sf_dir, "part").select("p_name").mapInArrow(run, "delta int, n bigint").groupBy("delta").agg(F.sum("n").alias("n"))
+    return table(spark, sf_dir, "conversations").select("text").mapInArrow(run, "delta int, n bigint").groupBy("delta").agg(F.sum("n").alias("n"))
 
 
-DELTA_LITERALS = f"""WITH {bytes_cte('part', 'p_partkey', 'p_name')},
-d AS (SELECT CAST((v - coalesce(lag(v, 3) OVER (PARTITION BY p_partkey ORDER BY pos), 0)) & 255 AS INTEGER) AS delta FROM byt)
+DELTA_LITERALS = """WITH r AS (SELECT conv_id, turn, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM conversations),
+b AS (SELECT conv_id, turn, pos, n, ('0x' || substr(h, CAST(2 * pos + 1 AS BIGINT), 2))::INTEGER AS v, CASE WHEN pos <= n - 4 THEN substr(h, CAST(2 * pos + 1 AS BIGINT), 8) END AS key FROM (SELECT *, unnest(range(0, n)) AS pos FROM r)),
+m AS (SELECT *, CASE WHEN key IS NOT NULL THEN pos - lag(pos) OVER (PARTITION BY conv_id, turn, key ORDER BY pos) END AS dist FROM b),
+o AS (SELECT *, last_value(dist IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS off FROM m),
+d AS (SELECT CAST((o.v - coalesce(q.v, 0)) & 255 AS INTEGER) AS delta FROM o LEFT JOIN b q ON q.conv_id = o.conv_id AND q.turn = o.turn AND q.pos = o.pos - o.off)
 SELECT delta, count(*) AS n FROM d GROUP BY delta"""
 
 
 def kmer_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many 8-character strings of the part names and segment names occur how often."""
-    t = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("t"))
-    k = t.where("char_length(t) >= 8").select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("t") - 7), lambda i: F.substr(F.col("t"), i, F.lit(8)))).alias("k"))
-    return k.groupBy("k").agg(F.count("*").alias("freq")).groupBy("freq").agg(F.count("*").alias("kmers"))
+    """How many 8-character strings of all documents occur how often; a batch counts its own before they are exchanged."""
 
-
-KMER_FREQUENCY = """WITH t AS (SELECT concat_ws(' ', p_name, p_type) AS t FROM part),
-k AS (SELECT substr(t, CAST(i AS BIGINT), 8) AS k FROM (SELECT t, unnest(range(1, length(t) - 6)) AS i FROM t WHERE length(t) >= 8)),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pc.fill_null(b.column(0), "").to_pylist()
+            for lo in range(0, len(texts), 256):
+                part = texts[lo : lo + 256]
+                cp = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
+                ends = np.cumsum([len(t) for t in part])
+                if len(cp) < 8:
+                    continue
+                rows = np.lib.stride_tricks.sliding_window_view(cp, 8)
+                start = np.arange(len(rows))
+                own = np.searchsorted(ends, start, "right") == np.searchsorted(ends, start + 7, "right")
+                found = np.ascontiguousarray(rows[own]).view("V32").ravel()
+                k, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes().decode("utf-32-le") for x in k], pa.string()), pa.array(n, pa.int64())], ["k", "n"])
+
+    k = spread(table(spark, sf_dir, "documents").select("text")).mapInArrow(run, "k string, n bigint")
+    return k.groupBy("k").agg(F.sum("n").alias("freq")).groupBy("freq").agg(F.count("*").alias("kmers"))
+
+
+KMER_FREQUENCY = """WITH k AS (SELECT substr(text, CAST(i AS BIGINT), 8) AS k FROM (SELECT text, unnest(range(1, length(text) - 6)) AS i FROM documents WHERE length(text) >= 8)),
 f AS (SELECT k, count(*) AS freq FROM k GROUP BY k) SELECT freq, count(*) AS kmers FROM f GROUP BY freq"""
 
 
-def region_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences kept or stored: a region of 128 bytes whose matches save under a tenth of it keeps none."""
-    w = Window.partitionBy("block").orderBy("seq", "l_suppkey", "off").rowsBetween(Window.unboundedPreceding, 0)
-    o = _offsets(spark, sf_dir).withColumn("end", F.sum(F.col("ml").cast("long")).over(w))
-    o = o.withColumn("region", F.floor((F.col("end") - F.col("ml")) / 128))
-    save = F.sum((F.col("ml") - 20).cast("long")).over(Window.partitionBy("block", "region"))
-    return o.select("block", "seq", "off", "region", (save * 10 >= 128).alias("kept"))
+#: Bytes of a region, and the share of it (in hundredths) that its matches must save.
+REGION, SAVE_PERCENT = 128 << 10, 1
 
 
-REGION_STORE = f"""WITH {_OFFSETS}, e AS (SELECT *, sum(ml) OVER (PARTITION BY block ORDER BY seq, l_suppkey, off ROWS UNBOUNDED PRECEDING) AS e FROM o),
-r AS (SELECT *, CAST((e - ml) // 128 AS BIGINT) AS region FROM e)
-SELECT block, seq, off, region, sum(ml - 20) OVER (PARTITION BY block, region) * 10 >= 128 AS kept FROM r"""
+def region_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences that are kept, with their literals: those of regions whose matches save less than a hundredth become literals
+    of the next sequence that is kept. A match saves its bytes less those of its token, offset and length, in sixteenths of a bit.
+    """
+    w = Window.partitionBy("block").orderBy("seq", "l_suppkey", "off")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    o = _offsets(spark, sf_dir).withColumn("block", F.col("block") % 50).withColumn("ll", F.col("l_suppkey") * 300)
+    # some blocks hardly repeat anything
+    o = o.withColumn("ml", 4 + F.col("ml") * (F.col("block") % 4)).withColumn("seq", F.row_number().over(Window.partitionBy("block").orderBy("seq", "l_suppkey", "off", "ml"))).withColumn("total", (F.col("ll") + F.col("ml")).cast("long"))
+    o = o.withColumn("end", F.sum("total").over(so_far)).withColumn("region", F.floor((F.col("end") - F.col("ml")) / REGION))
+    saves = 128 * F.col("ml") - 128 * (1 + F.when(F.col("off") < 256, 1).when(F.col("off") < 65536, 2).otherwise(3)) - 128 * F.when(F.col("ml") >= 19, 1).otherwise(0)
+    kept = F.sum(saves.cast("long")).over(Window.partitionBy("block", "region")) >= REGION * 128 * SAVE_PERCENT // 100
+    o = o.withColumn("kept", kept)
+    # where the last sequence that is kept ended, everything since then is literals
+    before = F.coalesce(F.max(F.when(F.col("kept"), F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return o.withColumn("ll", F.col("end") - F.col("ml") - before).where("kept").select("block", "seq", "off", "ml", "region", "ll")
+
+
+REGION_STORE = f"""WITH {_OFFSETS}, a AS (SELECT block % 50 AS block, row_number() OVER (PARTITION BY block % 50 ORDER BY seq, l_suppkey, off, ml) AS seq, l_suppkey, off, ml, l_suppkey * 300 AS ll FROM (SELECT block, seq, l_suppkey, off, CAST(4 + ml * (block % 50 % 4) AS BIGINT) AS ml FROM o)),
+e AS (SELECT *, CAST(sum(ll + ml) OVER (PARTITION BY block ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM a),
+r AS (SELECT *, CAST((e - ml) // {REGION} AS BIGINT) AS region, 128 * ml - 128 * (1 + CASE WHEN off < 256 THEN 1 WHEN off < 65536 THEN 2 ELSE 3 END) - CASE WHEN ml >= 19 THEN 128 ELSE 0 END AS s FROM e),
+k AS (SELECT *, sum(s) OVER (PARTITION BY block, region) >= {REGION * 128 * SAVE_PERCENT // 100} AS kept FROM r),
+l AS (SELECT *, e - ml - coalesce(max(e) FILTER (WHERE kept) OVER (PARTITION BY block ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lits FROM k)
+SELECT block, CAST(seq AS INTEGER) AS seq, off, ml, region, CAST(lits AS BIGINT) AS ll FROM l WHERE kept"""
+
+
+def offset_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of offsets under the scales 1, 2, 3 and 64: how often each occurs, and the bytes that follow it."""
+    o = _offsets(spark, sf_dir).select(F.col("off").cast("long").alias("off")).groupBy("off").agg(F.count("*").alias("n"))
+    o = o.select("*", F.explode(F.array(*[F.lit(s).cast("long") for s in (1, 2, 3, 64)])).alias("scale"))
+    whole = (F.col("off") % F.col("scale")) == 0
+    v = F.when(whole, F.floor(F.col("off") / F.col("scale"))).otherwise(F.col("off"))
+    o = o.select("scale", "n", whole.alias("whole"), v.alias("v"))
+    one = F.col("scale") == 1
+    near = F.when(one, F.col("v") < 251 << 8).otherwise(F.col("v") < 125 << 8)
+    symbol = F.when(near, F.when(one | F.col("whole"), 3).otherwise(128) + F.shiftright("v", 8)).otherwise(F.when(one | ~F.col("whole"), 255).otherwise(254))
+    s = o.groupBy("scale", symbol.cast("long").alias("symbol")).agg(F.sum("n").alias("n"))
+    return s.select("scale", "symbol", "n", (F.col("n") * F.when(F.col("symbol") < 254, 1).otherwise(3)).alias("bytes"))
+
+
+OFFSET_SYMBOLS = f"""WITH {_OFFSETS}, v AS (SELECT scale, off % scale = 0 AS whole, CASE WHEN off % scale = 0 THEN off // scale ELSE off END AS v FROM o, (VALUES (1::BIGINT), (2), (3), (64)) AS s(scale)),
+c AS (SELECT scale, CASE WHEN scale = 1 THEN CASE WHEN v < 64256 THEN 3 + (v >> 8) ELSE 255 END WHEN v < 32000 THEN CASE WHEN whole THEN 3 ELSE 128 END + (v >> 8) WHEN whole THEN 254 ELSE 255 END AS symbol FROM v)
+SELECT scale, CAST(symbol AS BIGINT) AS symbol, count(*) AS n, count(*) * CASE WHEN symbol < 254 THEN 1 ELSE 3 END AS bytes FROM c GROUP BY scale, symbol"""
 
 
 def varint_size(v: Column) -> Column:
@@ -218,6 +280,7 @@ QUERIES = {
     "match_length_neighbours": (match_length_neighbours, MATCH_LENGTH),
     "offset_classes": (offset_classes, OFFSET_CLASSES),
     "offset_scale": (offset_scale, OFFSET_SCALE),
+    "offset_symbols": (offset_symbols, OFFSET_SYMBOLS),
     "top_commands": (top_commands, TOP_COMMANDS),
     "move_to_front": (move_to_front, MOVE_TO_FRONT),
     "delta_literals": (delta_literals, DELTA_LITERALS),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from blockwright.functions import columns as C
+from blockwright.operators.matching import common_prefix
 from blockwright.session import table
 
 
@@ -25,11 +26,13 @@ CAST(length(bin(n)) - 1 AS INTEGER) AS high_bit, CAST(length(regexp_extract(bin(
 def token_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tokens with their fields, context group and the plain sizes of their lengths."""
     t = spark.range(256).select(F.col("id").alias("token"))
-    return t.select("token", F.shiftright("token", 4).alias("literals"), F.col("token").bitwiseAND(F.lit(15)).alias("match"), C.token_groups(F.col("token")).cast("long").alias("grp"), F.shiftright("token", 4).alias("literal_grp"))
+    return t.select("token", F.shiftright("token", 4).alias("literals"), F.col("token").bitwiseAND(F.lit(15)).alias("match"), C.token_groups(F.col("token")).cast("long").alias("grp"), F.shiftright("token", 4).alias("literal_grp"), C.command_groups(F.col("token")).cast("long").alias("command_grp"), C.price_groups(F.col("token")).cast("long").alias("price_grp"))
 
 
 TOKEN_FIELDS = """WITH t AS (SELECT range AS token, range >> 4 AS l, range & 15 AS m FROM range(256))
-SELECT token, l AS literals, m AS match, CAST(CASE WHEN l < 2 THEN l WHEN l < 4 THEN 2 ELSE 3 END * 4 + CASE WHEN m < 2 THEN 0 WHEN m < 5 THEN 1 WHEN m < 15 THEN 2 ELSE 3 END AS BIGINT) AS grp, l AS literal_grp FROM t"""
+SELECT token, l AS literals, m AS match, CAST(CASE WHEN l < 2 THEN l WHEN l < 4 THEN 2 ELSE 3 END * 4 + CASE WHEN m < 2 THEN 0 WHEN m < 5 THEN 1 WHEN m < 15 THEN 2 ELSE 3 END AS BIGINT) AS grp, l AS literal_grp,
+CAST((token & 3) * 4 + CASE WHEN (token >> 2) & 15 < 2 THEN 0 WHEN (token >> 2) & 15 < 5 THEN 1 WHEN (token >> 2) & 15 < 15 THEN 2 ELSE 3 END AS BIGINT) AS command_grp,
+CAST(least(l, 3) * 4 + CASE WHEN m < 2 THEN 0 WHEN m < 5 THEN 1 WHEN m < 15 THEN 2 ELSE 3 END AS BIGINT) AS price_grp FROM t"""
 
 
 def split_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,20 +127,23 @@ SELECT epoch, event_id, score FROM s WHERE n = 57 QUALIFY row_number() OVER (PAR
 
 
 def dictionary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last place in a dictionary (the benchmark passages) of each 4-character key of the part names.
+    """Last place in a dictionary (the benchmark passages) of each 4-character key of the part names, and how far the match goes.
 
-    The dictionary's keys are a fixed vocabulary here; its table is aggregated to one row a key before the join.
+    The dictionary's keys are a fixed vocabulary here; its table is aggregated to one row a key before the join. A key is 4
+    characters, so that equal keys are equal strings; the rest of the name is then compared with what follows in the dictionary.
     """
     cut = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - 3, F.lit(1))), lambda i: F.substr(t, i, F.lit(4)))
-    d = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(cut(F.lower("text"))).alias("pos", "key")).groupBy("key").agg(F.max(F.struct("item_id", "pos")).alias("last"))
-    p = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(cut(F.lower("p_name"))).alias("at", "key"))
-    return p.join(d, "key").where("char_length(key) = 4").select("p_partkey", "at", F.col("last.item_id").alias("item_id"), F.col("last.pos").alias("pos"))
+    d = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("t")).select("item_id", "t", F.posexplode(cut(F.col("t"))).alias("pos", "key"))
+    d = d.groupBy("key").agg(F.max(F.struct("item_id", "pos", F.substr(F.col("t"), F.col("pos") + 1, F.lit(64)).alias("rest"))).alias("last"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("t")).select("p_partkey", "t", F.posexplode(cut(F.col("t"))).alias("at", "key"))
+    m = p.join(d, "key").where("char_length(key) = 4")
+    return m.select("p_partkey", "at", F.col("last.item_id").alias("item_id"), F.col("last.pos").alias("pos"), common_prefix(F.substr(F.col("t"), F.col("at") + 1, F.lit(64)), F.col("last.rest")).cast("long").alias("len"))
 
 
-DICTIONARY_MATCHES = """WITH d AS (SELECT item_id, CAST(i AS INTEGER) AS pos, substr(lower(text), CAST(i + 1 AS BIGINT), 4) AS key FROM (SELECT *, unnest(range(0, greatest(length(text) - 3, 1))) AS i FROM benchmark)),
+DICTIONARY_MATCHES = """WITH d AS (SELECT item_id, CAST(i AS INTEGER) AS pos, substr(t, CAST(i + 1 AS BIGINT), 4) AS key, substr(t, CAST(i + 1 AS BIGINT), 64) AS rest FROM (SELECT item_id, lower(text) AS t, unnest(range(0, greatest(length(text) - 3, 1))) AS i FROM benchmark)),
 l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY key ORDER BY item_id DESC, pos DESC) = 1),
-p AS (SELECT p_partkey, CAST(i AS INTEGER) AS "at", substr(lower(p_name), CAST(i + 1 AS BIGINT), 4) AS key FROM (SELECT *, unnest(range(0, greatest(length(p_name) - 3, 1))) AS i FROM part))
-SELECT p_partkey, "at", item_id, pos FROM p JOIN l USING (key) WHERE length(key) = 4"""
+p AS (SELECT p_partkey, CAST(i AS INTEGER) AS "at", substr(t, CAST(i + 1 AS BIGINT), 4) AS key, substr(t, CAST(i + 1 AS BIGINT), 64) AS own FROM (SELECT p_partkey, lower(p_name) AS t, unnest(range(0, greatest(length(p_name) - 3, 1))) AS i FROM part))
+SELECT p_partkey, "at", item_id, pos, CAST(len(list_filter(range(1, least(length(own), length(rest)) + 1), lambda k: left(own, k) = left(rest, k))) AS BIGINT) AS len FROM p JOIN l USING (key) WHERE length(key) = 4"""
 
 
 def best_of_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +166,8 @@ SELECT o_orderkey, CASE least(a, b, c, d) WHEN a THEN 'stored' WHEN b THEN 'plai
 
 
 def code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Huffman code lengths of the bytes of each language: whether they fit the limit and cost no less than the entropy."""
+    """Bits of the bytes of each language (documents without one are a class of their own) under their best Huffman code, whose
+    lengths are not limited, and how many bytes have a code."""
     import numpy as np
     import pandas as pd
 
@@ -170,16 +177,21 @@ def code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         counts = np.zeros(256, np.int64)
         counts[g.v] = g.n
-        lens = huffman.lengths(counts)
-        p = counts[counts > 0] / counts.sum()
-        cost = float((counts * lens).sum())
-        return pd.DataFrame([(g.lang.iloc[0], int(lens.max()) <= huffman.LIMIT and huffman.kraft(lens) <= 1 << huffman.LIMIT, cost >= -(p * np.log2(p)).sum() * counts.sum() - 1e-6)], columns=["lang", "fits", "bounded"])
+        lens = huffman.lengths(counts, 64).astype(np.int64)
+        return pd.DataFrame([(g.lang.iloc[0], int((lens > 0).sum()), int((counts * lens).sum()))], columns=["lang", "symbols", "bits"])
 
     # at most 256 rows a group
-    return histogram(table(spark, sf_dir, "documents").where("lang is not null"), "lang", "text").groupBy("lang").applyInPandas(run, "lang string, fits boolean, bounded boolean")
+    d = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "text")
+    return histogram(d, "lang", "text").groupBy("lang").applyInPandas(run, "lang string, symbols long, bits long")
 
 
-CODE_LENGTHS = "SELECT DISTINCT lang, true AS fits, true AS bounded FROM documents WHERE lang IS NOT NULL"
+#: The two smallest weights are joined until one is left; a code's bits are the sum of all joined weights.
+CODE_LENGTHS = """WITH RECURSIVE b AS (SELECT coalesce(lang, 'none') AS lang, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT lang, substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS v FROM (SELECT lang, h, unnest(range(0, length(h) // 2)) AS i FROM b)),
+c AS (SELECT lang, v, count(*) AS n FROM k GROUP BY lang, v),
+t(lang, l, bits, symbols) AS (SELECT lang, list(n ORDER BY n), CASE WHEN count(*) = 1 THEN CAST(max(n) AS BIGINT) ELSE 0::BIGINT END, count(*) FROM c GROUP BY lang
+  UNION ALL SELECT lang, list_sort(list_append(l[3:], l[1] + l[2])), bits + l[1] + l[2], symbols FROM t WHERE len(l) > 1)
+SELECT lang, symbols, bits FROM t WHERE len(l) = 1"""
 
 QUERIES = {
     "size_bounds": (size_bounds, SIZE_BOUNDS),

@@ -273,6 +273,73 @@ def _range_sql(levels: int) -> str:
 COLOUR_RANGES = " UNION ALL ".join(_range_sql(n) for n in sorted([*SPREADS, *(1 << n for n in range(3, 9))]))
 
 
+def _bits(v: Column, at: int, n: int = 1) -> Column:
+    return F.shiftright(v, at).bitwiseAND(F.lit((1 << n) - 1))
+
+
+def trit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five trits of each value of 8 bits, as the format packs them."""
+    t = spark.range(256).select(F.col("id").alias("packed"))
+    p = F.col("packed")
+    full, high = _bits(p, 2, 3) == 7, _bits(p, 5, 2) == 3
+    c = F.when(full, F.shiftleft(_bits(p, 5, 3), 2).bitwiseOR(_bits(p, 0, 2))).otherwise(_bits(p, 0, 5))
+    t = t.select("packed", c.alias("c"), F.when(full | high, 2).otherwise(_bits(p, 7)).alias("t4"), F.when(full, 2).when(high, _bits(p, 7)).otherwise(_bits(p, 5, 2)).alias("t3"))
+    c = F.col("c")
+    first, second = _bits(c, 0, 2) == 3, _bits(c, 2, 2) == 3
+    low = lambda a, b: F.shiftleft(_bits(c, b), 1).bitwiseOR(_bits(c, a) * (1 - _bits(c, b)))
+    t2, t1 = F.when(first | second, 2).otherwise(_bits(c, 4)), F.when(first, _bits(c, 4)).when(second, 2).otherwise(_bits(c, 2, 2))
+    t0 = F.when(first, low(2, 3)).when(second, _bits(c, 0, 2)).otherwise(low(0, 1))
+    return t.select("packed", *[x.cast("long").alias(n) for x, n in ((t0, "t0"), (t1, "t1"), (t2, "t2"), (F.col("t3"), "t3"), (F.col("t4"), "t4"))])
+
+
+TRIT_BLOCKS = """WITH p AS (SELECT range AS p, (range >> 2) & 7 = 7 AS f, (range >> 5) & 3 = 3 AS g FROM range(256)),
+c AS (SELECT *, CASE WHEN f THEN ((p >> 5) & 7) * 4 + (p & 3) ELSE p & 31 END AS c, CASE WHEN f OR g THEN 2 ELSE p >> 7 END AS t4, CASE WHEN f THEN 2 WHEN g THEN p >> 7 ELSE (p >> 5) & 3 END AS t3 FROM p)
+SELECT p AS packed, CASE WHEN c & 3 = 3 THEN CASE WHEN c & 8 = 8 THEN 2 ELSE (c >> 2) & 1 END WHEN c & 12 = 12 THEN c & 3 WHEN c & 2 = 2 THEN 2 ELSE c & 1 END AS t0,
+CASE WHEN c & 3 = 3 THEN c >> 4 WHEN c & 12 = 12 THEN 2 ELSE (c >> 2) & 3 END AS t1, CASE WHEN c & 3 = 3 OR c & 12 = 12 THEN 2 ELSE c >> 4 END AS t2, CAST(t3 AS BIGINT) AS t3, CAST(t4 AS BIGINT) AS t4 FROM c"""
+
+
+def quint_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three quints of each value of 7 bits, as the format packs them."""
+    q = spark.range(128).select(F.col("id").alias("packed"))
+    p = F.col("packed")
+    four = _bits(p, 1, 2) == 3
+    both = four & (_bits(p, 5, 2) == 0)
+    c = F.when(four, F.shiftleft(_bits(p, 3, 2), 3).bitwiseOR(F.shiftleft(3 - _bits(p, 5, 2), 1)).bitwiseOR(_bits(p, 0))).otherwise(_bits(p, 0, 5))
+    odd = 1 - _bits(p, 0)
+    top = F.shiftleft(_bits(p, 0), 2).bitwiseOR(F.shiftleft(_bits(p, 4) * odd, 1)).bitwiseOR(_bits(p, 3) * odd)
+    q = q.select("packed", both.alias("both"), c.alias("c"), F.when(both, top).when(four, 4).otherwise(_bits(p, 5, 2)).alias("q2"))
+    c, five = F.col("c"), _bits(F.col("c"), 0, 3) == 5
+    q1 = F.when(F.col("both") | five, 4).otherwise(_bits(c, 3, 2))
+    q0 = F.when(F.col("both"), 4).when(five, _bits(c, 3, 2)).otherwise(_bits(c, 0, 3))
+    return q.select("packed", q0.cast("long").alias("q0"), q1.cast("long").alias("q1"), F.col("q2").cast("long").alias("q2"))
+
+
+QUINT_BLOCKS = """WITH p AS (SELECT range AS p, (range >> 1) & 3 = 3 AS f, (range >> 1) & 3 = 3 AND (range >> 5) & 3 = 0 AS b FROM range(128)),
+c AS (SELECT *, CASE WHEN f THEN ((p >> 3) & 3) * 8 + (3 - ((p >> 5) & 3)) * 2 + (p & 1) ELSE p & 31 END AS c,
+  CASE WHEN b THEN CASE WHEN p & 1 = 1 THEN 4 ELSE ((p >> 4) & 1) * 2 + ((p >> 3) & 1) END WHEN f THEN 4 ELSE (p >> 5) & 3 END AS q2 FROM p)
+SELECT p AS packed, CAST(CASE WHEN b THEN 4 WHEN c & 7 = 5 THEN (c >> 3) & 3 ELSE c & 7 END AS BIGINT) AS q0, CAST(CASE WHEN b OR c & 7 = 5 THEN 4 ELSE (c >> 3) & 3 END AS BIGINT) AS q1, CAST(q2 AS BIGINT) AS q2 FROM c"""
+
+
+def motion_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best displacement (up to 2 rows and 4 columns) of each block of 8 x 8 pixels within the image 16 rows above: differences and
+    8 for each step away, so that ties go to the shorter one; then the smaller. Each block meets its displacements by equality of pixels.
+    """
+    p = _pixels(spark, sf_dir).select("y", "x", "v")
+    moved = p.select("*", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("dy")).select("*", F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("dx"))
+    moved = moved.select((F.col("y") - 16 + F.col("dy")).alias("ry"), F.greatest(F.lit(0), F.least(F.lit(63), F.col("x") + F.col("dx"))).cast("long").alias("rx"), "y", "x", "v", "dx", "dy")
+    ref = p.select(F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("v").alias("r"))
+    block = [F.floor(F.col("y") / 8).alias("row"), F.floor(F.col("x") / 8).alias("col")]
+    cost = moved.join(ref, ["ry", "rx"]).groupBy(*block, "dy", "dx").agg(F.sum(F.abs(F.col("v") - F.col("r")).cast("long")).alias("sad"), F.count("*").alias("n")).where("n = 64")
+    price = F.col("sad") + 8 * (F.abs("dx") + F.abs("dy"))
+    best = cost.groupBy("row", "col").agg(F.min(F.struct(price.alias("cost"), "dy", "dx", "sad")).alias("b"))
+    return best.select("row", "col", "b.dy", "b.dx", "b.sad", "b.cost")
+
+
+MOTION_SEARCH = f"""WITH {_PIXELS}, m AS (SELECT y, x, v, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, y - 16 + dy AS ry, greatest(0, least(63, x + dx)) AS rx FROM px, range(-2, 3) AS a(dy), range(-4, 5) AS b(dx)),
+c AS (SELECT m.y // 8 AS "row", m.x // 8 AS "col", dy, dx, CAST(sum(abs(m.v - r.v)) AS BIGINT) AS sad FROM m JOIN px r ON r.y = m.ry AND r.x = m.rx GROUP BY ALL HAVING count(*) = 64)
+SELECT "row", "col", dy, dx, sad, sad + 8 * (abs(dx) + abs(dy)) AS cost FROM c QUALIFY row_number() OVER (PARTITION BY "row", "col" ORDER BY sad + 8 * (abs(dx) + abs(dy)), dy, dx) = 1"""
+
+
 def mip_srgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next smaller level of sRGB values: means of 2 x 2 pixels in linear light, encoded and rounded; an odd last row or
     column is dropped, a single one is taken twice."""
@@ -367,6 +434,9 @@ QUERIES = {
     "block_masks": (block_masks, BLOCK_MASKS),
     "hamming_topk": (hamming_topk, HAMMING_TOPK),
     "colour_ranges": (colour_ranges, COLOUR_RANGES),
+    "trit_blocks": (trit_blocks, TRIT_BLOCKS),
+    "quint_blocks": (quint_blocks, QUINT_BLOCKS),
+    "motion_search": (motion_search, MOTION_SEARCH),
     "mip_srgb": (mip_srgb, MIP_SRGB),
     "srgb_thresholds": (srgb_thresholds, SRGB_THRESHOLDS),
     "difference_view": (difference_view, DIFFERENCE_VIEW),

@@ -29,12 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints: what the session names, or (in tests) a new temporary one."""
+    """The folder for checkpoints that the session names. Only a session whose executors are this very machine's may do
+    without one and gets a new temporary folder; elsewhere executors would each write to their own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="blockwright-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer tasks than these (a small file of one row group), else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if tasks >= cores else df.repartition(4 * cores)
