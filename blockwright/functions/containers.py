@@ -25,32 +25,49 @@ class File:
     raw_size: int
 
 
-def write_archive(frames: dict[str, tuple[bytes, int]]) -> bytes:
-    """An archive of frames: name -> (frame, raw size), laid out in bytewise order of names."""
-    names = sorted(frames, key=lambda n: n.encode())
-    body, entries, text, at = [], [], b"", ARCHIVE_HEADER
-    for n in names:
-        data, raw = frames[n]
-        key = n.encode()
-        entries.append(struct.pack("<QQQII", at, len(data), raw, len(text), len(key)))
-        text += key
-        body.append(data)
+def archive_header(count: int, directory_at: int, directory_size: int) -> bytes:
+    return struct.pack("<4sIIIQQ", ARCHIVE_MAGIC, ARCHIVE_VERSION, count, 0, directory_at, directory_size)
+
+
+def archive_entries(files: list[tuple[bytes, int, int, int]]) -> bytes:
+    """The directory of files (name, offset, stored size, raw size) in bytewise order of names, each of which is there once."""
+    entries, text = [], bytearray()
+    for i, (name, at, size, raw) in enumerate(files):
+        if i and files[i - 1][0] >= name:
+            raise ValueError("a name occurs twice" if files[i - 1][0] == name else "names out of order")
+        entries.append(struct.pack("<QQQII", at, size, raw, len(text), len(name)))
+        text += name
+    return b"".join(entries) + bytes(text)
+
+
+def write_archive(frames: dict[str, tuple[bytes, int]] | list[tuple[str, tuple[bytes, int]]]) -> bytes:
+    """An archive of frames: (name, (frame, raw size)), laid out in bytewise order of names; a name that occurs twice is an error."""
+    pairs = sorted(((n.encode(), f) for n, f in (frames.items() if isinstance(frames, dict) else frames)), key=lambda x: x[0])
+    at, files = ARCHIVE_HEADER, []
+    for name, (data, raw) in pairs:
+        files.append((name, at, len(data), raw))
         at += len(data)
-    toc = b"".join(entries) + text
-    return struct.pack("<4sIIIQQ", ARCHIVE_MAGIC, ARCHIVE_VERSION, len(names), 0, at, len(toc)) + b"".join(body) + toc
+    toc = archive_entries(files)
+    return archive_header(len(files), at, len(toc)) + b"".join(f[0] for _, f in pairs) + toc
 
 
 def read_archive(src: bytes) -> list[File]:
     """The directory of an archive whose parts lie inside it."""
-    if len(src) < ARCHIVE_HEADER:
+    toc = int.from_bytes(src[16:24], "little")
+    return archive_directory(src[:ARCHIVE_HEADER], src[toc:] if toc <= len(src) else b"", len(src))
+
+
+def archive_directory(head: bytes, directory: bytes, total: int) -> list[File]:
+    """The same of an archive of ``total`` bytes by its header and what follows the files."""
+    if len(head) < ARCHIVE_HEADER:
         raise CorruptData("archive cut short")
-    magic, version, count, _, toc, size = struct.unpack_from("<4sIIIQQ", src)
-    if magic != ARCHIVE_MAGIC or version != ARCHIVE_VERSION or toc < ARCHIVE_HEADER or toc > len(src) or size != len(src) - toc or count > size // ENTRY:
+    magic, version, count, _, toc, size = struct.unpack_from("<4sIIIQQ", head)
+    if magic != ARCHIVE_MAGIC or version != ARCHIVE_VERSION or toc < ARCHIVE_HEADER or toc > total or size != total - toc or size != len(directory) or count > size // ENTRY:
         raise CorruptData("not an archive")
-    names = src[toc + count * ENTRY :]
+    names = directory[count * ENTRY :]
     out = []
     for i in range(count):
-        at, stored, raw, name_at, name_len = struct.unpack_from("<QQQII", src, toc + i * ENTRY)
+        at, stored, raw, name_at, name_len = struct.unpack_from("<QQQII", directory, i * ENTRY)
         if at < ARCHIVE_HEADER or at + stored > toc or name_at + name_len > len(names):
             raise CorruptData("entry outside of the archive")
         out.append(File(names[name_at : name_at + name_len].decode("utf-8", "replace"), at, stored, raw))
@@ -83,27 +100,43 @@ class Clip:
     packets: tuple[tuple[int, int, bool], ...]
 
 
+def clip_frame(packets: list[tuple[int, int, bool]], width: int, height: int, rate: tuple[int, int], colour: int, index_at: int, interval: int = 0) -> tuple[bytes, bytes]:
+    """(header, index) of packets (offset, size, is key)."""
+    index = b"".join(struct.pack("<QII", at, size, int(key)) for at, size, key in packets)
+    return struct.pack("<IHBBHHIIIIQQI", *CLIP_MAGIC, CLIP_VERSION, colour & 3, width, height, *rate, len(packets), interval, index_at, len(index), 0), index
+
+
 def write_clip(packets: list[tuple[bytes, bool]], width: int, height: int, rate: tuple[int, int], interval: int, colour: int = 0) -> bytes:
     """A clip: header, packets, then the index."""
-    at, index = CLIP_HEADER, []
+    at, places = CLIP_HEADER, []
     for p, key in packets:
-        index.append(struct.pack("<QII", at, len(p), int(key)))
+        places.append((at, len(p), key))
         at += len(p)
-    head = struct.pack("<IHBBHHIIIIQQI", *CLIP_MAGIC, CLIP_VERSION, colour & 3, width, height, *rate, len(packets), interval, at, FRAME_ENTRY * len(packets), 0)
-    return head + b"".join(p for p, _ in packets) + b"".join(index)
+    head, index = clip_frame(places, width, height, rate, colour, at, interval)
+    return head + b"".join(p for p, _ in packets) + index
 
 
-def read_clip(src: bytes) -> Clip:
-    if len(src) < CLIP_HEADER:
+def clip_index_place(head: bytes, total: int) -> int:
+    """Where the index of a clip of ``total`` bytes begins."""
+    if len(head) < CLIP_HEADER:
         raise CorruptData("clip cut short")
-    a, b, version, colour, w, h, num, den, n, interval, at, size, _ = struct.unpack_from("<IHBBHHIIIIQQI", src)
+    return min(struct.unpack_from("<IHBBHHIIIIQQI", head)[10], total)
+
+
+def read_clip(src: bytes) -> Clip:
+    return clip_directory(src[:CLIP_HEADER], src[clip_index_place(src[:CLIP_HEADER], len(src)) :], len(src))
+
+
+def clip_directory(head: bytes, index: bytes, total: int) -> Clip:
+    """A clip of ``total`` bytes by its header and what follows the packets."""
+    a, b, version, colour, w, h, num, den, n, interval, at, size, _ = struct.unpack_from("<IHBBHHIIIIQQI", head)
     if (a, b) != CLIP_MAGIC or version != CLIP_VERSION or colour > 3:
         raise CorruptData("not a clip")
-    if min(w, h) < 2 or w % 2 or h % 2 or not num or not den or not n or size != FRAME_ENTRY * n or at < CLIP_HEADER or at + size > len(src):
+    if min(w, h) < 2 or w % 2 or h % 2 or not num or not den or not n or size != FRAME_ENTRY * n or at < CLIP_HEADER or at + size > total or size > len(index):
         raise CorruptData("header does not hold together")
     packets = []
     for i in range(n):
-        o, s, flags = struct.unpack_from("<QII", src, at + FRAME_ENTRY * i)
+        o, s, flags = struct.unpack_from("<QII", index, FRAME_ENTRY * i)
         if o < CLIP_HEADER or o + s > at:
             raise CorruptData("packet outside of the clip")
         packets.append((o, s, bool(flags & 1)))

@@ -7,7 +7,9 @@ Version 1 blocks are plain, or stored if as long as their raw bytes; version 2 b
 
 from __future__ import annotations
 
+import itertools
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from blockwright.functions import CorruptData, entropy, lz, turbo, x86
@@ -68,13 +70,15 @@ def decode_block(coded: bytes, raw_len: int, version: int) -> bytes:
     return x86.apply(out, False)[0] if coded[0] & FILTERED else out
 
 
+def header(block_size: int, raw_size: int, sizes: list[int], version: int) -> bytes:
+    """What stands before the blocks of these coded sizes."""
+    ends = list(itertools.accumulate(sizes))
+    return struct.pack(f"<IIQ{len(ends)}Q", MAGIC_1 if version == 1 else MAGIC_2, block_size, raw_size, *ends)
+
+
 def assemble(blocks: list[bytes], block_size: int, raw_size: int, version: int) -> bytes:
     """A frame of coded blocks."""
-    ends, at = [], 0
-    for b in blocks:
-        at += len(b)
-        ends.append(at)
-    return struct.pack(f"<IIQ{len(ends)}Q", MAGIC_1 if version == 1 else MAGIC_2, block_size, raw_size, *ends) + b"".join(blocks)
+    return header(block_size, raw_size, [len(b) for b in blocks], version) + b"".join(blocks)
 
 
 def encode(data: bytes, block_size: int = BLOCK, methods: tuple[int, ...] = ()) -> bytes:
@@ -85,21 +89,26 @@ def encode(data: bytes, block_size: int = BLOCK, methods: tuple[int, ...] = ())
 
 def index(src: bytes) -> tuple[int, int, list[Block]]:
     """(version, raw size, blocks) of a frame whose header and table hold together."""
-    if len(src) < 16:
+    return index_of(src, len(src), src.__getitem__)
+
+
+def index_of(head: bytes, total: int, byte_at: Callable[[int], int]) -> tuple[int, int, list[Block]]:
+    """The same of a frame of ``total`` bytes of which ``head`` holds header and table; ``byte_at`` gives a block's method."""
+    if len(head) < 16:
         raise CorruptData("frame cut short")
-    magic, size, raw = struct.unpack_from("<IIQ", src)
+    magic, size, raw = struct.unpack_from("<IIQ", head)
     if magic not in (MAGIC_1, MAGIC_2) or not 0 < size <= 1 << 31:
         raise CorruptData("not a frame")
     version, n = (1 if magic == MAGIC_1 else 2), -(-raw // size)
-    if n > (len(src) - 16) // 8:
+    if n > (len(head) - 16) // 8:
         raise CorruptData("block table cut short")
-    ends = struct.unpack_from(f"<{n}Q", src, 16)
+    ends = struct.unpack_from(f"<{n}Q", head, 16)
     base, last, out = 16 + 8 * n, 0, []
     for i, end in enumerate(ends):
         length = min(size, raw - i * size)
-        if end < last or end - last > length + (version == 2) or (version == 2 and end == last) or base + end > len(src):
+        if end < last or end - last > length + (version == 2) or (version == 2 and end == last) or base + end > total:
             raise CorruptData("block ends out of order")
-        first = src[base + last] if version == 2 else (STORED if end - last == length else PLAIN)
+        first = byte_at(base + last) if version == 2 else (STORED if end - last == length else PLAIN)
         out.append(Block(i, first & ~FILTERED, bool(first & FILTERED) and version == 2, base + last, base + end, length))
         last = end
     return version, raw, out

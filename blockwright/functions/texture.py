@@ -193,19 +193,29 @@ def mip(image: np.ndarray) -> np.ndarray:
     return (v + 2 >> 2).astype(np.uint8)
 
 
-#: Fixed values of the format: name of each kind of block in a texture file.
-FOUR_CC = {"BC1": b"DXT1", "BC3": b"DXT5", "BC4": b"ATI1", "BC5": b"ATI2"}
+#: Fixed values of the format: name of each kind of block in a texture file, its number in the extended header, bytes of a block.
+FOUR_CC = {"BC1": b"DXT1", "BC3": b"DXT5", "BC4": b"BC4U", "BC5": b"BC5U"}
+EXTENDED = {"BC1": 71, "BC3": 77, "BC4": 80, "BC5": 83, "BC6H": 95, "BC7": 98}
+BLOCK_BYTES = {"BC1": 8, "BC3": 16, "BC4": 8, "BC5": 16, "BC6H": 16, "BC7": 16}
 
 
-def texture_file(levels: list[bytes], w: int, h: int, kind: str) -> bytes:
-    """A DDS file of block data with its mip levels."""
+def header(w: int, h: int, kind: str, levels: int, srgb: bool = False) -> bytes:
+    """What stands before the levels of a DDS file; kinds without a name of their own, and sRGB ones, have the extended header."""
     import struct
 
-    mips = len(levels) > 1
+    srgb = srgb and kind not in ("BC4", "BC5")  # channels are never sRGB
+    mips, extended = levels > 1, kind not in FOUR_CC or srgb
     flags = 0x1007 | 0x80000 | (0x20000 if mips else 0)
-    head = struct.pack("<4s7I44x", b"DDS ", 124, flags, h, w, len(levels[0]), 0, len(levels))
-    form = struct.pack("<2I4s5I", 32, 4, FOUR_CC[kind], 0, 0, 0, 0, 0)
-    return head + form + struct.pack("<5I", 0x1000 | (0x400008 if mips else 0), 0, 0, 0, 0) + b"".join(levels)
+    first = -(-w // 4) * -(-h // 4) * BLOCK_BYTES[kind]
+    head = struct.pack("<4s7I44x", b"DDS ", 124, flags, h, w, first, 0, levels)
+    form = struct.pack("<2I4s5I", 32, 4, b"DX10" if extended else FOUR_CC[kind], 0, 0, 0, 0, 0)
+    more = struct.pack("<5I", EXTENDED[kind] + (srgb and kind in ("BC1", "BC3", "BC7")), 3, 0, 1, 0) if extended else b""
+    return head + form + struct.pack("<5I", 0x1000 | (0x400008 if mips else 0), 0, 0, 0, 0) + more
+
+
+def texture_file(levels: list[bytes], w: int, h: int, kind: str, srgb: bool = False) -> bytes:
+    """A DDS file of block data with its mip levels."""
+    return header(w, h, kind, len(levels), srgb) + b"".join(levels)
 
 
 def psnr(a: np.ndarray, b: np.ndarray) -> float:
