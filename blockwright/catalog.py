@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwright.operators import archive, bytes_stats, clips, codecs, images, matching, scalars, texels
+from blockwright.operators import archive, bytes_stats, clips, codecs, images, matching, scalars, surface, texels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (bytes_stats, archive, clips, matching, images, codecs, scalars, texels)
+MODULES = (bytes_stats, archive, clips, matching, images, codecs, scalars, texels, surface)
 
 
 def queries() -> dict[str, Query]:
