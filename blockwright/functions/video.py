@@ -224,6 +224,18 @@ class Session:
         """The last frame without its padding."""
         return [self.planes[0][: self.height, : self.width], *(p[: self.height // 2, : self.width // 2] for p in self.planes[1:])]
 
+    def dump(self) -> bytes | None:
+        """The reference as bytes, None without one."""
+        return b"".join(np.ascontiguousarray(p).tobytes() for p in self.planes) if self.planes else None
+
+    def load(self, data: bytes) -> None:
+        """Takes up what ``dump`` gave."""
+        shapes, at, planes = [(self.rows * 16, self.cols * 16)] + [(self.rows * 8, self.cols * 8)] * 2, 0, []
+        for h, w in shapes:
+            planes.append(np.frombuffer(data, np.uint8, h * w, at).reshape(h, w))
+            at += h * w
+        self.planes = planes
+
     # decoding
 
     def parse(self, packet: bytes) -> tuple[bool, int, Frame]:

@@ -44,6 +44,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Sees to it that an Arrow batch of this session has at most ``limit`` bytes (or one row): its own limit is 10,000 rows, which
+    long texts turn into hundreds of megabytes on either side. A smaller limit that the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > limit:
+        spark.conf.set(key, str(limit))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if its scan has fewer tasks than these (a small file of one row group), else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

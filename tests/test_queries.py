@@ -41,10 +41,20 @@ def test_query(spark, con, name):
     assert a == b
 
 
-def test_entry_works_without_the_llm_folders():
-    import __spark_entry__ as e
-
-    assert set(catalog.queries()) <= set(e.queries()) and set(catalog.oracle_sql()) <= set(e.oracle_sql())
+def test_entry_works_without_the_llm_folders(tmp_path):
+    """A copy without the llm folders and the pipeline imports and has all other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "blockwright", tmp_path / "blockwright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={**__import__("os").environ, "PYTHONPATH": str(tmp_path)})
+    assert said.returncode == 0, said.stderr
+    names, sql = (line.split() for line in said.stdout.splitlines())
+    assert names == sorted(catalog.queries()) and sql == sorted(catalog.oracle_sql())
 
 
 def test_containers_as_tables(spark, tmp_path):
@@ -88,11 +98,7 @@ def test_resync_stream(spark, tmp_path):
     for i, part in enumerate((d[:3], d[3:])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = resync(stream).writeStream.format("memory").queryName("resync").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
+    _run(spark, resync(stream).writeStream.format("memory").queryName("resync").outputMode("append").option("checkpointLocation", f"{tmp_path}/c"))
     got = {(r["clip"], r["frame_no"]): r["decodes"] for r in spark.table("resync").collect()}
     assert got[2, 0] and len(got) == len(d)
     assert [got[1, n] for n in (0, 1, 2, 3, 4, 5, 7)] == [False, True, True, False, False, True, False]
@@ -105,3 +111,88 @@ def test_stream_compression(spark):
     d = b"hello world, this is the header"
     out = compress(spark.createDataFrame([(1, bytearray(d)), (2, None)], "pkt_id long, payload binary"), d, 3).orderBy("pkt_id").collect()
     assert lz.decode(bytes(out[0]["coded"]), out[0]["raw_len"], d) == d and out[0]["dict_version"] == 3 and out[1]["raw_len"] == 0
+
+
+def _stream(spark, folder, schema, parts):
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def _run(spark, writer, idle=False):
+    """All that is there, batch by batch. Without batches for timeouts alone, which a state with timeouts would ask for forever."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(idle).lower())
+    query = writer.trigger(availableNow=True).start()
+    try:
+        assert query.awaitTermination(60)
+    finally:
+        query.stop()
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_decoder_sessions_as_state(spark, tmp_path):
+    import numpy as np
+
+    from blockwright.functions import video
+    from blockwright.streaming.packets import decode_sessions
+
+    rs, enc, seen, packets = np.random.default_rng(2), video.Session(32, 16), [], []
+    for i in range(8):
+        y = np.roll(np.add.outer(np.arange(16) * 5, np.arange(32) * 3) % 256, i, 1).astype(np.uint8)
+        packets.append(enc.encode([y, *(np.full((8, 16), 90 + i, np.uint8) for _ in "uv")], 80, interval=4, reach=1))
+        seen.append(enc.visible()[0].tobytes())
+    broken = bytes(rs.integers(0, 256, 40, np.uint8))
+    rows = [(1, i, p) for i, p in enumerate(packets)] + [(2, i, broken if i == 2 else p) for i, p in enumerate(packets)]
+    stream = _stream(spark, tmp_path, "clip long, frame_no long, packet binary", [rows[:3], rows[3:10], rows[10:], [(1, 2, packets[2])]])
+    _run(spark, decode_sessions(stream, 32, 16).writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", f"{tmp_path}/c"))
+    got = [(r["clip"], r["frame_no"], r["y"] and bytes(r["y"]), r["error"]) for r in spark.table("sessions").collect()]
+    assert sorted(g[:3] for g in got if g[0] == 1 and g[3] is None) == [(1, i, seen[i]) for i in range(8)]
+    assert [g for g in got if g[3] == "late"] == [(1, 2, None, "late")]
+    second = {g[1]: g for g in got if g[0] == 2}
+    assert [second[i][2] == seen[i] for i in range(8)] == [True, True, False, False, True, True, True, True]
+
+
+def test_one_pass_clip_sink(spark, tmp_path):
+    from blockwright.functions import containers
+    from blockwright.streaming import packets as pk
+
+    rows = [(i, bytes([i]) * (i + 1), i % 5 == 0) for i in range(20)]
+    stream = _stream(spark, tmp_path, "frame_no long, packet binary, is_key boolean", [rows[:7], rows[7:15], rows[15:]])
+    path = f"{tmp_path}/out.clip"
+    _run(spark, stream.writeStream.foreachBatch(pk.clip_sink(path)).option("checkpointLocation", f"{tmp_path}/c"))
+    pk.clip_sink(path)(spark.createDataFrame(rows[7:15], "frame_no long, packet binary, is_key boolean"), 1)  # a batch that runs again
+    pk.finish_clip(spark, path, 64, 48)
+    src = open(path, "rb").read()
+    c = containers.read_clip(src)
+    assert [(src[o : o + n], k) for o, n, k in c.packets] == [(p, k) for _, p, k in rows]
+
+
+def test_windowed_rates(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from blockwright.streaming.packets import rates
+
+    t = datetime(2024, 1, 1)
+    first = [(t + timedelta(minutes=m), "view", "abc") for m in (0, 1, 4, 6)]
+    later = [(t + timedelta(minutes=40), "view", "x"), (t, "view", "on time no more")]
+    last = [(t + timedelta(minutes=1), "view", "too late"), (t + timedelta(minutes=80), "view", "")]
+    stream = _stream(spark, tmp_path, "ts timestamp, event_type string, props string", [first, later, last])
+    _run(spark, rates(stream).writeStream.format("memory").queryName("rates").outputMode("append").option("checkpointLocation", f"{tmp_path}/c"), True)
+    got = {(r["start"] - t).seconds // 60: (r["packets"], r["bytes"]) for r in spark.table("rates").collect()}
+    assert got[5] == (1, 3) and got[0] in ((3, 9), (4, 24), (5, 32)) and got[40] == (1, 1)  # what is late may still meet its window
+
+
+def test_sql_functions(spark):
+    from blockwright.functions import frame, registry
+
+    registry.register(spark)
+    data = b"some data, some more data, " * 40
+    spark.createDataFrame([(1, data, 2.5), (2, b"", -1.0), (3, None, None)], "k long, d binary, v double").createOrReplaceTempView("given")
+    for m in registry.ENCODERS:
+        got = spark.sql(f"SELECT k, bw_decode(bw_encode(d, '{m}'), length(d), '{m}') AS b FROM given").collect()
+        assert {r["k"]: r["b"] and bytes(r["b"]) for r in got} == {1: data, 2: b"", 3: None}
+    r = spark.sql("SELECT bw_unframe(bw_frame(d)) AS b, bw_x86(bw_x86(d, true), false) AS x, bw_unhalf(bw_half(v)) AS h, bw_decode(d, 5L, 'plain') AS bad FROM given WHERE k = 1").first()
+    assert bytes(r["b"]) == data == bytes(r["x"]) and r["h"] == 2.5 and r["bad"] is None
+    assert spark.sql("SELECT bw_code_lengths(ascii(c)) AS l FROM (SELECT explode(split('aaab', '')) AS c)").first()["l"][97] == 1
+    assert spark.sql("SELECT count(*) AS n, sum(raw_len) AS s FROM given, LATERAL bw_frame_blocks(bw_frame(d)) WHERE k = 1").first() == (1, len(data))
+    assert spark.sql("SELECT * FROM given, LATERAL bw_archive_entries(d)").count() == 0 and frame.index(frame.encode(data))[1] == len(data)
