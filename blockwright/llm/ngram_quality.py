@@ -13,9 +13,12 @@ The ratio table has ``2 * BUCKETS`` rows whatever the corpus holds, which is wha
 The words of a document are exploded and summed again inside its own partition (a row id is the key, so
 the partial aggregate leaves one row per document before the exchange).
 
+Texts are shuffled only if their key may be a trusted one (by a map of bits of a fixed size).
+
 Defined results: a null or empty text has no words, counts of 0 and fails the base rules; rows that repeat
-(also with the same or a null doc_id) are each scored; extra columns are ignored; an empty table or a
-table without trusted documents gives ratios of 0, so that the base rules alone decide.
+(also with the same or a null doc_id) are each scored; a score equal to the threshold is kept; a text of any
+length is scored whole; extra columns are ignored; an empty table or a table without trusted documents gives
+ratios of 0, so that the base rules alone decide.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockwright.llm.labelled import maybe_labelled, never_labelled
 from blockwright.session import shared_folder
 
 BUCKETS = 1 << 16
@@ -36,8 +40,6 @@ MAX_REPEAT = 50
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
-#: Low bits that hold a word position beside the hash of its window.
-POS_BITS = 24
 
 
 def words(text: Column) -> Column:
@@ -48,36 +50,33 @@ def words(text: Column) -> Column:
 def _repeat_hits(s: Column, w: Column) -> Column:
     """Ascending start positions of the 3-word windows that occur twice or more.
 
-    ``s``: sorted longs, each a window's hash in the high bits and its position in the low ones, so that equal
-    windows are neighbours; the words themselves are compared before a window counts.
+    ``s``: (hash, position) of each window in order, so that equal windows are neighbours; the words themselves are
+    compared before a window counts.
     """
-    low = (1 << POS_BITS) - 1
 
     def same(a: Column, b: Column) -> Column:
-        p, q = a.bitwiseAND(F.lit(low)).cast("int"), b.bitwiseAND(F.lit(low)).cast("int")
-        hit = F.shiftright(a, POS_BITS) == F.shiftright(b, POS_BITS)
+        hit = a["h"] == b["h"]
         for k in range(3):
-            hit = hit & (F.get(w, p + k) == F.get(w, q + k))
+            hit = hit & (F.get(w, a["p"] + k) == F.get(w, b["p"] + k))
         return hit
 
     def repeated(x: Column, j: Column) -> Column:
         return F.coalesce(same(x, F.get(s, j + 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, j - 1)), F.lit(False))
 
-    return F.sort_array(F.transform(F.filter(s, repeated), lambda x: x.bitwiseAND(F.lit(low)).cast("int")))
+    return F.sort_array(F.transform(F.filter(s, repeated), lambda x: x["p"]))
 
 
 def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with _w (words) and the base rules' columns."""
-    high = -(1 << POS_BITS)
     t = F.coalesce(F.col(text), F.lit(""))
     w = F.col("_w")
     windows = F.when(
         F.size(w) >= 3,
         F.transform(
             F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(high)).bitwiseOR(i.cast("long")),
+            lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")),
         ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    ).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
     hits = F.col("_hits")
     covered = F.aggregate(F.transform(hits, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(hits, j + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     return (
@@ -112,9 +111,12 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, text: str = "text", key: st
     ``trusted``: a column ``key`` with the documents of the target; repeats and nulls in it do nothing.
     """
     shared_folder(docs.sparkSession)
-    good = trusted.select(F.col(key).alias("_good")).where("_good is not null").distinct()
-    both = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(good.hint("shuffle_hash"), F.col("_k") == F.col("_good"), "left")
-    n = _ngrams(both.select(words(F.coalesce("_t", F.lit(""))).alias("_w"), F.col("_good").isNotNull().cast("long").alias("_in")), ["_in"])
+    good = trusted.select(F.col(key).alias("_k")).where("_k is not null").distinct()
+    texts = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    # only texts that may be trusted meet the keys that are; all others are counted where they lie
+    met = maybe_labelled(texts, good, "_k").join(good.withColumn("_good", F.lit(1)).hint("shuffle_hash"), "_k", "left")
+    both = met.select("_t", F.coalesce("_good", F.lit(0)).cast("long").alias("_in")).unionByName(never_labelled(texts, good, "_k").select("_t", F.lit(0).cast("long").alias("_in")))
+    n = _ngrams(both.select(words(F.col("_t")).alias("_w"), "_in"), ["_in"])
     counts = (
         n.select("_in", F.explode(F.array("_u", "_b")).alias("bucket"))
         .where("bucket is not null")
