@@ -45,6 +45,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockwright.llm import text as tx
+from blockwright.llm.labelled import maybe_labelled
 from blockwright.session import shared_folder
 
 #: What a class's counts lose: DISCOUNT, and LIFT times the class's share of the count in both.
@@ -52,7 +53,7 @@ DISCOUNT = 2.0
 LIFT = 2.0
 #: Most words, and most pairs, that are broadcast.
 HEAD = 1 << 18
-#: Bits of the maps that spare keys without a label, or without a value, the exchange.
+#: Bits of the map that spares keys without a value the exchange.
 BITS = 1 << 26
 CHUNK = 4 << 20
 #: Entries that a task sums up before it sends them.
@@ -130,14 +131,6 @@ def bucket_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def maybe_labelled(docs: DataFrame, y: DataFrame, key: str) -> DataFrame:
-    """Rows of ``docs`` whose key may be one of ``y``: all that are, and the few whose bit is set by another key."""
-    pos = (F.pmod(F.xxhash64(key), F.lit(BITS)) + 1).alias("_pos")
-    maps = y.select(pos).groupBy(F.expr("bitmap_bucket_number(_pos)").alias("_at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_pos))").alias("_map"))
-    bit = "shiftright(cast(conv(hex(substring(_map, cast(bitmap_bit_position(_pos) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(_pos) % 8 as int)) & 1 = 1"
-    return docs.select("*", pos).join(F.broadcast(maps), F.expr(f"bitmap_bucket_number(_pos) = _at and {bit}"), "left_semi").drop("_pos")
-
-
 def labels_of(labels: DataFrame, key: str, toxic: str) -> DataFrame:
     """(key, toxic) once for each labelled key."""
     return labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.max(toxic).cast("long").alias("toxic"))
