@@ -139,12 +139,19 @@ def next_documents(docs: DataFrame, fn, schema: T.StructType, text: str = "text"
     # a document whose key begins a range goes to the range before, too; of equal keys only the first text counts there
     if not cuts:
         return spark.createDataFrame([], schema)
-    arr = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
-    part = F.size(F.filter(arr, lambda c: c <= F.col("key"))) - 1
-    own = d.select(part.cast("int").alias("part"), F.lit(0).alias("extra"), F.col("key").cast("long").alias("key"), "text")
-    again = own.where(F.array_contains(arr, F.col("key"))).select(
-        F.when(F.col("part") == 0, F.lit(last)).otherwise(F.col("part") - 1).cast("int").alias("part"), F.lit(1).alias("extra"), "key", "text"
-    )
+    dealt_kind = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("extra", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("text", T.StringType())])
+    dealt_arrow = to_arrow_schema(dealt_kind)
+    edges = np.array(cuts, np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = np.searchsorted(edges, key, "right") - 1
+            first = np.flatnonzero(edges[part] == key)
+            for rows, to, extra in ((np.arange(len(key)), part, 0), (first, np.where(part[first] == 0, last, part[first] - 1), 1)):
+                if len(rows):
+                    own = b if not extra else b.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.full(len(rows), extra), pa.int32()), *(c.cast(f.type) for c, f in zip(own.columns, list(dealt_arrow)[2:], strict=True))], schema=dealt_arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size = None, [], 0
@@ -178,7 +185,7 @@ def next_documents(docs: DataFrame, fn, schema: T.StructType, text: str = "text"
         if held:
             yield from flush(False)
 
-    dealt = own.unionByName(again).repartition(parts, "part").sortWithinPartitions("part", "extra", "key", "text")
+    dealt = d.mapInArrow(deal, dealt_kind).repartition(parts, "part").sortWithinPartitions("part", "extra", "key", "text")
     return dealt.mapInArrow(run, schema)
 
 
