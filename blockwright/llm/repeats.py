@@ -49,7 +49,7 @@ PLACE = np.uint64(24)
 #: Positions that the sliding minimum takes at a time.
 STEP = 1 << 20
 #: The windows of a gram with more different segments than this are dealt one by one.
-CROWD = 1000
+CROWD = 256
 BUCKET, MARKED, ASKED, SPLIT, WINDOW = range(5)
 
 SENT = T.StructType([T.StructField("to", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("payload", T.BinaryType())])
