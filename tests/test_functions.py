@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from blockwright.functions import CorruptData, containers, dictionary, entropy, entropy3, frame, huffman, lz, parse, texture, turbo, video, x86
+from blockwright.functions import CorruptData, bc7, containers, dictionary, entropy, entropy3, frame, hdr, huffman, lz, parse, texture, turbo, video, x86
 
 R = random.Random(5)
 NOISE = R.randbytes(30_000)
@@ -381,3 +381,72 @@ def test_two_means_by_hand():
     px[0, 5:9] = 200
     px[0, 12] = 180
     assert two_means(px).tolist() == [sum(1 << i for i in (5, 6, 7, 8, 12))] and two_means(np.full((1, 16, 3), 9.0)).tolist() == [0]
+
+
+def _smooth_blocks(seed, n, alpha):
+    r = np.random.default_rng(seed)
+    y, x = np.mgrid[0:4, 0:4]
+    px = np.zeros((n, 16, 4))
+    for k in range(n):
+        for c in range(4):
+            px[k, :, c] = (r.uniform(0, 255) + r.uniform(-20, 20) * x + r.uniform(-20, 20) * y + r.uniform(-4, 4, (4, 4))).ravel()
+        if k % 3 == 0:  # two colours
+            side = bc7._SECOND[r.integers(64)]
+            px[k, side, :3] = px[k, side][:, :3] * 0.2 + r.uniform(0, 200, 3)
+    px = np.clip(np.rint(px), 0, 255)
+    if not alpha:
+        px[:, :, 3] = 255
+    return px
+
+
+@pytest.mark.parametrize("alpha", [False, True])
+def test_bc7_quality_and_modes(alpha):
+    px = _smooth_blocks(3, 120, alpha)
+    coded = bc7.encode(px)
+    back = bc7.decode(coded).astype(float)
+    used = {next(k for k in range(8) if coded[i] >> k & 1) for i in range(0, len(coded), 16)}
+    assert len(coded) == 16 * len(px) and used == ({5, 6} if alpha else {1, 6})
+    assert 10 * np.log10(65025 / ((back - px) ** 2).mean()) > (31 if alpha else 36)
+    flat = np.full((1, 16, 4), [10, 200, 30, 255.0])
+    assert np.abs(bc7.decode(bc7.encode(flat)) - flat).max() <= 1
+    assert not bc7.decode(bytes(16)).any()
+
+
+def test_bc7_tables_and_all_modes():
+    for row in bc7.THREE:
+        assert len(row) == 16 and row[0] == "0" and set(row) <= set("012")
+    for k, mask in enumerate(bc7.TWO):
+        assert not mask & 1 and mask >> bc7.ANCHOR_TWO[k] & 1
+    for k, row in enumerate(bc7.THREE):
+        assert row[bc7.ANCHOR_THREE[0][k]] == "1" and row[bc7.ANCHOR_THREE[1][k]] == "2"
+    for m in bc7.MODES:  # every mode fills its block
+        number = bc7.MODES.index(m)
+        ends = 2 * m.parts
+        bits = number + 1 + m.partition + m.rotation + m.selection + ends * (3 * m.colour + m.alpha) + ends * m.by_end + m.parts * m.by_part
+        bits += 16 * m.index - m.parts + (16 * m.second - 1 if m.second else 0)
+        assert bits == 128
+    r = np.random.default_rng(1)
+    for number in range(8):
+        block = bytearray(r.integers(0, 256, 16, np.uint8).tobytes())
+        block[0] = block[0] >> number + 1 << number + 1 | 1 << number if number < 7 else 128
+        assert bc7.decode_block(bytes(block)).shape == (16, 4)
+
+
+def test_partition_estimates_find_the_split():
+    px = _smooth_blocks(9, 30, False)[::3, :, :3]
+    assert (bc7.partition_estimates(px).min(1) < bc7.partition_estimates(px).max(1) * 0.2 + 50).all()
+
+
+def test_hdr_blocks():
+    r = np.random.default_rng(4)
+    t = r.uniform(0, 1, (60, 16, 1))
+    a, b = np.exp2(r.uniform(-6, 6, (60, 1, 3))), np.exp2(r.uniform(-6, 6, (60, 1, 3)))
+    half = hdr.to_half(a) * (1 - t) + hdr.to_half(b) * t
+    px = hdr.from_half(np.rint(half).astype(np.int64))
+    back = hdr.decode(hdr.encode(px))
+    assert np.median(np.abs(np.log2(back / px))) < 0.06 and np.abs(np.log2(back / px)).max() < 1.2
+    assert not hdr.decode(bytes(16)).any() and hdr.decode(b"").shape == (0, 16, 3)
+    f = np.array([0.0, -1.0, np.nan, 1e9, 65504.0, 1.0, 2.0**-24, 2.0**-15, 1 + 2.0**-11, 0.05])
+    want = [0, 0, 0, 0x7BFF, 0x7BFF, 0x3C00, 1, 512, 0x3C01, int(np.float16(0.05).view(np.uint16))]
+    assert hdr.to_half(f).tolist() == want and (hdr.from_half(hdr.to_half(f[4:9])) == [65504.0, 1.0, 2.0**-24, 2.0**-15, 1 + 2.0**-10]).all()
+    assert (hdr.wide(hdr.endpoint(hdr.wide(np.arange(1024)))) == hdr.wide(np.arange(1024))).all()
