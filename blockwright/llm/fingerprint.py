@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockwright.llm import text as tx
+from blockwright.session import bound_batches
 
 K = 8
 SLOTS = 64
@@ -127,6 +128,7 @@ def next_documents(docs: DataFrame, fn, schema: T.StructType, text: str = "text"
     its share. The key is an integer; nulls come first. Equal keys go to the same range in order of their text. ``rows``: (key, text) lists of equal length.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = d.select(F.percentile_approx("key", [i / parts for i in range(parts)], 10_000).alias("q")).first()["q"]

@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockwright.llm import text as tx
 from blockwright.llm.components import components
-from blockwright.session import shared_folder
+from blockwright.session import bound_batches, shared_folder
 
 SHINGLE = 5
 NUM, DEN = 75, 100
@@ -519,6 +519,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shared_folder(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     info = shingle_info(d).checkpoint()
     sets = repeated_sets(d).groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).checkpoint()
     links = link_forest(sets).checkpoint()

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockwright.llm import text as tx
+from blockwright.session import bound_batches
 
 MAX_DOCS = 4000
 MAX_LINES = 400_000
@@ -181,6 +182,7 @@ class LineField:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", quality: str = "quality", max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> LineField:
     """A field fitted on at most ``max_docs`` labelled documents of ``max_lines`` lines, chosen by the hash of their key."""
+    bound_batches(docs.sparkSession)
     y = labels.where(F.col(key).isNotNull() & F.col(quality).isNotNull()).groupBy(key).agg(F.max(quality).alias("_y"))
     y = y.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(max_docs)
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)).join(F.broadcast(y), key)  # at most max_docs keys

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from blockwright.llm import text as tx
+from blockwright.session import bound_batches
 
 CAPACITY = 4096
 END_ID = 2
@@ -238,6 +239,7 @@ def pack_documents(docs: DataFrame, path: str, text: str = "text", key: str = "d
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
+    bound_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     fields = [(key, kind), ("start", T.LongType()), ("length", T.LongType())]
     fields += [("ids", T.ArrayType(T.IntegerType()))] if ids else []

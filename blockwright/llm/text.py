@@ -6,6 +6,7 @@ worker's memory follows ``limit`` and the longest single text, not the partition
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,6 +105,17 @@ def byte_chunks(batch: pa.RecordBatch, name: str, limit: int) -> Iterator[tuple[
     buf, off = utf8(text_column(batch, name))
     for lo, hi in chunks(off, limit):
         yield lo, hi, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+    give_back()
+
+
+#: The C library's function that returns free memory to the system, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns what kernels have freed to the system, so that a reused worker does not keep the most that it ever held."""
+    if _trim is not None:
+        _trim(0)
 
 
 def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -46,7 +46,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockwright.llm import text as tx
 from blockwright.llm.labelled import maybe_labelled
-from blockwright.session import shared_folder
+from blockwright.session import bound_batches, shared_folder
 
 #: What a class's counts lose: DISCOUNT, and LIFT times the class's share of the count in both.
 DISCOUNT = 2.0
@@ -474,6 +474,7 @@ def fit_counts(docs: DataFrame, labels: DataFrame, text: str, key: str, toxic: s
     y = labels_of(labels, key, toxic)
     d = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shared_folder(spark)
+    bound_batches(spark)
     found = pair_counts(maybe_labelled(d, y, "key"), y).checkpoint()
     sums = found.where("kind = 0").agg(*[F.sum(c).alias(c) for c in SUMS]).first().asDict()
     if not sums["n_t"] or not sums["n_o"]:
