@@ -8,11 +8,11 @@
    order. Decoding looks the ids up in the token-byte table of the vocabulary (its size is fixed).
 
 No word is hot: a block sends a word once, however often it occurs. A block's stream and words are derived twice from
-the same scan (once for each side of the reassembly) instead of being shuffled twice; the two are checked against each
-other. Lost executors are covered by recomputation.
+the same scan (once for each side of the reassembly) instead of being shuffled twice; a seal over the words tells if the two
+scans ever differ, which is an error. Lost executors are covered by recomputation.
 
-Defined results: a null or empty text has no ids and decodes to an empty value; rows that repeat are encoded one by one;
-extra columns are ignored; an empty table gives no rows.
+Defined results: a null or empty text has no ids and decodes to an empty value; rows that repeat, also with equal or null keys,
+are encoded one by one; a text of any length is one block; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockwright.llm import text as tx
+from blockwright.session import bound_batches
 
 #: Characters in a block of whole documents.
 BLOCK = 4 << 20
@@ -129,6 +130,8 @@ class Block:
         self.stream = rank[inverse]
         self.bucket = bucket[order]
         one = one[order]
+        #: Tells the block's words from any others, so that answers are only taken for the words that asked.
+        self.seal = h[one].sum(dtype=np.uint64)[None] if len(one) else np.zeros(1, np.uint64)
         self.spans = s[one], e[one]
         self.text = joined
 
@@ -195,6 +198,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
     ``finish`` may turn a block's result into other columns, ``fields`` (besides the key).
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(key, text)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 4 * parts
@@ -213,7 +217,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
             rows = []
             for b, words in block.words():
                 raw = [w.encode() for w in words]
-                rows.append((b, number, b, tx.pack(tx.narrow(np.array([len(r) for r in raw], np.int64)), np.frombuffer(b"".join(raw), np.uint8))))
+                rows.append((b, number, b, tx.pack(tx.narrow(np.array([len(r) for r in raw], np.int64)), np.frombuffer(b"".join(raw), np.uint8), block.seal)))
             if rows:
                 yield batch(rows)
 
@@ -224,7 +228,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_batch(table)
             words = np.array([len(block.bucket)], np.int64)
-            yield batch([(number, number, -1, tx.pack(np.frombuffer(sink.getvalue(), np.uint8), tx.narrow(block.stream), tx.narrow(block.first), words))])
+            yield batch([(number, number, -1, tx.pack(np.frombuffer(sink.getvalue(), np.uint8), tx.narrow(block.stream), tx.narrow(block.first), words, block.seal))])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition's words come bucket by bucket, so a bucket's words are all that is held."""
@@ -234,7 +238,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
             for block, bucket, payload in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if bucket != now:
                     now, known = bucket, {}
-                size, raw = tx.unpack(payload)
+                size, raw, seal = tx.unpack(payload)
                 raw, at, found = raw.tobytes(), 0, []
                 for n in size.tolist():
                     w = raw[at : at + n]
@@ -243,7 +247,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
                     if ids is None:
                         ids = known[w] = encode(w)
                     found.append(ids)
-                rows.append((block, block, bucket, tx.pack(tx.narrow(np.array([len(x) for x in found], np.int64)), tx.narrow(np.array([i for x in found for i in x], np.int64)))))
+                rows.append((block, block, bucket, tx.pack(tx.narrow(np.array([len(x) for x in found], np.int64)), tx.narrow(np.array([i for x in found for i in x], np.int64)), seal)))
             if rows:
                 yield batch(rows)
 
@@ -251,28 +255,29 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
         """A partition's rows come block by block: the stream (bucket -1) first, then the answers by bucket."""
         token = vocabulary(path).token
 
-        def done(stream: bytes, sizes: list, ids: list) -> pa.RecordBatch:
-            keys, numbers, first, words = tx.unpack(stream)
+        def done(stream: bytes, sizes: list, ids: list, seals: list) -> pa.RecordBatch:
+            keys, numbers, first, words, seal = tx.unpack(stream)
             keys = pa.ipc.open_stream(keys.tobytes()).read_all().column(0).to_pylist()
             size = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
-            if len(size) != int(words[0]):
+            if len(size) != int(words[0]) or any(x != seal[0] for x in seals):
                 raise RuntimeError("a block was answered for other words than it holds")
             x = Encoded(keys, numbers.astype(np.int64), first.astype(np.int64), size, np.concatenate([np.zeros(0, np.int64), *ids]), token)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*finish(x), strict=True), out_arrow, strict=True)], schema=out_arrow)
 
-        stream, sizes, ids = None, [], []
+        stream, sizes, ids, seals = None, [], [], []
         for b in batches:
             for bucket, payload in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if bucket < 0:
                     if stream is not None:
-                        yield done(stream, sizes, ids)
-                    stream, sizes, ids = payload, [], []
+                        yield done(stream, sizes, ids, seals)
+                    stream, sizes, ids, seals = payload, [], [], []
                 else:
-                    n, i = tx.unpack(payload)
+                    n, i, seal = tx.unpack(payload)
                     sizes.append(n)
                     ids.append(i)
+                    seals.append(seal[0])
         if stream is not None:
-            yield done(stream, sizes, ids)
+            yield done(stream, sizes, ids, seals)
 
     words = docs.mapInArrow(send_words, sent).repartition(buckets, "to").sortWithinPartitions("bucket", "block")
     answers = words.mapInArrow(answer, sent)

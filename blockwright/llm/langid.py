@@ -5,10 +5,13 @@ softmax over the languages. A byte picks a row of a filter's table, so a convolu
 cut into windows of that fixed length, all of them are read, and its prediction is the language with the largest mean
 probability, windows weighted by their letters.
 
-Training: at most MAX_DOCS labelled documents (the smallest hashes of the key), WINDOWS_EACH windows spread over each.
+Training: a sample of at most MAX_DOCS labelled documents (the smallest hashes of the key; of repeated rows of a key one),
+WINDOWS_EACH windows spread evenly over each.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0; rows that repeat are predicted one by
-one; null languages teach nothing; extra columns are ignored; without labelled rows everything is ``und``.
+one, also with a null key; null languages and null keys teach nothing; of equally likely languages the first by name is taken; a
+text of any length is read whole, AT_ONCE windows at a time; extra columns are ignored; an empty table gives no rows; without
+labelled rows everything is ``und``.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockwright.llm import text as tx
+from blockwright.session import bound_batches
 
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -132,9 +136,11 @@ def cut(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", max_docs: int = MAX_DOCS) -> ByteNet | None:
     """A net for the languages of at most ``max_docs`` rows of ``docs``, chosen by the hash of their key."""
+    bound_batches(docs.sparkSession)
     named = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull())
     chosen = named.select(key).distinct().orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(max_docs)
     rows = named.select(F.col(lang).alias("_y"), text, key).join(F.broadcast(chosen), key)  # at most max_docs keys
+    rows = rows.groupBy(key).agg(F.min(F.struct("_y", text)).alias("_r")).select(F.col("_r._y").alias("_y"), F.col(f"_r.{text}").alias(text))
     schema = T.StructType([T.StructField("y", T.StringType()), T.StructField("x", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 

@@ -8,10 +8,10 @@ one gram occurrence form a *segment* of neighbouring windows. So all work on equ
    run of (gram hash, segment hash, document, place) for each bucket of gram hashes;
 2. buckets: equal segments of all chunks are settled by their hashes; where different segments share a gram, only the
    windows themselves can tell, so their texts are asked for, one for each class of equal segments;
-3. texts: the documents with such segments send them to their gram. The prefix of a gram with more than CROWD different
+3. texts: the documents with such segments send them to their gram. The prefix of a gram with more than ``crowd`` different
    segments is extended to the whole window: the document sends hashes of windows instead, one for each class of equal
    windows of a chunk, dealt by that hash. So no group grows with how often a string, short or long, occurs: a group of
-   texts has at most CROWD parts, and a window is sent once for each chunk of a task;
+   texts has at most ``crowd`` parts, and a window is sent once for each chunk of a task;
 4. groups: a kernel (a suffix array or a suffix tree) finds equal windows within bounded batches of whole groups; windows
    that came as hashes are settled in buckets;
 5. the spans that are found return to their documents.
@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockwright.llm import text as tx
+from blockwright.session import bound_batches
 
 #: Rows without a key have keys from here to LAST_NULL.
 NO_KEY = -(1 << 63)
@@ -48,8 +49,6 @@ REC = np.dtype([("a", "<u4"), ("m", "<u2"), ("lo", "<u2"), ("hi", "<u2"), ("at",
 PLACE = np.uint64(24)
 #: Positions that the sliding minimum takes at a time.
 STEP = 1 << 20
-#: The windows of a gram with more different segments than this are dealt one by one.
-CROWD = 256
 BUCKET, MARKED, ASKED, SPLIT, WINDOW = range(5)
 
 SENT = T.StructType([T.StructField("to", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("payload", T.BinaryType())])
@@ -67,6 +66,8 @@ class Search:
     #: Bytes of text that are scanned at a time, symbols of segments that a kernel gets at a time.
     chunk: int
     batch: int
+    #: The windows of a gram with more different segments than this are dealt one by one.
+    crowd: int = 256
 
     def symbols(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbols of all texts, first symbol of each text)."""
@@ -226,7 +227,7 @@ def _compare(search: Search, parts: list[list[np.ndarray]]) -> Iterator[tuple]:
     rec = records(a, m, at, sh, h)
     fresh = marked & ~many  # the chunk has marked the others of its own already
     yield from by_document(k[fresh], rec[fresh], MARKED)
-    crowd = np.bincount(gram, need, minlength=n)[gram] > CROWD
+    crowd = np.bincount(gram, need, minlength=n)[gram] > search.crowd
     yield from by_document(k[need & ~crowd], rec[need & ~crowd], ASKED)
     yield from by_document(k[need & crowd], rec[need & crowd], SPLIT)
 
@@ -404,6 +405,7 @@ def find(docs: DataFrame, search: Search, kernel: Callable, rows: DataFrame | No
     marked.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
 

@@ -110,9 +110,9 @@ def kernel(search: rp.Search, parts: list[np.ndarray], size: np.ndarray, keys: n
     return hit
 
 
-def marked(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def marked(docs: DataFrame, text: str = "text", key: str = "doc_id", search: rp.Search = SEARCH) -> DataFrame:
     """(key, text, marks) of every row."""
-    return rp.find(rp.keyed(docs, text, key), SEARCH, kernel)
+    return rp.find(rp.keyed(docs, text, key), search, kernel)
 
 
 def _kept(buf: np.ndarray, off: np.ndarray, first: np.ndarray, gone: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -126,7 +126,7 @@ def _kept(buf: np.ndarray, off: np.ndarray, first: np.ndarray, gone: np.ndarray)
         yield b - a, int(g.sum()), b" ".join([raw[x:y] for x, y in zip(s[keep].tolist(), e[keep].tolist(), strict=True)])
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", search: rp.Search = SEARCH) -> DataFrame:
     """key, n_words, n_removed, kept (the remaining words joined by one space) of every row."""
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
@@ -134,7 +134,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         for k, (n, r, t) in zip(keys, _kept(buf, off, first, gone), strict=True):
             yield k, n, r, t.decode()
 
-    return rp.apply_marks(marked(docs, text, key), SEARCH, finish, schema)
+    return rp.apply_marks(marked(docs, text, key, search), search, finish, schema)
 
 
 def rewrite(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str = "n_chars") -> DataFrame:

@@ -135,16 +135,16 @@ def kernel(search: rp.Search, parts: list[np.ndarray], size: np.ndarray, keys: n
     return hit
 
 
-def marked(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def marked(docs: DataFrame, text: str = "text", key: str = "doc_id", search: rp.Search = SEARCH) -> DataFrame:
     """(key, text, marks) of every row."""
-    return rp.find(rp.keyed(docs, text, key), SEARCH, kernel)
+    return rp.find(rp.keyed(docs, text, key), search, kernel)
 
 
 def _spans(gone: np.ndarray) -> int:
     return int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(bool(len(gone) and gone[0]))
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", search: rp.Search = SEARCH) -> DataFrame:
     """key, n_bytes, spans (array of start and end of each removed run), kept (binary: the remaining bytes)."""
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
@@ -155,7 +155,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             edge = np.flatnonzero(np.diff(np.r_[False, g, False].astype(np.int8)))
             yield k, len(g), [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()], buf[off[i] : off[i + 1]][~g].tobytes()
 
-    return rp.apply_marks(marked(docs, text, key), SEARCH, finish, schema)
+    return rp.apply_marks(marked(docs, text, key, search), search, finish, schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force on small fixtures, with nulls, empties, ties, repeats, extra columns."""
 
 import base64
+import dataclasses
 import functools
 import hashlib
 import math
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("blockwright.llm")
 
-from blockwright.llm import bpe, components, fingerprint, jaccard_join, langid, line_crf, ngram_quality, packing, repeats, substring_dedup, suffix_dedup, toxicity
+from blockwright.llm import bpe, components, fingerprint, jaccard_join, langid, line_crf, ngram_quality, packing, substring_dedup, suffix_dedup, toxicity
 from blockwright.llm import text as tx
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -461,17 +462,44 @@ def brute_words(rows, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("crowd", [1, 1000])
-def test_byte_dedup(docs, fixture, monkeypatch, crowd):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
-    got = suffix_dedup.dedup(docs).collect()
+@pytest.mark.parametrize(("crowd", "chunk"), [(1, 1 << 21), (1, 700), (256, 1 << 21), (256, 3000)])
+def test_byte_dedup(docs, fixture, crowd, chunk):
+    """Texts longer than a chunk, and windows of crowded grams."""
+    got = suffix_dedup.dedup(docs, search=dataclasses.replace(suffix_dedup.SEARCH, crowd=crowd, chunk=chunk, batch=4000)).collect()
     assert sorted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got) == brute_bytes(fixture, 400)
 
 
-@pytest.mark.parametrize("crowd", [1, 1000])
-def test_word_dedup(docs, fixture, monkeypatch, crowd):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
-    assert sorted(map(tuple, substring_dedup.dedup(docs).collect())) == brute_words(fixture, 13)
+@pytest.mark.parametrize(("crowd", "chunk"), [(1, 1 << 21), (1, 700), (256, 1 << 21), (256, 3000)])
+def test_word_dedup(docs, fixture, crowd, chunk):
+    """Texts longer than a chunk, and windows of crowded grams."""
+    search = dataclasses.replace(substring_dedup.SEARCH, crowd=crowd, chunk=chunk, batch=500)
+    assert sorted(map(tuple, substring_dedup.dedup(docs, search=search).collect())) == brute_words(fixture, 13)
+
+
+def test_a_passage_in_many_contexts(spark):
+    """Whatever the number of contexts, a group holds few parts; the results are those of brute force."""
+    rs = random.Random(21)
+    rows = [(i, " ".join(rs.choices(VOCAB, k=rs.randint(5, 60))) + " " + PASSAGE * 2 + " " + " ".join(rs.choices(VOCAB, k=rs.randint(5, 60)))) for i in range(700)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, substring_dedup.dedup(d, search=dataclasses.replace(substring_dedup.SEARCH, crowd=50)).collect())) == brute_words(rows, 13)
+    got = suffix_dedup.dedup(d, search=dataclasses.replace(suffix_dedup.SEARCH, crowd=50)).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got) == brute_bytes(rows, 400)
+
+
+def test_common_prefixes():
+    r = np.random.default_rng(5)
+    t = np.concatenate([r.integers(0, 2, 300), np.tile(r.integers(0, 256, 90), 12)])
+    a, b = r.integers(0, len(t), 500), r.integers(0, len(t), 500)
+    got = suffix_dedup.common_prefixes(tx.prefix_hash(t.astype(np.uint16)), a, b, 400)
+    for i, j, n in zip(a.tolist(), b.tolist(), got.tolist(), strict=True):
+        want = 0
+        while want < 400 and max(i, j) + want < len(t) and t[i + want] == t[j + want]:
+            want += 1
+        assert n == want
+    text = np.append(t + 1, 0).astype(np.uint16)
+    order = suffix_dedup.sort_directly(text, np.arange(len(text)), 400)
+    keys = [text[i : i + 406].tolist() for i in order.tolist()]
+    assert all(x[:400] <= y[:400] for x, y in zip(keys, keys[1:], strict=False))
 
 
 def test_dedup_null_keys_and_empty(spark, empty):
@@ -724,7 +752,14 @@ def test_pipeline(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     first = c.quality_classifier(spark, docs, sf)
     assert first.join(labels.where("quality = 0"), "doc_id").count() == 0
-    assert sorted(map(tuple, c.run(spark, sf).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in got)
+
+    def tokens(pieces):  # where documents are cut depends on their partition
+        own = defaultdict(list)
+        for r in sorted(pieces, key=lambda r: (r["doc_id"], r["start"])):
+            own[r["doc_id"]] += r["ids"]
+        return own
+
+    assert tokens(c.run(spark, sf).collect()) == tokens(got)
 
 
 def test_pipeline_returns_tokens(spark, docs):
@@ -746,3 +781,32 @@ def test_pipeline_odd_rows(spark, tmp_path):
         for name, stage in c.STAGES:
             now = stage(spark, now.select(*c.COLUMNS, F.lit("clash").alias("key")) if name != "quality_classifier" else now, str(tmp_path))
         now.collect()
+
+
+def test_texts_longer_than_a_chunk(spark):
+    """One text of several megabytes beside small ones, against the libraries and the plain definitions."""
+    from tokenizers import Tokenizer
+
+    rs = random.Random(31)
+    long = " ".join(rs.choices(VOCAB, k=1_100_000)) + "."
+    rows = [(1, long), (2, long + " and then some more"), (3, "a short text of a few words"), (4, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert len(long.encode()) > 4 << 20
+    assert sorted(map(tuple, jaccard_join.near_duplicates(d).select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows)
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(d).collect()}
+    assert all(prints[k] == fingerprint.signature((t or "").encode()).tobytes().hex() for k, t in rows)
+    field = line_crf.LineField()
+    field.w = np.linspace(-0.1, 0.1, line_crf.FEATURES)
+    for r in line_crf.classify(d, field).collect():
+        raw = (dict(rows)[r["doc_id"]] or "").encode()
+        assert r["score"] == pytest.approx(field.quality(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    pieces = defaultdict(list)
+    for r in packing.pack_documents(d, path).orderBy("doc_id", "start").collect():
+        pieces[r["doc_id"]] += r["ids"]
+    assert all(pieces[k] == [*whole.encode(t or "", add_special_tokens=False).ids, 2] for k, t in rows)
+    decoded = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.encode_decode(d, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}
+    assert all(decoded[k] == (t or "").encode() for k, t in rows)
+    rules = {r["doc_id"]: r for r in ngram_quality.quality_rules(d, d.select("doc_id")).collect()}
+    assert rules[1]["n_words"] == 1_100_000 and rules[4]["n_words"] == 0 and rules[1]["word_chars"] == len(long.replace(" ", ""))
