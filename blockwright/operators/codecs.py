@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwright.functions import CorruptData, bc7, containers, dictionary, entropy, entropy3, frame, hdr, huffman, lz, parse, texture, turbo, video, x86
+from blockwright.functions import CorruptData, astc, bc7, containers, dictionary, entropy, entropy3, frame, hdr, huffman, lz, parse, texture, turbo, video, x86
 from blockwright.session import spread, table
 
 BLOCK = 16 << 10
@@ -280,6 +280,22 @@ def bc7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, mode int, sse long")
 
 
+def astc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same blocks as those of ``bc7_roundtrip`` in ASTC blocks and back: parts and squared error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(0).to_pylist()
+            px = np.array([np.clip(np.floor((np.resize(np.array(e or [0.0], np.float64), 64) + 1) * 127.5), 0, 255).reshape(16, 4) for e in b.column(1).to_pylist()]).reshape(-1, 16, 4)
+            px[np.array(key, np.int64) % 2 == 0, :, 3] = 255
+            coded = astc.encode(px)
+            parts = [(coded[i + 1] >> 3 & 3) + 1 for i in range(0, len(coded), 16)]
+            error = ((astc.decode(coded).astype(np.int64) - px.astype(np.int64)) ** 2).sum((1, 2))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.int32()), pa.array(error, pa.int64())], names=["vec_id", "parts", "sse"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, parts int, sse long")
+
+
 def decode_clips(packets: DataFrame, width: int, height: int, carry: str | None = None) -> DataFrame:
     """(clip, gop, frame_no, y, u, v, error) of (clip, gop, frame_no, packet): each group of pictures by itself, in order.
 
@@ -372,5 +388,6 @@ QUERIES = {
     "video_roundtrip": (video_roundtrip, None),
     "hdr_roundtrip": (hdr_roundtrip, None),
     "bc7_roundtrip": (bc7_roundtrip, None),
+    "astc_roundtrip": (astc_roundtrip, None),
     "codec_compare": (codec_compare, None),
 }

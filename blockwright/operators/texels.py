@@ -14,21 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockwright.functions import columns as C
+from blockwright.functions.astc import HASH_STEPS, SPREADS, two_means
 from blockwright.operators.images import _PIXELS, _pixels, psnr_of
 from blockwright.session import table
 
 M32 = 0xFFFFFFFF
-#: The steps of the 32-bit hash behind the partition patterns (operation, shift direction, distance).
-HASH_STEPS = (
-    ("^", ">>", 15), ("-", "<<", 17), ("+", "<<", 7), ("+", "<<", 4), ("^", ">>", 5),
-    ("+", "<<", 16), ("^", ">>", 7), ("^", ">>", 3), ("^", "<<", 6), ("^", ">>", 17),
-)
-#: How the bits of a colour value (below its trit or quint) are spread over 9 bits, and the factor of its trit or quint,
-#: by the number of levels. Bit 0 is "a"; the letters stand for bits 8 to 0.
-SPREADS = {
-    6: ("000000000", 204), 10: ("000000000", 113), 12: ("b000b0bb0", 93), 20: ("b0000bb00", 54), 24: ("cb000cbcb", 44), 40: ("cb0000cbc", 26),
-    48: ("dcb000dcb", 22), 80: ("dcb0000dc", 13), 96: ("edcb000ed", 11), 160: ("edcb0000e", 6), 192: ("fedcb000f", 5),
-}
 
 
 def half_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,22 +160,6 @@ PARTITION_CHECKSUM = f"""WITH {_TEXELS}, l AS (SELECT parts, list(CAST(part AS B
 SELECT parts, list_reduce(t, lambda h, v: (xor(h, v) * 16777619) % {M32 + 1}, 2166136261::BIGINT) AS checksum FROM l"""
 
 
-def two_means(px: np.ndarray, rounds: int = 4) -> np.ndarray:
-    """The mask of the texels of the second of two clusters, for blocks of 16 texels of 3 channels."""
-    px = px.astype(np.float64)
-    total = px.sum(2)
-    rows = np.arange(len(px))
-    centre = np.stack([px[rows, total.argmin(1)], px[rows, total.argmax(1)]], 1)
-    for _ in range(rounds):
-        far = ((px[:, :, None, :] - centre[:, None]) ** 2).sum(3)
-        second = far[:, :, 1] < far[:, :, 0]
-        for s, mine in enumerate((~second, second)):
-            n = mine.sum(1)
-            mean = (px * mine[:, :, None]).sum(1) / np.maximum(n, 1)[:, None]
-            centre[:, s] = np.where(n[:, None] > 0, mean, centre[:, s])
-    return (second * (1 << np.arange(16))).sum(1)
-
-
 def block_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(y, mask): each row of 64 values as a block of 16 texels of 4 channels, its first three in two clusters."""
 

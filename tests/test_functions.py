@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from blockwright.functions import CorruptData, bc7, containers, dictionary, entropy, entropy3, frame, hdr, huffman, lz, parse, texture, turbo, video, x86
+from blockwright.functions import CorruptData, astc, bc7, containers, dictionary, entropy, entropy3, frame, hdr, huffman, lz, parse, texture, turbo, video, x86
 
 R = random.Random(5)
 NOISE = R.randbytes(30_000)
@@ -375,7 +375,7 @@ def test_colour_ranges_are_even(spark):
 
 
 def test_two_means_by_hand():
-    from blockwright.operators.texels import two_means
+    from blockwright.functions.astc import two_means
 
     px = np.zeros((1, 16, 3))
     px[0, 5:9] = 200
@@ -457,3 +457,56 @@ def test_hdr_blocks():
     want = [0, 0, 0, 0x7BFF, 0x7BFF, 0x3C00, 1, 512, 0x3C01, int(np.float16(0.05).view(np.uint16))]
     assert hdr.to_half(f).tolist() == want and (hdr.from_half(hdr.to_half(f[4:9])) == [65504.0, 1.0, 2.0**-24, 2.0**-15, 1 + 2.0**-10]).all()
     assert (hdr.wide(hdr.endpoint(hdr.wide(np.arange(1024)))) == hdr.wide(np.arange(1024))).all()
+
+
+def test_integer_sequences():
+    r = random.Random(3)
+    for k in astc.RANGES:
+        for n in range(1, 17):
+            v = [r.randrange(k.levels) for _ in range(n)]
+            number = astc.put_sequence(v, k)
+            assert number.bit_length() <= k.size(n) and astc.take_sequence(number, n, k) == v
+    assert len(astc._PACKED_TRITS) == 243 and len(astc._PACKED_QUINTS) == 125
+    assert all(set(astc.trits(t)) <= {0, 1, 2} for t in range(256)) and all(set(astc.quints(q)) <= set(range(5)) for q in range(128))
+
+
+def test_astc_recorded_values():
+    """The checksum of the two-part patterns, and a block of one colour."""
+    h = 2166136261
+    for s in range(1024):
+        for p in astc.pattern(s, 2):
+            h = (h ^ p) * 16777619 & 0xFFFFFFFF
+    assert h == 0x5D5FC459
+    block = bytes([0xFC, 0xFD, 0xFF, 0xFF, 0xFF, 0xFF, 0xFF, 0xFF, 0x00, 0x40, 0x00, 0x80, 0x00, 0xC0, 0xFF, 0xFF])
+    assert (astc.decode_block(block) == [0x40, 0x80, 0xC0, 0xFF]).all()
+    assert (astc.decode_block(bytes(16)) == astc.MAGENTA).all() and astc.decode(b"").shape == (0, 16, 4)
+
+
+@pytest.mark.parametrize("alpha", [False, True])
+def test_astc_quality(alpha):
+    px = _smooth_blocks(5, 90, alpha)
+    coded = astc.encode(px)
+    back = astc.decode(coded).astype(float)
+    parts = [(coded[i + 1] >> 3 & 3) + 1 for i in range(0, len(coded), 16)]
+    assert len(coded) == 16 * len(px) and set(parts) == ({1} if alpha else {1, 2})
+    assert 10 * np.log10(65025 / ((back - px) ** 2).mean()) > (28 if alpha else 33)
+    flat = np.full((1, 16, 4), [10, 200, 30, 255.0])
+    assert np.abs(astc.decode(astc.encode(flat)) - flat).max() <= 4
+    if not alpha:
+        assert (back[:, :, 3] == 255).all()
+
+
+def test_turbo_near_offsets_in_table_commands():
+    """A hand-built block: two table commands of 16 literals and a match of 32 bytes. Offsets below 16 are refused."""
+    for off in range(17):
+        word = 16 | 28 << 5 | 1 << 10
+        head = (2).to_bytes(4, "little") + (2).to_bytes(4, "little") + bytes(4) + bytes([1]) + word.to_bytes(2, "little")
+        literals = bytes((i * 7 + 1) & 255 for i in range(72))
+        block = head + bytes([0, 0, off, off]) + literals
+        if off < 16:
+            with pytest.raises(CorruptData):
+                turbo.decode(block, 136)
+        else:
+            first = literals[:16] * 3
+            second = literals[16:32] * 3
+            assert turbo.decode(block, 136) == first + second + literals[32:]
