@@ -488,7 +488,7 @@ def test_astc_quality(alpha):
     coded = astc.encode(px)
     back = astc.decode(coded).astype(float)
     parts = [(coded[i + 1] >> 3 & 3) + 1 for i in range(0, len(coded), 16)]
-    assert len(coded) == 16 * len(px) and set(parts) == ({1} if alpha else {1, 2})
+    assert len(coded) == 16 * len(px) and {p for p, x in zip(parts, px, strict=True) if (x[:, 3] < 255).any()} <= {1} and (alpha or 2 in parts)
     assert 10 * np.log10(65025 / ((back - px) ** 2).mean()) > (28 if alpha else 33)
     flat = np.full((1, 16, 4), [10, 200, 30, 255.0])
     assert np.abs(astc.decode(astc.encode(flat)) - flat).max() <= 4
