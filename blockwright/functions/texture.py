@@ -182,15 +182,68 @@ def decode_two(data: bytes, w: int, h: int) -> np.ndarray:
     return np.stack([decode_channel(b[:, 8 * k : 8 * k + 8].tobytes(), w, h) for k in range(2)], 2)
 
 
-def mip(image: np.ndarray) -> np.ndarray:
-    """The next smaller level of 8-bit pixels: rounded means of 2 x 2; an odd last row or column is dropped, one stays one."""
-    v = image.astype(np.int64)
-    for axis in (0, 1):
-        n = v.shape[axis]
-        a = np.take(v, range(0, n - 1, 2) if n > 1 else [0], axis)
-        b = np.take(v, range(1, n, 2) if n > 1 else [0], axis)
-        v = a + b
-    return (v + 2 >> 2).astype(np.uint8)
+#: Earlier blocks whose fields a block may repeat.
+BAND = 16
+
+
+def cheaper(data: bytes, image: np.ndarray, kind: str, price: float) -> bytes:
+    """Blocks (BC1 or BC4) that repeat fields of one of the BAND blocks before them where that is worth it: the least sum of squared
+    error and ``price`` for each byte. A field costs nothing if it repeats from as far back as the last one did, up to 3 bytes if it
+    repeats from elsewhere in the band, else all of its bytes."""
+    if not price:
+        return data
+    first, size = FIELDS[kind][0], block_bytes(kind)
+    one = kind == "BC4"
+    px = np.stack([blocks_of(image[:, :, k].astype(np.int64)) for k in range(1 if one else 3)], 2)
+    out: list[bytes] = []
+    back = [0, 0]
+    for i in range(len(data) // size):
+        own = data[i * size : (i + 1) * size]
+        band = out[: -BAND - 1 : -1]
+        options = list(dict.fromkeys([own, *(x for b in band for x in (own[:first] + b[first:], b[:first] + own[first:], b))]))
+        joined = b"".join(options)
+        if one:
+            seen = blocks_of(decode_channel(joined, 4 * len(options), 4).astype(np.int64))[:, :, None]
+        else:
+            wide = decode_colour(joined, 4 * len(options), 4).astype(np.int64)
+            seen = np.stack([blocks_of(wide[:, :, k]) for k in range(3)], 2)
+        error = ((seen - px[i]) ** 2).sum((1, 2))
+        near: list[dict[bytes, int]] = [{}, {}]
+        for far, b in enumerate(band, 1):
+            near[0].setdefault(b[:first], far)
+            near[1].setdefault(b[first:], far)
+        best, chosen = None, None
+        for x, e in zip(options, error.tolist(), strict=True):
+            places = [near[0].get(x[:first], 0), near[1].get(x[first:], 0)]
+            rate = sum(n if not d else 0 if d == b else min(n, 3) for d, b, n in zip(places, back, (first, size - first), strict=True))
+            if best is None or e + price * rate < best:
+                best, chosen = e + price * rate, (x, places)
+        out.append(chosen[0])
+        back = [d or b for d, b in zip(chosen[1], back, strict=True)]
+    return b"".join(out)
+
+
+def to_linear(v: np.ndarray) -> np.ndarray:
+    """sRGB values of 0 to 255 as linear light of 0 to 1."""
+    c = v / 255.0
+    return np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+
+
+def mip(image: np.ndarray, srgb: bool = False) -> np.ndarray:
+    """The next smaller level of 8-bit pixels: rounded means of 2 x 2; an odd last row or column is dropped, one stays one.
+
+    ``srgb``: the first three channels are averaged in linear light; where that rounds up to the next value is the light
+    of the middle between both. Alpha is always linear.
+    """
+    h, w = image.shape[:2]
+    y, x = np.arange(max(h // 2, 1)) * 2, np.arange(max(w // 2, 1)) * 2
+    four = [image[np.minimum(y + a, h - 1)[:, None], np.minimum(x + b, w - 1)[None]] for a in (0, 1) for b in (0, 1)]
+    out = (sum(p.astype(np.int64) for p in four) + 2) >> 2
+    if srgb:
+        light = sum(to_linear(p[..., :3].astype(np.float64)) for p in four) / 4
+        edges = to_linear(np.arange(255) + 0.5)
+        out[..., :3] = np.searchsorted(edges, light, "right")
+    return out.astype(np.uint8)
 
 
 #: Fixed values of the format: name of each kind of block in a texture file, its number in the extended header, bytes of a block.

@@ -92,3 +92,80 @@ def test_texture_files(known, tmp_path):
     assert len(extended) == 148 + 64 and extended[84:88] == b"DX10" and extended[128] == 99
     levels.where("level = 0").write.format("textures").options(format="astc", width=300, height=5).mode("append").save(f"{tmp_path}/t.astc")
     assert open(f"{tmp_path}/t.astc", "rb").read() == bytes([0x13, 0xAB, 0xA1, 0x5C, 4, 4, 1, 44, 1, 0, 5, 0, 0, 1, 0, 0]) + b"a" * 32
+
+
+def _scene(w, h, t=0):
+    y, x = np.mgrid[0:h, 0:w]
+    r = np.random.default_rng(t)
+    base = np.stack([x * 2 + t * 3, y * 3, (x + y) * 2, np.full_like(x, 255)], 2) % 256
+    return np.clip(base + r.integers(0, 4, base.shape), 0, 255).astype(np.uint8)
+
+
+def test_mips():
+    grey = np.zeros((2, 2, 4), np.uint8)
+    grey[:, 1, :3] = 255
+    grey[..., 3] = 255
+    assert texture.mip(grey)[0, 0].tolist() == [128, 128, 128, 255] and texture.mip(grey, True)[0, 0].tolist() == [188, 188, 188, 255]
+    for v in range(256):
+        assert (texture.mip(np.full((2, 2, 4), v, np.uint8), True) == v).all()
+    assert (texture.mip(np.full((3, 5, 4), 77, np.uint8)) == 77).all() and texture.mip(np.full((3, 5, 4), 77, np.uint8)).shape == (1, 2, 4)
+    column = np.arange(8, dtype=np.uint8).reshape(8, 1, 1)
+    assert texture.mip(column)[:, 0, 0].tolist() == [1, 3, 5, 7]
+
+
+@pytest.mark.parametrize(("kind", "least"), [("BC1", 30), ("BC4", 32), ("BC7", 34), ("ASTC", 32)])
+def test_texture_job(known, tmp_path, kind, least):
+    import zlib
+
+    from blockwright.functions import astc, bc7
+    from blockwright.plans import jobs
+
+    image = _scene(67, 45)
+    rows = [(1, 67, 45, image.tobytes()), (2, 8, 8, b"too short"), (3, 1, 1, bytes([10, 200, 30, 255]))]
+    images = known.createDataFrame(rows, "image_id int, width int, height int, rgba binary")
+    got = {(r["image_id"], r["level"]): r for r in jobs.texture_levels(images, kind).collect()}
+    assert sorted(got) == [(1, k) for k in range(7)] + [(3, 0)]
+    assert all(len(r["data"]) == -(-r["width"] // 4) * -(-r["height"] // 4) * (8 if kind in ("BC1", "BC4") else 16) for r in got.values())
+    data = bytes(got[1, 0]["data"])
+    channels = 1 if kind == "BC4" else 3
+
+    def shown(d):
+        if kind in ("BC1", "BC4"):
+            return (texture.decode_colour(d, 67, 45)[:, :, :3] if kind == "BC1" else texture.decode_channel(d, 67, 45)[:, :, None]).astype(np.uint8)
+        px = (bc7 if kind == "BC7" else astc).decode(d)
+        return np.stack([texture.image_of(px[:, :, k], 67, 45) for k in range(3)], 2)
+
+    assert texture.psnr(shown(data), image[:, :, :channels]) > least
+    if kind in ("BC1", "BC4"):
+        less = bytes(jobs.texture_levels(images, kind, mips=False, price=60.0).where("image_id = 1").first()["data"])
+        assert len(zlib.compress(texture.split(less, kind))) < 0.95 * len(zlib.compress(texture.split(data, kind))) and texture.psnr(shown(less), image[:, :, :channels]) > 26
+    if kind == "BC1":
+        jobs.texture_levels(images, "BC1").where("image_id = 1").select("level", "data").write.format("textures").options(format="BC1", width=67, height=45).mode("append").save(f"{tmp_path}/t.dds")
+        assert os.path.getsize(f"{tmp_path}/t.dds") == 128 + sum(len(r["data"]) for k, r in got.items() if k[0] == 1)
+
+
+def test_clip_jobs(known, tmp_path):
+    from blockwright.plans import jobs
+
+    frames = []
+    for i in range(12):
+        y = _scene(72, 40, i // 2)[:, :, 0]
+        frames.append((0, i, y.tobytes(), *(np.full((20, 36), 100 + i, np.uint8).tobytes() for _ in "uv")))
+    raw = known.createDataFrame(frames, "clip long, frame_no long, y binary, u binary, v binary").repartition(3)
+    path, other = f"{tmp_path}/a.clip", f"{tmp_path}/b.clip"
+    coded = jobs.encode_clips(raw, 72, 40, 85, 5)
+    coded.select("frame_no", "packet", "is_key").write.format("clips").options(width=72, height=40, rate=25).mode("append").save(path)
+    c = containers.read_clip(open(path, "rb").read())
+    assert [i for i, p in enumerate(c.packets) if p[2]] == [0, 5, 10]
+    jobs.transcode(known, path, other, 60, 4)
+    for p, least in ((path, 34), (other, 28)):
+        packets = known.read.format("clips").load(p).select(F.lit(0).cast("long").alias("clip"), "frame_no", F.col("data").alias("packet"), "is_key")
+        shown = {r["frame_no"]: np.frombuffer(bytes(r["y"]), np.uint8) for r in jobs.decode_packets(packets, 72, 40).collect()}
+        assert len(shown) == 12 and all(texture.psnr(shown[i], np.frombuffer(f[2], np.uint8)) > least for i, f in enumerate(frames))
+    assert os.path.getsize(other) < os.path.getsize(path)
+    broken = bytearray(open(path, "rb").read())
+    broken[c.packets[6][0] + 1] ^= 255
+    open(path, "wb").write(bytes(broken))
+    with pytest.raises(Exception):
+        jobs.transcode(known, path, f"{tmp_path}/never.clip", 60)
+    assert sorted(os.listdir(tmp_path)) == ["a.clip", "b.clip"]
