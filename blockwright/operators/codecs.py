@@ -87,11 +87,11 @@ def parse_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ways = [lz.write(raw, p) for p in (lz.sequences(raw), parse.skipping(raw), parse.lazy(raw), parse.cheapest(raw))]
         if any(lz.decode(w, len(raw)) != raw for w in ways):
             raise CorruptData("a parse does not decode")
-        return len(raw), *map(len, ways), len(entropy.encode(raw)), len(entropy3.encode(raw, parse.repriced(raw)))
+        return len(raw), *map(len, ways), len(entropy.encode(raw)), len(entropy3.encode(raw, parse.repriced(raw))), len(entropy3.encode(raw, parse.arrivals(raw), commands=True))
 
     rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
-    out = map_bytes(rows, "key", "text", sizes, "raw long, greedy long, skipping long, lazy long, cheapest long, entropy2 long, entropy3 long")
-    return out.select("key.conv_id", "key.turn", "raw", "greedy", "skipping", "lazy", "cheapest", "entropy2", "entropy3", "error")
+    out = map_bytes(rows, "key", "text", sizes, "raw long, greedy long, skipping long, lazy long, cheapest long, entropy2 long, entropy3 long, arrivals long")
+    return out.select("key.conv_id", "key.turn", "raw", "greedy", "skipping", "lazy", "cheapest", "entropy2", "entropy3", "arrivals", "error")
 
 
 def match_table(spark: SparkSession, sf_dir: str) -> DataFrame:

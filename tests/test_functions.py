@@ -510,3 +510,27 @@ def test_turbo_near_offsets_in_table_commands():
             first = literals[:16] * 3
             second = literals[16:32] * 3
             assert turbo.decode(block, 136) == first + second + literals[32:]
+
+
+def test_arrivals_make_use_of_repeat_offsets():
+    r = random.Random(12)
+    records = b"".join(b"id=%d;x=%d;name=%s\n" % (i, r.randrange(9), r.choice([b"ann", b"bob", b"cy"])) for i in range(90))
+    prices = parse.Prices()
+    for data in (b"", b"a", b"abcd" * 9, records, _mixed(13, 150)):
+        cost = []
+        for keep in (1, 2, 4, 16):
+            way = parse.arrivals(data, 16, prices, keep)
+            assert sum(n + m for n, m, _ in way) == len(data) and lz.decode(lz.write(data, way), len(data)) == data
+            assert entropy3.decode(entropy3.encode(data, iter(way), commands=keep > 2), len(data)) == data
+            cost.append(parse.parse_price(data, way, prices))
+        assert cost[-1] <= cost[0] and cost[-1] <= parse.parse_price(data, list(parse.lazy(data)), prices)
+    best = parse.parse_price(records, parse.arrivals(records, 16, prices, 16), prices)
+    assert best < 0.97 * parse.parse_price(records, parse.cheapest(records, 16, prices), prices)
+
+
+def test_parse_price_by_hand():
+    data = b"abcdefgh" + b"abcdefgh" + b"xy" + b"abcdefgh" + b"tail of the data"
+    way = [(8, 8, 8), (2, 8, 10), (16, 0, 0)]
+    p = parse.Prices()
+    assert parse.parse_price(data, way, p) == 26 * 128 + 2 * 128 + 2 * 256
+    assert parse.parse_price(data, [(8, 8, 8), (2, 4, 10), (0, 4, 10), (16, 0, 0)], p) == 26 * 128 + 3 * 128 + 2 * 256 + parse.REPEAT
