@@ -112,6 +112,68 @@ def put_levels(levels: np.ndarray) -> bytes:
     return bytes(out) + b"\x80"
 
 
+def token_bits(run: np.ndarray, level: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """Bits of a run and a level by what each byte of the coefficient stream costs; long ones take two more bytes."""
+    short = (run < 8) & (np.abs(level) <= 8)
+    byte = np.where(short, np.clip(run, 0, 7) << 4 | np.where(level < 0, level + 8, level + 7) & 15, 0x81 + run)
+    return costs[byte] + np.where(short, 0, 16)
+
+
+def rated(coefs: np.ndarray, step: np.ndarray, price: float, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(levels, price) of blocks of coefficients (n, 64): the least of squared error and ``price`` for each bit.
+
+    From the last coefficient to the first, each level may fall by one or to nothing (whose run then joins the next one's); at last
+    a block may be dropped. All blocks take each step together.
+    """
+    size = np.abs(coefs / step)[:, ZIGZAG]
+    sign = np.where(coefs[:, ZIGZAG] < 0, -1, 1)
+    worth = np.broadcast_to(np.asarray(step, np.float64) ** 2, coefs.shape)[:, ZIGZAG]
+    level = np.minimum(np.rint(size), 32767).astype(np.int64)
+    nothing = (size**2 * worth).sum(1)
+    place = np.arange(64)
+    before = np.maximum.accumulate(np.where(level > 0, place, -1), axis=1)
+    before = np.concatenate([np.full((len(level), 1), -1), before[:, :-1]], 1)  # the last level before each place, not yet touched
+    following = np.full(len(level), 64)
+    rows = np.arange(len(level))
+    for k in range(63, -1, -1):
+        now = level[:, k]
+        if not now.any():
+            continue
+        has = following < 64
+        at = np.minimum(following, 63)
+        after = sign[rows, at] * level[rows, at]
+        rest = lambda run: np.where(has, token_bits(np.clip(run, 0, 62), after, costs), 0.0)
+        run = k - before[:, k] - 1
+        best, chosen = None, now
+        for option in (now, now - 1, np.zeros_like(now)):
+            bits = np.where(option > 0, token_bits(run, sign[:, k] * option, costs) + rest(following - k - 1), rest(following - before[:, k] - 1))
+            total = (size[:, k] - option) ** 2 * worth[:, k] + price * bits
+            if best is None:
+                best = total
+            else:
+                win = (total < best) & (option >= 0)
+                best, chosen = np.where(win, total, best), np.where(win, option, chosen)
+        level[:, k] = np.where(now > 0, chosen, 0)
+        following = np.where(level[:, k] > 0, k, following)
+    last = np.maximum.accumulate(np.where(level > 0, place, -1), axis=1)
+    run = place - np.concatenate([np.full((len(level), 1), -1), last[:, :-1]], 1) - 1
+    bits = np.where(level > 0, token_bits(run, sign * level, costs), 0.0).sum(1) + costs[0x80]
+    total = ((size - level) ** 2 * worth).sum(1) + price * bits
+    dropped = total >= nothing
+    level[dropped] = 0
+    out = np.zeros_like(level)
+    out[:, ZIGZAG] = sign * level
+    return out, np.where(dropped, nothing, total)
+
+
+def learned(costs: np.ndarray, stream: bytes) -> np.ndarray:
+    """Bits of each byte by how often a stream has it, from 1 to 16; a stream too short to tell changes nothing."""
+    if len(stream) < 64:
+        return costs
+    n = np.bincount(np.frombuffer(stream, np.uint8), minlength=256)
+    return np.clip(np.where(n > 0, np.log2(len(stream) / np.maximum(n, 1)), np.log2(len(stream)) + 2), 1, 16)
+
+
 def take_levels(src: bytes, at: int) -> tuple[list[tuple[int, int]], int]:
     """((place, level) of a block, next position)."""
     out, place = [], 0
@@ -171,6 +233,10 @@ def take_stream(method: int, data: bytes, raw: int) -> bytes:
     raise CorruptData("stream of an unknown method or size")
 
 
+#: Price of a bit in squared steps of predicted blocks.
+LAMBDA = 0.12
+
+
 @dataclass
 class Frame:
     """Parsed macroblocks of a frame: modes, vectors, and the coded blocks' levels."""
@@ -193,6 +259,8 @@ class Session:
             raise ValueError("sizes are even, from 2 to 16384")
         self.cols, self.rows = -(-self.width // 16), -(-self.height // 16)
         self.number = 0
+        #: Bits of each byte of the coefficient stream, learned from the frame before; the encoder's alone.
+        self.costs = np.full(256, 6.0)
 
     def grid(self) -> tuple[np.ndarray, np.ndarray]:
         i = np.arange(self.cols * self.rows)
@@ -339,21 +407,23 @@ class Session:
         chroma = [p.reshape(self.rows, 8, self.cols, 8).swapaxes(1, 2).reshape(n, 1, 8, 8) for p in src[1:]]
         px = np.concatenate([luma, *chroma], 1).astype(np.int64)
         own = np.stack([step[0]] * 4 + [step[1]] * 2)
-        quantise = lambda residual, s: np.rint(forward(residual.reshape(-1, 8, 8)).reshape(n, 6, 64) / s).astype(np.int64)
-        price = 0.2 * float(step[2].mean()) ** 2
+        price = LAMBDA * float(step[2].mean()) ** 2
 
-        def cost(levels: np.ndarray, s: np.ndarray, pred: np.ndarray) -> np.ndarray:
-            back = np.clip(pred + inverse(levels.reshape(-1, 64), np.broadcast_to(s, levels.shape).reshape(-1, 64)).reshape(n, 6, 8, 8), 0, 255)
-            return ((back - px) ** 2).sum((1, 2, 3)) + price * ((levels != 0).sum((1, 2)) * 6 + 8)
+        def quantise(residual: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(levels, price of each macroblock)."""
+            flat_step = np.broadcast_to(s, (n, 6, 64)).reshape(-1, 64)
+            levels, total = rated(forward(residual.reshape(-1, 8, 8)), flat_step, price, self.costs)
+            return levels.reshape(n, 6, 64), total.reshape(n, 6).sum(1)
 
-        flat = np.full_like(px, 128)
-        f = Frame(np.full(n, INTRA), np.zeros((n, 2), np.int64), quantise(px - flat, own))
+        alone, alone_price = quantise(px - 128, own)
+        f = Frame(np.full(n, INTRA), np.zeros((n, 2), np.int64), alone)
         if not key:
             v = self.search(src[0], reach, float(step[2].mean()))
             zero = self.predictions(np.zeros_like(v))
-            moved = self.predictions(v)
-            inter = quantise(px - moved, step[2])
-            costs = np.stack([((zero - px) ** 2).sum((1, 2, 3)) + price, cost(inter, step[2], moved) + 2 * price, cost(f.levels, own, flat)])
+            inter, inter_price = quantise(px - self.predictions(v), step[2])
+            left = np.where((np.arange(n) % self.cols > 0)[:, None], np.roll(v, 1, 0), 0)
+            vector_bits = np.where(v == left, 2, 6 + np.abs(v - left).clip(0, 10)).sum(1)
+            costs = np.stack([((zero - px) ** 2).sum((1, 2, 3)) + price, inter_price + price * (3 + vector_bits), alone_price + price * 6])
             f.modes = costs.argmin(0)
             f.levels = np.where((f.modes == SKIP)[:, None, None], 0, np.where((f.modes == INTER)[:, None, None], inter, f.levels))
             f.vectors = np.where((f.modes == INTER)[:, None], v, 0)
@@ -376,4 +446,5 @@ class Session:
         head = struct.pack("<2scBHH4B6I", MAGIC, b"I" if key else b"P", quality, self.width, self.height, *(m for m, _ in packed), VERSION, *sizes)
         self.planes = self.rebuild(f, step)
         self.number += 1
+        self.costs = learned(self.costs, streams[2])
         return head + bytes([slices]) + table + b"".join(c for _, c in packed)

@@ -22,12 +22,25 @@ def _blocks(image: np.ndarray) -> np.ndarray:
     return np.stack([texture.blocks_of(image[:, :, k]) for k in range(image.shape[2])], 2)
 
 
+def _channel(image: np.ndarray, k: int, price: float) -> bytes:
+    return texture.cheaper(texture.encode_channel(image[:, :, k]), image[:, :, k : k + 1], "BC4", price)
+
+
+def _colour(image: np.ndarray, price: float) -> bytes:
+    return texture.cheaper(texture.encode_colour(image[:, :, :3]), image, "BC1", price)
+
+
+def _beside(first: bytes, second: bytes) -> bytes:
+    """Blocks of 16 bytes from two halves."""
+    return np.hstack([np.frombuffer(x, np.uint8).reshape(-1, 8) for x in (first, second)]).tobytes()
+
+
 #: Blocks of an RGBA image by format; the last argument is the price of a byte in squared error (0: none).
 ENCODERS: dict[str, Callable[[np.ndarray, float], bytes]] = {
-    "BC1": lambda image, price: texture.cheaper(texture.encode_colour(image[:, :, :3]), image, "BC1", price),
-    "BC3": lambda image, price: texture.encode_colour_alpha(image),
-    "BC4": lambda image, price: texture.cheaper(texture.encode_channel(image[:, :, 0]), image, "BC4", price),
-    "BC5": lambda image, price: texture.encode_two(image),
+    "BC1": _colour,
+    "BC3": lambda image, price: _beside(_channel(image, 3, price), _colour(image, price)),
+    "BC4": lambda image, price: _channel(image, 0, price),
+    "BC5": lambda image, price: _beside(_channel(image, 0, price), _channel(image, 1, price)),
     "BC6H": lambda image, price: hdr.encode(_blocks(image[:, :, :3] / 255.0)),
     "BC7": lambda image, price: bc7.encode(_blocks(image)),
     "ASTC": lambda image, price: astc.encode(_blocks(image)),

@@ -534,3 +534,56 @@ def test_parse_price_by_hand():
     p = parse.Prices()
     assert parse.parse_price(data, way, p) == 26 * 128 + 2 * 128 + 2 * 256
     assert parse.parse_price(data, [(8, 8, 8), (2, 4, 10), (0, 4, 10), (16, 0, 0)], p) == 26 * 128 + 3 * 128 + 2 * 256 + parse.REPEAT
+
+
+def test_rated_levels():
+    r = np.random.default_rng(6)
+    coefs = r.laplace(0, 12, (200, 64)) * np.linspace(3, 0.2, 64)[np.argsort(video.ZIGZAG)]
+    step, costs = np.full((1, 64), 10.0), np.full(256, 6.0)
+    plain = np.rint(coefs / step).astype(np.int64)
+
+    def total(levels, price):
+        bits = sum(costs[list(video.put_levels(x))].sum() if x.any() else 0.0 for x in levels)
+        return ((coefs - levels * step) ** 2).sum() + price * bits, bits
+
+    for price in (0.0, 12.0, 60.0):
+        got, own = video.rated(coefs, step, price, costs)
+        assert (np.abs(got) <= np.abs(plain)).all() and total(got, price)[0] <= total(plain, price)[0] + 1e-6
+        assert price or (got == plain).all()
+    assert total(got, 60.0)[1] < 0.8 * total(plain, 60.0)[1]
+    again = video.learned(costs, bytes([3]) * 900 + bytes(range(100)))
+    assert again[3] == 1 and again[200] > 9 and (video.learned(costs, b"short") == costs).all()
+
+
+def test_rate_choices_save_bits_at_equal_quality():
+    y = np.add.outer(np.arange(64) * 3, np.arange(96) * 2)
+    r = np.random.default_rng(2)
+    clip = [[np.clip(np.roll(y, 3 * t, 1) % 230 + r.integers(0, 9, y.shape), 0, 255).astype(np.uint8), *(np.full((32, 48), 120, np.uint8) for _ in "uv")] for t in range(5)]
+
+    def run(quality):
+        enc, dec, size, quality_ = video.Session(96, 64), video.Session(96, 64), 0, []
+        for f in clip:
+            packet = enc.encode(f, quality, interval=5)
+            shown = dec.decode(packet)
+            assert all((a == b).all() for a, b in zip(shown, enc.visible(), strict=True))
+            size += len(packet)
+            quality_.append(texture.psnr(shown[0], f[0]))
+        return size, np.mean(quality_)
+
+    before, video.LAMBDA = video.LAMBDA, 0.0
+    try:
+        plain = run(60)
+    finally:
+        video.LAMBDA = before
+    ours = [run(q) for q in (60, 64, 68, 72, 76)]
+    assert ours[0][0] < plain[0] and min(s for s, q in ours if q >= plain[1] - 0.05) < plain[0]
+
+
+def test_two_halves_are_the_plain_blocks_without_a_price():
+    from blockwright.plans import jobs
+
+    y, x = np.mgrid[0:18, 0:22]
+    image = (np.stack([x * 9, y * 11, x * y, 255 - x * 7], 2) % 256).astype(np.uint8)
+    assert jobs.ENCODERS["BC3"](image, 0.0) == texture.encode_colour_alpha(image) and jobs.ENCODERS["BC5"](image, 0.0) == texture.encode_two(image)
+    less = jobs.ENCODERS["BC5"](image, 50.0)
+    assert texture.decode_two(less, 22, 18).shape == (18, 22, 2) and less != texture.encode_two(image)
