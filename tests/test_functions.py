@@ -587,3 +587,23 @@ def test_two_halves_are_the_plain_blocks_without_a_price():
     assert jobs.ENCODERS["BC3"](image, 0.0) == texture.encode_colour_alpha(image) and jobs.ENCODERS["BC5"](image, 0.0) == texture.encode_two(image)
     less = jobs.ENCODERS["BC5"](image, 50.0)
     assert texture.decode_two(less, 22, 18).shape == (18, 22, 2) and less != texture.encode_two(image)
+
+
+def test_prices_by_region():
+    r = random.Random(15)
+    text, digits = _mixed(16, 900), bytes(r.choice(b"0123456789") for _ in range(6000))
+    data = text + digits
+    way = list(parse.lazy(data))
+    size = len(text)
+    first, second = (parse.region_prices(data, way, size) + [None])[:2]
+    assert first.literal[ord("e")] < second.literal[ord("e")] and second.literal[ord("7")] < first.literal[ord("7")]
+    whole = parse.prices_of(data, way)
+    assert second.literal[48:58].mean() <= whole.literal[48:58].mean()
+    ours = parse.cheapest(data, 16, parse.region_prices(data, way, size), size)
+    assert lz.decode(lz.write(data, ours), len(data)) == data
+    assert parse.region_prices(b"", [(0, 0, 0)])[0].literal[0] == 128
+    pixels = bytes((i // 3 * 7 + (i % 3) * 50 + r.randrange(2)) & 255 for i in range(6000))
+    strided = [(3, 4, 3)] + [(60, 4, 3)] * ((len(pixels) - 7) // 64)
+    rest = len(pixels) - sum(n + m for n, m, _ in strided)
+    assert parse.delta_regions(pixels, [*strided, (rest, 0, 0)], 3000) == [True, True]
+    assert not any(parse.delta_regions(text, list(parse.lazy(text)), 2000))
