@@ -596,7 +596,8 @@ def raw_scores(docs: DataFrame, model: Model, text: str, key: str, curve: bool =
                         yield done(*held)
                     now, held = to, None
                 if kind == 2:
-                    held = tx.unpack(payload)
+                    keys, n, total = tx.unpack(payload)
+                    held = keys, n, total.copy()  # what is unpacked may be read-only
                 elif held is None:
                     raise RuntimeError("an answer for a chunk that is not there")
                 else:

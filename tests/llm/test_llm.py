@@ -418,6 +418,18 @@ def test_toxicity_is_kneser_ney(spark, monkeypatch, head):
         assert got[i] == pytest.approx(x, abs=2e-5)
 
 
+def test_toxicity_of_single_documents(spark, monkeypatch):
+    """A chunk may hold one document, and all that it asks for may be far away."""
+    monkeypatch.setattr(toxicity, "HEAD", 0)
+    rows = [(i, "vile scum here" if i % 3 == 0 else "kind words there") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    m = toxicity.fit_counts(d, d.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic"), "text", "doc_id", "toxic")
+    want = brute_kneser_ney([(t, i % 3 == 0) for i, t in rows], ["vile words", "kind scum here"])
+    for text, x in zip(("vile words", "kind scum here"), want, strict=True):
+        got = toxicity.raw_scores(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1), m, "text", "doc_id").collect()
+        assert len(got) == 1 and got[0]["raw"] == pytest.approx(x, abs=2e-5)
+
+
 def test_toxicity_curve_never_falls():
     x, y = toxicity.rising(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 3, 1, 9, 9]), np.array([10.0, 10, 10, 10, 10]))
     assert len(x) == 3 and (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and y[0] < 0.05 and y[-1] > 0.8
