@@ -157,6 +157,26 @@ def test_jaccard_join_counts_every_link(spark, monkeypatch, block):
     assert sum(got.values()) > 4 * len(rows)  # far more than a tree of links
 
 
+def test_jaccard_join_large_component(spark, monkeypatch):
+    """Many different near copies: blocks meet, every link is counted, and another group that shares a passage stays apart."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 100)
+    rs = random.Random(18)
+    base, other = rs.choices(VOCAB, k=90), rs.choices(VOCAB, k=30)
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rs.randint(0, 3)):
+            w[rs.randrange(90)] = rs.choice(VOCAB) + str(rs.randrange(50))
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(base[:25] + other + rs.choices(VOCAB, k=2))) for i in range(20)]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert {(k, c) for k, (c, _) in got.items()} == {(k, c) for k, _, c in brute_components(rows)}
+    sets = {k: frozenset(shingles(t)) for k, t in rows}
+    other_sets = set(sets.values())
+    links = {a: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in other_sets) for a in other_sets}
+    assert {k: n for k, (_, n) in got.items()} == {k: links[a] for k, a in sets.items()}
+
+
 def test_trie_visits_every_link():
     rs = random.Random(3)
     seqs = [np.array(sorted(rs.sample(range(30), rs.randint(1, 20)))) for _ in range(80)]
