@@ -12,9 +12,10 @@ discounted and interpolated with the next lower one, and only the two highest or
 
 where Z_c(v) = sum over w of S2(w | v) r_c(w) keeps the backoff a distribution (a unigram-rescaled backoff). The shared
 orders use Ney's estimate of the discount. The class orders discount a count n of class c by DISCOUNT + LIFT * n' * share(c),
-n' the count in both classes and share(c) the class's share of all words: a class keeps of its own what exceeds LIFT
+n' the count in both classes and share(c) the class's share of all words, and keep KEEP of what is left: a class keeps a part of its own where it exceeds LIFT
 times its share of the shared count, and all the rest, so every rare expression and every one that both classes use alike, backs off
-to the shared counts, from which it gets the same probability in both. No expression is left out of any count.
+to the shared counts, from which it gets the same probability in both. No expression is left out of any count. A small KEEP
+makes what a class prefers weigh by how much it prefers it, and keeps small what Z takes from the other words, which differs by subject and language.
 
 A text's raw score is its log-likelihood ratio, sum of log P_toxic - log P_ordinary, over the number of its words and END.
 A monotone curve, fitted on a fold of the labelled documents that the counts leave out, turns it into 0 to 1.
@@ -48,9 +49,11 @@ from blockwright.llm import text as tx
 from blockwright.llm.labelled import maybe_labelled
 from blockwright.session import bound_batches, shared_folder
 
-#: What a class's counts lose: DISCOUNT, and LIFT times the class's share of the count in both.
-DISCOUNT = 2.0
-LIFT = 2.0
+#: What a class's counts lose: DISCOUNT, LIFT times the class's share of the count in both (less if that comes more than half-way to all
+#: that the smaller class can have), and all but KEEP of the rest.
+DISCOUNT = 1.0
+LIFT = 5.0
+KEEP = 1 / 32
 #: Most words, and most pairs, that are broadcast.
 HEAD = 1 << 18
 #: Bits of the map that spares keys without a value the exchange.
@@ -62,7 +65,7 @@ HOLD = 4 << 20
 SALT = 4
 #: Bins of raw scores for fitting the curve.
 BINS = 8000
-SPAN = 2.0
+SPAN = 0.125
 #: Score without a model.
 LOW_SCORE = 0.02
 
@@ -261,13 +264,14 @@ class Law:
     def __init__(self, sums: dict[str, float]):
         self.n = np.array([sums["n_t"], sums["n_o"]])
         self.share = self.n / self.n.sum()
+        self.lift = min(LIFT, (1 + 1 / self.share.min()) / 2)
         self.types, self.contexts = sums["types"], sums["cont"]
         self.d0, self.d1, self.d2 = ney(sums["c1"], sums["c2"]), ney(sums["w1"], sums["w2"]), ney(sums["p1"], sums["p2"])
         self.free = np.ones(2)
 
     def excess(self, c: np.ndarray) -> np.ndarray:
         """What the classes keep of their counts."""
-        return np.maximum(c - DISCOUNT - LIFT * c.sum(1)[:, None] * self.share, 0)
+        return KEEP * np.maximum(c - DISCOUNT - self.lift * c.sum(1)[:, None] * self.share, 0)
 
     def words(self, own: np.ndarray, cont: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(S1, r of both classes) of words with these counts and contexts."""
