@@ -1,19 +1,25 @@
-"""Containers as Spark data sources: the directory is read on the driver, payloads by tasks, a few blocks each; sinks likewise.
+"""Containers as Spark data sources: the driver looks at directories to deal them out, tasks read their own part of a directory and
+its payloads; sinks likewise.
 
 ``register(spark)`` makes these formats known: ``frames`` (blocks), ``archives`` (files), ``clips`` (packets), ``records`` (raw
 frames or images of a fixed size), and, to write only, ``textures`` (levels). No task holds more than one block, file,
-packet or record at a time, and a container is never held whole: a sink's tasks write what they code to parts beside the target,
-and the commit puts header, directory and parts together in order, as a stream, under another name that is then renamed.
-A failed job leaves neither parts nor target. Paths are opened through Arrow's file systems (local, HDFS, S3, GCS).
+packet or record at a time and what it reads ahead, and a container is never held whole: a sink's tasks write what they code to parts
+beside the target, each with an index in sorted runs, and the commit merges the runs and puts header, directory and parts together in
+order, as a stream, under another name that is then renamed. The driver holds a few numbers for each task and run, never a row for
+each piece. A failed job leaves neither parts nor target. Paths are opened through Arrow's file systems (local, HDFS, S3, GCS).
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import pickle
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyarrow import fs as afs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +27,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from blockwright.functions import CorruptData, containers, frame, texture
 
-#: Bytes that a task of a source reads, if its pieces are small; bytes that are copied at a time.
-TASK_BYTES = 32 << 20
-COPY = 8 << 20
+#: Bytes and pieces that a task of a source reads; bytes that are copied at a time, and that are read ahead.
+TASK_BYTES, TASK_PIECES = 32 << 20, 1 << 18
+COPY, AHEAD = 8 << 20, 1 << 20
+#: Pieces of a sorted run of a part's index, and of what is read of it at a time; directory entries that are looked at together.
+RUN, CHUNK, LOOK = 1 << 16, 1 << 10, 1 << 16
 
 
 def _open(path: str) -> tuple[afs.FileSystem, str]:
@@ -42,49 +50,77 @@ def _files(path: str) -> list[tuple[str, int]]:
 
 @dataclass
 class Pieces(InputPartition):
-    """Pieces of one file: rows without their payload, where that lies, and how many bytes it has."""
+    """Pieces of one file of so many bytes: those numbered from ``first`` up to ``end``."""
 
     file: str
-    rows: list[tuple]
-    places: list[tuple[int, int]]
+    size: int
+    first: int
+    end: int
 
-    def __init__(self, file: str, rows: list[tuple], places: list[tuple[int, int]]):
-        self.file, self.rows, self.places = file, rows, places
+    def __init__(self, file: str, size: int, first: int, end: int):
+        self.file, self.size, self.first, self.end = file, size, first, end
+
+
+def _cuts(sizes: Iterator[np.ndarray], most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of pieces; each but the last reaches ``most`` bytes or TASK_PIECES pieces."""
+    first = at = held = 0
+    for n in sizes:
+        i, total = 0, np.cumsum(n)
+        while i < len(n):
+            gone = int(total[i - 1]) if i else 0
+            j = min(int(np.searchsorted(total, gone + most - held)) + 1, i + TASK_PIECES - (at + i - first))
+            if j > len(n):
+                held += int(total[-1]) - gone
+                break
+            yield first, at + j
+            first, i, held = at + j, j, 0
+        at += len(n)
+    if first < at:
+        yield first, at
+
+
+class _Ahead:
+    """Reads of a file that mostly go forward, a piece at a time."""
+
+    def __init__(self, f):
+        self.f, self.at, self.data = f, 0, b""
+
+    def __call__(self, at: int, n: int) -> bytes:
+        i = at - self.at
+        if i < 0 or i + n > len(self.data):
+            self.at, self.data, i = at, self.f.read_at(max(n, AHEAD), at), 0
+        return self.data[i : i + n]
 
 
 class _Reader(DataSourceReader):
-    """Reads directories on the driver and payloads in tasks."""
+    """Deals directories out on the driver; tasks read their part of one and its payloads.
+
+    ``look(read, size)`` gives the sizes of all pieces of a file of ``size`` bytes, some at a time; ``rows(read, size, a, b)`` gives
+    (row without payload, (place, size)) of those numbered a to b.
+    """
 
-    def __init__(self, options: dict, look, finish):
+    def __init__(self, options: dict, look: Callable, rows: Callable, finish: Callable):
         self.path, self.payload = options["path"], str(options.get("payload", "true")).lower() == "true"
         self.task_bytes = int(options.get("taskbytes", options.get("taskBytes", TASK_BYTES)))
-        self.look, self.finish = look, finish
+        self.look, self.rows, self.finish = look, rows, finish
 
     def partitions(self) -> list[InputPartition]:
         system, _ = _open(self.path)
         out: list[InputPartition] = []
         for name, size in _files(self.path):
             with system.open_input_file(name) as f:
-                rows, places, held = [], [], 0
-                for row, place in self.look(lambda at, n, f=f: f.read_at(n, at), size):
-                    rows.append(row)
-                    places.append(place)
-                    held += place[1]
-                    if held >= self.task_bytes:
-                        out.append(Pieces(name, rows, places))
-                        rows, places, held = [], [], 0
-                if rows:
-                    out.append(Pieces(name, rows, places))
+                out += [Pieces(name, size, a, b) for a, b in _cuts(self.look(lambda at, n, f=f: f.read_at(n, at), size), self.task_bytes)]
         return out
 
     def read(self, partition: Pieces) -> Iterator[tuple]:
         system, _ = _open(self.path)
         with system.open_input_file(partition.file) as f:
-            for row, (at, size) in zip(partition.rows, partition.places, strict=True):
+            payload = _Ahead(f)
+            for row, (at, size) in self.rows(lambda at, n: f.read_at(n, at), partition.size, partition.first, partition.end):
                 data, error = None, None
                 if self.payload:
                     try:
-                        data = self.finish(row, f.read_at(size, at))
+                        data = self.finish(row, payload(at, size))
                     except CorruptData as e:
                         error = str(e)
                 yield (partition.file, *row, data, error)
@@ -92,10 +128,11 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """A part and its pieces: (order, what the directory needs, place, size)."""
+    """A part, the runs of its index (first and last order, place, number of chunks), and sums over its pieces (see ``count``)."""
 
     part: str
-    pieces: list[tuple] = field(default_factory=list)
+    runs: list[tuple] = field(default_factory=list)
+    sums: list[int] = field(default_factory=list)
 
 
 class _Writer(DataSourceWriter):
@@ -112,42 +149,91 @@ class _Writer(DataSourceWriter):
         """(order, what the directory needs, payload)."""
         raise NotImplementedError
 
-    def layout(self, pieces: list[tuple]) -> Iterator[bytes | tuple]:
-        """The file from its start: bytes, or pieces (order, directory, part, place, size) to be copied."""
+    def count(self, order: tuple, directory: tuple, size: int) -> tuple[int, ...]:
+        """What ``layout`` needs the sums of over all pieces."""
+        return 1, size
+
+    def layout(self, pieces: Callable[[], Iterator[tuple]], sums: list[int]) -> Iterator[bytes | tuple]:
+        """The file from its start: bytes, or pieces (order, directory, part, place, size) to be copied. ``pieces`` goes over all in order."""
         raise NotImplementedError
 
     def write(self, iterator: Iterator[Row]) -> Written:
         system, _ = _open(self.path)
         system.create_dir(self.parts, recursive=True)
-        out, at = Written(f"{self.parts}/{uuid.uuid4().hex}"), 0
-        with system.open_output_stream(out.part) as f:
-            for row in iterator:
-                order, directory, data = self.code(row)
-                f.write(data)
-                out.pieces.append((order, directory, at, len(data)))
-                at += len(data)
+        out, at, index_at, waiting, held = Written(f"{self.parts}/{uuid.uuid4().hex}"), 0, 0, [], 0
+        with system.open_output_stream(out.part) as f, system.open_output_stream(f"{out.part}.index") as g:
+            while run := list(itertools.islice(map(self.code, iterator), RUN)):
+                entries = []
+                for order, directory, data in run:
+                    entries.append((order, directory, at, len(data)))
+                    at += len(data)
+                    waiting.append(data)
+                    held += len(data)
+                    if held >= AHEAD:
+                        f.write(b"".join(waiting))
+                        waiting, held = [], 0
+                counted = [sum(x) for x in zip(*(self.count(o, d, n) for o, d, _, n in entries), strict=True)]
+                out.sums = [a + b for a, b in zip(out.sums, counted, strict=True)] if out.sums else counted
+                entries.sort(key=lambda e: e[0])
+                chunks = [pickle.dumps(entries[i : i + CHUNK]) for i in range(0, len(entries), CHUNK)]
+                out.runs.append((entries[0][0], entries[-1][0], index_at, len(chunks)))
+                for c in chunks:
+                    g.write(len(c).to_bytes(8, "little") + c)
+                    index_at += 8 + len(c)
+            f.write(b"".join(waiting))
         return out
 
+    def _run(self, part: str, place: int, chunks: int) -> Iterator[tuple]:
+        system, _ = _open(self.path)
+        with system.open_input_file(f"{part}.index") as f:
+            for _ in range(chunks):
+                n = int.from_bytes(f.read_at(8, place), "little")
+                for order, directory, at, size in pickle.loads(f.read_at(n, place + 8)):
+                    yield order, directory, part, at, size
+                place += 8 + n
+
+    def _merged(self, messages: list[Written]) -> Iterator[tuple]:
+        """All pieces in order; runs that follow one another are read one after the other, only others side by side."""
+        lines: list[tuple[tuple, list]] = []
+        for first, last, part, place, chunks in sorted((*r[:2], m.part, *r[2:]) for m in messages for r in m.runs):
+            free = lines and lines[0][0] < first
+            heapq.heapreplace(lines, (last, [*lines[0][1], (part, place, chunks)])) if free else heapq.heappush(lines, (last, [(part, place, chunks)]))
+        streams = [itertools.chain.from_iterable(self._run(*r) for r in own) for _, own in lines]
+        before = None
+        for p in streams[0] if len(streams) == 1 else heapq.merge(*streams):
+            if p[0] == before:
+                raise ValueError(f"two pieces are called {before}")
+            before = p[0]
+            yield p
+
     def commit(self, messages: list[Written]) -> None:
         system, at = _open(self.path)
         try:
-            pieces = sorted((o, d, m.part, p, n) for m in messages if m for o, d, p, n in m.pieces)
-            for a, b in zip(pieces, pieces[1:], strict=False):
-                if a[0] == b[0]:
-                    raise ValueError(f"two pieces are called {a[0]}")
+            messages = [m for m in messages if m and m.runs]
+            sums = [sum(x) for x in zip(*(m.sums for m in messages), strict=True)]
             whole = f"{self.parts}/whole"
             system.create_dir(self.parts, recursive=True)
             with system.open_output_stream(whole) as out:
-                handle, name = None, None
-                for x in self.layout(pieces):
+                handle, name, first, end = None, None, 0, 0
+
+                def copy() -> None:
+                    for a in range(first, end, COPY):
+                        out.write(handle.read_at(min(COPY, end - a), a))
+
+                for x in self.layout(lambda: self._merged(messages), sums):
                     if isinstance(x, bytes):
+                        copy()
+                        first = end
                         out.write(x)
                         continue
                     _, _, part, place, size = x
-                    if part != name:
-                        handle, name = system.open_input_file(part), part
-                    for a in range(place, place + size, COPY):
-                        out.write(handle.read_at(min(COPY, place + size - a), a))
+                    if part != name or place != end or end - first >= COPY:
+                        copy()
+                        if part != name:
+                            handle, name = system.open_input_file(part), part
+                        first = place
+                    end = place + size
+                copy()
             if system.get_file_info(at).type == afs.FileType.File:
                 system.delete_file(at)
             system.move(whole, at)
@@ -160,6 +246,12 @@ class _Writer(DataSourceWriter):
             system.delete_dir(self.parts)
 
 
+def _packed(entries: Iterator[bytes]) -> Iterator[bytes]:
+    """Small entries, some together."""
+    while some := list(itertools.islice(entries, LOOK)):
+        yield b"".join(some)
+
+
 class Frames(DataSource):
     """Blocks of frames. To write: rows of (block_no, data), each but the last of the option ``block`` bytes; ``methods`` by number."""
 
@@ -171,15 +263,20 @@ class Frames(DataSource):
         return "path string, block_no long, version int, method int, filtered boolean, start long, end long, raw_len long, data binary, error string"
 
     def reader(self, schema) -> DataSourceReader:
-        def look(read, size: int) -> Iterator[tuple]:
+        def index(read, size: int) -> tuple:
             head = read(0, 16)
             blocks = -(-int.from_bytes(head[8:16], "little") // max(int.from_bytes(head[4:8], "little"), 1)) if len(head) == 16 else 0
-            table = head + read(16, min(8 * blocks, size))
-            version, _, found = frame.index_of(table, size, lambda at: read(at, 1)[0])
-            for b in found:
-                yield (b.number, version, b.method, b.filtered, b.start, b.end, b.raw_len), (b.start, b.end - b.start)
+            return frame.index_of(head + read(16, min(8 * blocks, size)), size, lambda at: read(at, 1)[0])
 
-        return _Reader(self.options, look, lambda row, data: frame.decode_block(data, row[6], row[1]))
+        def look(read, size: int) -> Iterator[np.ndarray]:
+            yield np.array([b.end - b.start for b in index(read, size)[2]], np.int64)
+
+        def rows(read, size: int, a: int, b: int) -> Iterator[tuple]:
+            version, _, found = index(read, size)
+            for x in found[a:b]:
+                yield (x.number, version, x.method, x.filtered, x.start, x.end, x.raw_len), (x.start, x.end - x.start)
+
+        return _Reader(self.options, look, rows, lambda row, data: frame.decode_block(data, row[6], row[1]))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _FrameWriter(self.options, overwrite)
@@ -195,12 +292,24 @@ class _FrameWriter(_Writer):
         data = bytes(row["data"] or b"")
         return (row["block_no"],), (len(data),), frame.encode_block(data, methods, 2 if methods else 1)
 
-    def layout(self, pieces: list[tuple]) -> Iterator[bytes | tuple]:
+    def count(self, order: tuple, directory: tuple, size: int) -> tuple[int, ...]:
+        return 1, directory[0]
+
+    def layout(self, pieces: Callable[[], Iterator[tuple]], sums: list[int]) -> Iterator[bytes | tuple]:
         block = int(self.options.get("block", frame.BLOCK))
-        if [p[0][0] for p in pieces] != list(range(len(pieces))) or any(p[1][0] != block for p in pieces[:-1]) or pieces and pieces[-1][1][0] > block:
-            raise ValueError("blocks must be numbered from 0 and full but for the last")
-        yield frame.header(block, sum(p[1][0] for p in pieces), [p[4] for p in pieces], 2 if _methods(self.options) else 1)
-        yield from pieces
+        blocks, raw = sums or (0, 0)
+
+        def ends() -> Iterator[bytes]:
+            at = 0
+            for i, p in enumerate(pieces()):
+                if p[0][0] != i or p[1][0] > block or p[1][0] != block and i < blocks - 1:
+                    raise ValueError("blocks must be numbered from 0 and full but for the last")
+                at += p[4]
+                yield at.to_bytes(8, "little")
+
+        yield frame.header(block, raw, [], 2 if _methods(self.options) else 1)
+        yield from _packed(ends())
+        yield from pieces()
 
 
 class Archives(DataSource):
@@ -214,13 +323,26 @@ class Archives(DataSource):
         return "path string, i long, name string, offset long, stored_size long, raw_size long, data binary, error string"
 
     def reader(self, schema) -> DataSourceReader:
-        def look(read, size: int) -> Iterator[tuple]:
-            toc = int.from_bytes(read(0, containers.ARCHIVE_HEADER)[16:24], "little")
-            directory = read(min(toc, size), max(size - toc, 0))
-            for i, f in enumerate(containers.archive_directory(read(0, containers.ARCHIVE_HEADER), directory, size)):
-                yield (i, f.name, f.offset, f.stored_size, f.raw_size), (f.offset, f.stored_size)
-
-        return _Reader(self.options, look, lambda row, data: frame.decode(data))
+        def entries(read, size: int, a: int, b: int) -> np.ndarray:
+            head = read(0, containers.ARCHIVE_HEADER)
+            count, toc, names = containers.archive_places(head, size)
+            return containers.archive_slice(read(toc + a * containers.ENTRY, (min(b, count) - a) * containers.ENTRY), toc, size - names)
+
+        def look(read, size: int) -> Iterator[np.ndarray]:
+            count, _, _ = containers.archive_places(read(0, containers.ARCHIVE_HEADER), size)
+            for a in range(0, count, LOOK):
+                yield entries(read, size, a, a + LOOK)["stored"].astype(np.int64)
+
+        def rows(read, size: int, a: int, b: int) -> Iterator[tuple]:
+            _, _, names = containers.archive_places(read(0, containers.ARCHIVE_HEADER), size)
+            for c in range(a, b, LOOK):
+                own = entries(read, size, c, min(c + LOOK, b))
+                low = int(own["name_at"].min())
+                text = read(names + low, int((own["name_at"].astype(np.int64) + own["name_len"]).max()) - low)
+                for i, (at, stored, raw, name, n) in enumerate(own.tolist(), c):
+                    yield (i, text[name - low : name - low + n].decode("utf-8", "replace"), at, stored, raw), (at, stored)
+
+        return _Reader(self.options, look, rows, lambda row, data: frame.decode(data))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _ArchiveWriter(self.options, overwrite)
@@ -232,27 +354,38 @@ class _ArchiveWriter(_Writer):
         data = bytes(row["data"] or b"")
         return (row["name"].encode(), row["block_no"]), (len(data),), frame.encode_block(data, methods, 2 if methods else 1) if data else b""
 
-    def layout(self, pieces: list[tuple]) -> Iterator[bytes | tuple]:
+    def count(self, order: tuple, directory: tuple, size: int) -> tuple[int, ...]:
+        first = order[1] == 0
+        return int(first), len(order[0]) if first else 0, size, int(directory[0] > 0)
+
+    def layout(self, pieces: Callable[[], Iterator[tuple]], sums: list[int]) -> Iterator[bytes | tuple]:
         block, version = int(self.options.get("block", frame.BLOCK)), 2 if _methods(self.options) else 1
-        files: dict[bytes, list[tuple]] = {}
-        for p in pieces:
-            files.setdefault(p[0][0], []).append(p)
-        entries, at, heads = [], containers.ARCHIVE_HEADER, {}
-        for name, own in files.items():
-            full = [p for p in own if p[1][0]]
-            if [p[0][1] for p in own] != list(range(len(own))) or any(p[1][0] != block for p in own[:-1]) or own[-1][1][0] > block:
-                raise ValueError(f"blocks of {name.decode()} must be numbered from 0 and full but for the last")
-            raw = sum(p[1][0] for p in full)
-            heads[name] = frame.header(block, raw, [p[4] for p in full], version)
-            size = len(heads[name]) + sum(p[4] for p in full)
-            entries.append((name, at, size, raw))
-            at += size
-        directory = containers.archive_entries(entries)
-        yield containers.archive_header(len(entries), at, len(directory))
-        for name, own in files.items():
-            yield heads[name]
-            yield from (p for p in own if p[1][0])
-        yield directory
+        count, names, stored, full_blocks = sums or (0, 0, 0, 0)
+
+        def files() -> Iterator[tuple[bytes, list[tuple], bytes, int, int]]:
+            """(name, blocks, header, stored size, raw size), a file at a time."""
+            for name, own in itertools.groupby(pieces(), key=lambda p: p[0][0]):
+                own = list(own)
+                if [p[0][1] for p in own] != list(range(len(own))) or any(p[1][0] != block for p in own[:-1]) or own[-1][1][0] > block:
+                    raise ValueError(f"blocks of {name.decode()} must be numbered from 0 and full but for the last")
+                full = [p for p in own if p[1][0]]
+                raw = sum(p[1][0] for p in full)
+                head = frame.header(block, raw, [p[4] for p in full], version)
+                yield name, full, head, len(head) + sum(p[4] for p in full), raw
+
+        def entries() -> Iterator[bytes]:
+            at, name_at = containers.ARCHIVE_HEADER, 0
+            for name, _, _, size, raw in files():
+                yield struct.pack("<QQQII", at, size, raw, name_at, len(name))
+                at, name_at = at + size, name_at + len(name)
+
+        heads = count * len(frame.header(block, 0, [], version)) + 8 * full_blocks
+        yield containers.archive_header(count, containers.ARCHIVE_HEADER + heads + stored, count * containers.ENTRY + names)
+        for _, full, head, _, _ in files():
+            yield head
+            yield from full
+        yield from _packed(entries())
+        yield from _packed(name for name, *_ in files())
 
 
 class Clips(DataSource):
@@ -266,14 +399,22 @@ class Clips(DataSource):
         return "path string, frame_no long, offset long, size long, is_key boolean, width int, height int, fps double, data binary, error string"
 
     def reader(self, schema) -> DataSourceReader:
-        def look(read, size: int) -> Iterator[tuple]:
-            head = read(0, containers.CLIP_HEADER)
-            at = containers.clip_index_place(head, size)
-            c = containers.clip_directory(head, read(at, size - at), size)
-            for i, (o, n, k) in enumerate(c.packets):
-                yield (i, o, n, k, c.width, c.height, c.rate[0] / c.rate[1]), (o, n)
-
-        return _Reader(self.options, look, lambda row, data: data)
+        def look(read, size: int) -> Iterator[np.ndarray]:
+            c, count, index_at = containers.clip_head(read(0, containers.CLIP_HEADER), size)
+            for a in range(0, count, LOOK):
+                part = containers.clip_slice(read(index_at + a * containers.FRAME_ENTRY, min(LOOK, count - a) * containers.FRAME_ENTRY), index_at)
+                if not a and not part["flags"][0] & 1:
+                    raise CorruptData("the first packet is no keyframe")
+                yield part["size"].astype(np.int64)
+
+        def rows(read, size: int, a: int, b: int) -> Iterator[tuple]:
+            c, _, index_at = containers.clip_head(read(0, containers.CLIP_HEADER), size)
+            for k in range(a, b, LOOK):
+                part = containers.clip_slice(read(index_at + k * containers.FRAME_ENTRY, (min(k + LOOK, b) - k) * containers.FRAME_ENTRY), index_at)
+                for i, (o, n, flags) in enumerate(part.tolist(), k):
+                    yield (i, o, n, bool(flags & 1), c.width, c.height, c.rate[0] / c.rate[1]), (o, n)
+
+        return _Reader(self.options, look, rows, lambda row, data: data)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _ClipWriter(self.options, overwrite)
@@ -283,16 +424,19 @@ class _ClipWriter(_Writer):
     def code(self, row: Row) -> tuple[tuple, tuple, bytes]:
         return (row["frame_no"],), (bool(row["is_key"]),), bytes(row["packet"])
 
-    def layout(self, pieces: list[tuple]) -> Iterator[bytes | tuple]:
+    def layout(self, pieces: Callable[[], Iterator[tuple]], sums: list[int]) -> Iterator[bytes | tuple]:
         num, _, den = str(self.options.get("rate", "30")).partition("/")
-        packets, at = [], containers.CLIP_HEADER
-        for p in pieces:
-            packets.append((at, p[4], p[1][0]))
-            at += p[4]
-        head, index = containers.clip_frame(packets, int(self.options["width"]), int(self.options["height"]), (int(num), int(den or 1)), int(self.options.get("tag", 0)), at, int(self.options.get("interval", 0)))
-        yield head
-        yield from pieces
-        yield index
+        count, stored = sums or (0, 0)
+        yield containers.clip_header(count, int(self.options["width"]), int(self.options["height"]), (int(num), int(den or 1)), int(self.options.get("tag", 0)), containers.CLIP_HEADER + stored, int(self.options.get("interval", 0)))
+        yield from pieces()
+
+        def index() -> Iterator[bytes]:
+            at = containers.CLIP_HEADER
+            for p in pieces():
+                yield struct.pack("<QII", at, p[4], int(p[1][0]))
+                at += p[4]
+
+        yield from _packed(index())
 
 
 class Records(DataSource):
@@ -312,11 +456,15 @@ class Records(DataSource):
         if size < 1:
             raise ValueError("records need a size")
 
-        def look(read, length: int) -> Iterator[tuple]:
-            for i in range(length // size):
+        def look(read, length: int) -> Iterator[np.ndarray]:
+            for a in range(0, length // size, LOOK):
+                yield np.full(min(LOOK, length // size - a), size, np.int64)
+
+        def rows(read, length: int, a: int, b: int) -> Iterator[tuple]:
+            for i in range(a, b):
                 yield (i,), (i * size, size)
 
-        return _Reader(self.options, look, lambda row, data: data)
+        return _Reader(self.options, look, rows, lambda row, data: data)
 
 
 class Textures(DataSource):
@@ -337,7 +485,8 @@ class _TextureWriter(_Writer):
     def code(self, row: Row) -> tuple[tuple, tuple, bytes]:
         return (row["level"],), (), bytes(row["data"])
 
-    def layout(self, pieces: list[tuple]) -> Iterator[bytes | tuple]:
+    def layout(self, pieces: Callable[[], Iterator[tuple]], sums: list[int]) -> Iterator[bytes | tuple]:
+        pieces = list(pieces())  # a row for each level
         kind, w, h = str(self.options["format"]), int(self.options["width"]), int(self.options["height"])
         if kind == "astc":
             if len(pieces) != 1:

@@ -169,3 +169,25 @@ def test_clip_jobs(known, tmp_path):
     with pytest.raises(Exception):
         jobs.transcode(known, path, f"{tmp_path}/never.clip", 60)
     assert sorted(os.listdir(tmp_path)) == ["a.clip", "b.clip"]
+
+
+def test_the_driver_holds_no_row_for_each_piece(known, tmp_path):
+    import pickle
+    import random
+
+    from pyspark.sql import Row
+
+    path, n = f"{tmp_path}/many.clip", 200_000
+    numbers = list(range(n))
+    random.Random(3).shuffle(numbers)
+    w = datasource.Clips({"path": path, "width": "64", "height": "48"}).writer(None, False)
+    said = [w.write(iter([Row(frame_no=i, packet=b"%d" % i, is_key=i % 50 == 0) for i in part])) for part in (numbers[: n // 3], numbers[n // 3 :])]
+    assert len(pickle.dumps(said)) < 10_000
+    w.commit(said)
+    assert os.listdir(tmp_path) == ["many.clip"]
+    src = open(path, "rb").read()
+    assert [(src[o : o + k], key) for o, k, key in containers.read_clip(src).packets] == [(b"%d" % i, i % 50 == 0) for i in range(n)]
+    r = datasource.Clips({"path": path, "taskBytes": "300000"}).reader(None)
+    dealt = r.partitions()
+    assert len(pickle.dumps([(p.file, p.size, p.first, p.end) for p in dealt])) < 10_000 and len(dealt) == 4
+    assert [(x[1], x[8]) for p in dealt for x in r.read(p)] == [(i, b"%d" % i) for i in range(n)]
