@@ -13,9 +13,9 @@ FIRST_FRAME = 32
 
 
 def archive_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table of contents of an archive of all pages: entries in bytewise name order with running offsets."""
-    e = table(spark, sf_dir, "pages").select(F.col("url").alias("name"), F.octet_length("html").cast("long").alias("raw_size"), F.octet_length("url").cast("long").alias("name_length"), F.lit(1).cast("long").alias("one"))
-    r = global_running(e, ["name"], {"raw_size": "end_offset", "name_length": "name_end", "one": "rank"})
+    """Table of contents of an archive of all pages: entries in bytewise name order with running offsets, equal names by ``page_id``."""
+    e = table(spark, sf_dir, "pages").select(F.col("url").alias("name"), F.octet_length("html").cast("long").alias("raw_size"), F.octet_length("url").cast("long").alias("name_length"), F.lit(1).cast("long").alias("one"), "page_id")
+    r = global_running(e, ["name", "page_id", "raw_size"], {"raw_size": "end_offset", "name_length": "name_end", "one": "rank"})
     return r.select((F.col("rank") - 1).alias("i"), "name", "raw_size", (F.col("end_offset") - F.col("raw_size") + FIRST_FRAME).alias("offset"), (F.col("name_end") - F.col("name_length")).alias("name_offset"), "name_length")
 
 
