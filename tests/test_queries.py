@@ -196,3 +196,29 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT bw_code_lengths(ascii(c)) AS l FROM (SELECT explode(split('aaab', '')) AS c)").first()["l"][97] == 1
     assert spark.sql("SELECT count(*) AS n, sum(raw_len) AS s FROM given, LATERAL bw_frame_blocks(bw_frame(d)) WHERE k = 1").first() == (1, len(data))
     assert spark.sql("SELECT * FROM given, LATERAL bw_archive_entries(d)").count() == 0 and frame.index(frame.encode(data))[1] == len(data)
+
+
+def _against_sql(spark, name, sf, **tables):
+    """A query against its SQL over given parquet tables."""
+    c = duckdb.connect()
+    for t in tables:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet/*.parquet')")
+    got, want = catalog.queries()[name](spark, str(sf)).toPandas(), c.execute(catalog.oracle_sql()[name]).df()
+    assert sorted(map(repr, rows(got))) == sorted(map(repr, rows(want)))
+
+
+@pytest.mark.parametrize("name", ["roundtrip_frame", "roundtrip_plain"])
+def test_repeated_keys_empty_and_null_texts(spark, tmp_path, name):
+    long = "many words and " * 3000
+    docs = spark.createDataFrame([(1, "one"), (1, "two"), (2, long), (2, long), (3, ""), (4, None), (None, "x"), (None, "y")], "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    _against_sql(spark, name, tmp_path, documents=docs)
+
+
+def test_equal_names_in_the_table_of_contents(spark, tmp_path):
+    got = []
+    for k, order in enumerate((1, -1)):
+        pages = [(i, f"u{i % 3}", "h" * (i * 7 % 11)) for i in range(60)][::order]
+        spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3 + k).write.parquet(f"{tmp_path}/{k}/pages.parquet")
+        got.append(sorted(map(tuple, catalog.queries()["archive_toc"](spark, f"{tmp_path}/{k}").collect())))
+    assert got[0] == got[1] and [r[2] for r in got[0]] == [i * 7 % 11 for k in range(3) for i in range(k, 60, 3)]
