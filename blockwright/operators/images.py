@@ -5,6 +5,10 @@ Images come from ``embeddings`` (a vector is a row of 64 pixels) and ``lineitem`
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,42 @@ _PIXELS = """px AS (SELECT y, x, f, CAST(greatest(0, least(255, floor((f + 1) *
   FROM (SELECT vec_id AS y, unnest(range(0, len(embedding))) AS x, CAST(unnest(embedding) AS DOUBLE) AS f FROM embeddings))"""
 
 
+def search_rows(spark: SparkSession, sf_dir: str, row: Callable[[Column], Column], first: Callable[[Column], Column], last: Callable[[Column], Column], best: Callable, schema: str) -> DataFrame:
+    """What ``best(row, own, reference)`` finds for each row of blocks, where own and reference are lists of (y, 8-bit pixels): rows of the
+    image go to the row of blocks ``row(y)`` that they belong to, and to those from ``first(y)`` to ``last(y)`` that look for matches in
+    them. So a row travels a few times as it is, instead of once for each pixel and displacement."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.transform("embedding", lambda f: quantise(f.cast("double"))).alias("v")).where("y is not null and v is not null")
+    y = F.col("y")
+    places = F.concat(F.array(F.struct(row(y).cast("long").alias("row"), F.lit(True).alias("own"))), F.transform(F.sequence(first(y).cast("long"), last(y).cast("long")), lambda r: F.struct(r.alias("row"), F.lit(False).alias("own"))))
+    groups = e.select("y", "v", F.explode(places).alias("p")).groupBy(F.col("p.row").alias("row")).agg(F.collect_list(F.struct(F.col("p.own").alias("own"), "y", "v")).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part, out = b.slice(at, 256), []
+                for k, rows in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    own, ref = ([(r["y"], np.array(r["v"], np.int64)) for r in rows if r["own"] is side] for side in (True, False))
+                    out += best(k, own, ref) if own and ref else []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return groups.mapInArrow(run, schema)
+
+
+def moved_differences(v: np.ndarray, r: np.ndarray, moves: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(absolute differences, number of pixels) by displacement and block of a row and a reference row, whose coordinates are clamped to
+    the image's width; pixels that a short reference lacks don't count."""
+    at = np.clip(np.arange(len(v)) + moves[:, None], 0, WIDTH - 1)
+    there = at < len(r)
+    d = np.where(there, np.abs(v - r[np.minimum(at, len(r) - 1)]), 0)
+    starts = np.arange(0, len(v), block)
+    return np.add.reduceat(d, starts, axis=1), np.add.reduceat(there.astype(np.int64), starts, axis=1)
+
+
 def mip_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next smaller 8-bit level: rounded means of 2 x 2 pixels; an odd last row or column is dropped."""
     p = _pixels(spark, sf_dir)
@@ -67,16 +107,24 @@ SELECT y, sse, round(CASE WHEN sse = 0 THEN 99.0::DOUBLE ELSE 10 * log10(65025.0
 def sad_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best horizontal displacement (-4 to 4) of each block of 16 pixels within the row before, by absolute differences.
 
-    Each block meets nine displacements by equality on the row and the pixel, not a cross join; ties go to the shorter,
-    then the smaller displacement.
+    Ties go to the shorter, then the smaller displacement.
     """
-    p = _pixels(spark, sf_dir).select("y", "x", "v")
-    moved = p.select("y", "x", "v", F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("d"))
-    moved = moved.select((F.col("y") - 1).alias("py"), F.greatest(F.lit(0), F.least(F.lit(WIDTH - 1), F.col("x") + F.col("d"))).alias("px"), "y", "x", "v", "d")
-    ref = p.select(F.col("y").alias("py"), F.col("x").alias("px"), F.col("v").alias("r"))
-    cost = moved.join(ref, ["py", "px"]).groupBy("y", F.floor(F.col("x") / 16).alias("block"), "d").agg(F.sum(F.abs(F.col("v") - F.col("r")).cast("long")).alias("sad"))
-    best = cost.groupBy("y", "block").agg(F.min(F.struct("sad", F.abs("d").alias("far"), "d")).alias("b"))
-    return best.select("y", "block", F.col("b.d").alias("d"), F.col("b.sad").alias("sad"))
+    moves = np.arange(-4, 5)
+
+    def best(y: int, own: list, ref: list) -> list[tuple]:
+        total: dict[int, list[np.ndarray]] = {}
+        for _, v in own:
+            for _, r in ref:
+                if len(v) and len(r):
+                    sad, n = moved_differences(v, r, moves, 16)
+                    for k in range(sad.shape[1]):
+                        t = total.setdefault(k, [np.zeros(9, np.int64), np.zeros(9, np.int64)])
+                        t[0] += sad[:, k]
+                        t[1] += n[:, k]
+        found = [(k, min((int(sad[i]), abs(int(d)), int(d)) for i, d in enumerate(moves) if n[i])) for k, (sad, n) in total.items() if n.any()]
+        return [(y, k, d, sad) for k, (sad, _, d) in found]
+
+    return search_rows(spark, sf_dir, lambda y: y, lambda y: y + 1, lambda y: y + 1, best, "y long, block long, d int, sad long")
 
 
 SAD_SEARCH = f"""WITH {_PIXELS}, m AS (SELECT y, x, v, CAST(d AS INTEGER) AS d, greatest(0, least(63, x + d)) AS rx FROM px CROSS JOIN range(-4, 5) AS t(d)),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from blockwright.functions import columns as C
 from blockwright.functions.astc import HASH_STEPS, SPREADS, two_means
-from blockwright.operators.images import _PIXELS, _pixels, psnr_of
+from blockwright.operators.images import _PIXELS, WIDTH, _pixels, moved_differences, psnr_of, search_rows
 from blockwright.session import table
 
 M32 = 0xFFFFFFFF
@@ -296,17 +296,43 @@ SELECT p AS packed, CAST(CASE WHEN b THEN 4 WHEN c & 7 = 5 THEN (c >> 3) & 3 ELS
 
 def motion_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best displacement (up to 2 rows and 4 columns) of each block of 8 x 8 pixels within the image 16 rows above: differences and
-    8 for each step away, so that ties go to the shorter one; then the smaller. Each block meets its displacements by equality of pixels.
+    8 for each step away, so that ties go to the shorter one; then the smaller.
     """
-    p = _pixels(spark, sf_dir).select("y", "x", "v")
-    moved = p.select("*", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("dy")).select("*", F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("dx"))
-    moved = moved.select((F.col("y") - 16 + F.col("dy")).alias("ry"), F.greatest(F.lit(0), F.least(F.lit(63), F.col("x") + F.col("dx"))).cast("long").alias("rx"), "y", "x", "v", "dx", "dy")
-    ref = p.select(F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("v").alias("r"))
-    block = [F.floor(F.col("y") / 8).alias("row"), F.floor(F.col("x") / 8).alias("col")]
-    cost = moved.join(ref, ["ry", "rx"]).groupBy(*block, "dy", "dx").agg(F.sum(F.abs(F.col("v") - F.col("r")).cast("long")).alias("sad"), F.count("*").alias("n")).where("n = 64")
-    price = F.col("sad") + 8 * (F.abs("dx") + F.abs("dy"))
-    best = cost.groupBy("row", "col").agg(F.min(F.struct(price.alias("cost"), "dy", "dx", "sad")).alias("b"))
-    return best.select("row", "col", "b.dy", "b.dx", "b.sad", "b.cost")
+    dy, dx = np.arange(-2, 3), np.arange(-4, 5)
+    price = 8 * (np.abs(dy)[:, None] + np.abs(dx))
+    at = np.clip(np.arange(WIDTH) + dx[:, None], 0, WIDTH - 1)
+
+    def best(row: int, own: list, ref: list) -> list[tuple]:
+        below, above = dict(own), dict(ref)
+        if len(below) == len(own) and len(above) == len(ref) and all(len(v) == WIDTH for _, v in (*own, *ref)):
+            if len(own) < 8:
+                return []
+            now = np.stack([below[8 * row + i] for i in range(8)])
+            lines = np.stack([above.get(8 * row - 18 + i, np.zeros(WIDTH, np.int64)) for i in range(12)])
+            there = np.array([8 * row - 18 + i in above for i in range(12)])
+            whole = np.array([there[k : k + 8].all() for k in range(5)])
+            moved = np.stack([lines[k : k + 8] for k in range(5)])[:, :, at]
+            sad = np.abs(moved - now[None, :, None, :]).reshape(5, 8, 9, WIDTH // 8, 8).sum((1, 4))
+            n = np.broadcast_to(np.where(whole, 64, 0)[:, None, None], sad.shape)
+        else:  # rows that are missing pixels or occur twice: each meets each
+            cols = -(-max(len(v) for _, v in own) // 8)
+            sad, n = np.zeros((5, 9, cols), np.int64), np.zeros((5, 9, cols), np.int64)
+            for y, v in own:
+                for k in range(5):
+                    for z, r in ref:
+                        if z == y - 16 + dy[k] and len(v) and len(r):
+                            d, m = moved_differences(v, r, dx, 8)
+                            sad[k, :, : d.shape[1]] += d
+                            n[k, :, : d.shape[1]] += m
+        cost = np.where(n == 64, sad + price[:, :, None], np.iinfo(np.int64).max).reshape(45, -1)
+        out = []
+        for col, i in enumerate(cost.argmin(0).tolist()):
+            if n[i // 9, i % 9, col] == 64:
+                out.append((row, col, int(dy[i // 9]), int(dx[i % 9]), int(sad[i // 9, i % 9, col]), int(cost[i, col])))
+        return out
+
+    first, last = (lambda y: F.ceil((y + 7) / 8)), (lambda y: F.floor((y + 18) / 8))
+    return search_rows(spark, sf_dir, lambda y: F.floor(y / 8), first, last, best, "row long, col long, dy int, dx int, sad long, cost long")
 
 
 MOTION_SEARCH = f"""WITH {_PIXELS}, m AS (SELECT y, x, v, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, y - 16 + dy AS ry, greatest(0, least(63, x + dx)) AS rx FROM px, range(-2, 3) AS a(dy), range(-4, 5) AS b(dx)),

@@ -222,3 +222,46 @@ def test_equal_names_in_the_table_of_contents(spark, tmp_path):
         spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3 + k).write.parquet(f"{tmp_path}/{k}/pages.parquet")
         got.append(sorted(map(tuple, catalog.queries()["archive_toc"](spark, f"{tmp_path}/{k}").collect())))
     assert got[0] == got[1] and [r[2] for r in got[0]] == [i * 7 % 11 for k in range(3) for i in range(k, 60, 3)]
+
+
+@pytest.mark.parametrize("name", ["motion_search", "sad_search"])
+def test_block_searches_over_odd_rows_and_without_a_row_for_each_pixel(spark, tmp_path, name):
+    import random
+
+    r = random.Random(5)
+    line = lambda n: [r.choice([None, -2.0, 0.1, 0.5]) if r.random() < 0.05 else r.uniform(-1, 1) for _ in range(n)]
+    odd = [(y, line(64)) for y in range(0, 90) if y not in (13, 40)] + [(50, line(64)), (50, line(64)), (60, line(70)), (None, line(64)), (91, None), (92, [])]
+    odd = [(y, v[: r.choice((20, 61, 70))] if v and y is not None and y > 76 else v) for y, v in odd]
+    spark.createDataFrame(odd, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    _against_sql(spark, name, tmp_path, embeddings=odd)
+    plan = catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_strings_are_counted_by_number():
+    from collections import Counter
+
+    import numpy as np
+
+    from blockwright.operators.matching import _packed, _strings
+
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 300)))
+    for texts in (["abcabcabcabc", "", "short", "éèabcabcabc", "żółćżółćżółć", "12345678"], ["xabcdefgh", wide + "😀😀😀😀😀😀😀😀😀", "abcdefgh"], ["", "a"], ["abcdefg", "hijklmn"]):
+        codes, count = _strings(texts)
+        got = {"".join(map(chr, c)): n for c, n in zip(codes.tolist(), count.tolist(), strict=True)}
+        assert got == Counter(t[i : i + 8] for t in texts for i in range(len(t) - 7))
+        packed = [bytes(x) for _, k in _packed(codes) for x in k.to_pylist()]
+        assert len(set(packed)) == len(got) and sorted(np.concatenate([w for w, _ in _packed(codes)] or [np.zeros(0)]).tolist()) == list(range(len(got)))
+
+
+def test_kernels_are_dealt_to_all_cores(spark, tmp_path):
+    from blockwright.session import spread
+
+    spark.range(200_000).selectExpr("id", "cast(id as string) as text").coalesce(1).write.option("parquet.block.size", 1 << 30).parquet(f"{tmp_path}/t")
+    with_many = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        sizes = spread(spark.read.parquet(f"{tmp_path}/t")).rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_many)
+    assert len(sizes) == 4 * spark.sparkContext.defaultParallelism and max(sizes) < 2 * 200_000 / len(sizes)
