@@ -167,26 +167,59 @@ d AS (SELECT CAST((o.v - coalesce(q.v, 0)) & 255 AS INTEGER) AS delta FROM o LEF
 SELECT delta, count(*) AS n FROM d GROUP BY delta"""
 
 
+#: Characters whose strings are counted together before they are exchanged.
+COUNTED = 2 << 20
+
+
+def _strings(texts: list[str], width: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of the distinct strings of ``width`` characters of some texts, how often each occurs)."""
+    cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    n = len(cp) - width + 1
+    if n <= 0:
+        return np.zeros((0, width), np.uint32), np.zeros(0, np.int64)
+    own = np.ones(n, bool)
+    across = (np.cumsum([len(t) for t in texts])[:, None] - np.arange(1, width)).ravel()
+    own[across[(across >= 0) & (across < n)]] = False
+    seen = np.zeros(int(cp.max()) + 1, bool)
+    seen[cp] = True
+    letters = np.flatnonzero(seen).astype(np.uint32)
+    if len(letters) > 256:
+        found, count = np.unique(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(cp, width)[own]).view(f"V{4 * width}").ravel(), return_counts=True)
+        return np.frombuffer(found.tobytes(), np.uint32).reshape(-1, width), count
+    # few letters, as nearly always: a string is a number of 64 bits
+    number = (np.cumsum(seen) - 1)[cp].astype(np.uint64)
+    key = np.sort(sum(number[i : i + n] << np.uint64(8 * i) for i in range(width))[own])
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return letters[key[at].astype("<u8").view(np.uint8).reshape(-1, width)], np.diff(np.r_[at, len(key)])
+
+
+def _packed(codes: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(which rows, their code points as bytes): one, two or four bytes each, as the largest of a row needs."""
+    largest = codes.max(1, initial=0)
+    for low, high, kind in ((0, 1 << 8, "u1"), (1 << 8, 1 << 16, "<u2"), (1 << 16, 1 << 32, "<u4")):
+        which = np.flatnonzero((largest >= low) & (largest < high))
+        if len(which):
+            data = codes[which].astype(kind)
+            places = np.arange(len(which) + 1, dtype=np.int32) * (data.itemsize * data.shape[1])
+            yield which, pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def kmer_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many 8-character strings of all documents occur how often; a batch counts its own before they are exchanged."""
+    """How many 8-character strings of all documents occur how often; those of some texts are counted before they are exchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pc.fill_null(b.column(0), "").to_pylist()
-            for lo in range(0, len(texts), 256):
-                part = texts[lo : lo + 256]
-                cp = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
-                ends = np.cumsum([len(t) for t in part])
-                if len(cp) < 8:
-                    continue
-                rows = np.lib.stride_tricks.sliding_window_view(cp, 8)
-                start = np.arange(len(rows))
-                own = np.searchsorted(ends, start, "right") == np.searchsorted(ends, start + 7, "right")
-                found = np.ascontiguousarray(rows[own]).view("V32").ravel()
-                k, n = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes().decode("utf-32-le") for x in k], pa.string()), pa.array(n, pa.int64())], ["k", "n"])
-
-    k = spread(table(spark, sf_dir, "documents").select("text")).mapInArrow(run, "k string, n bigint")
+            texts, some, held = pc.fill_null(b.column(0), "").to_pylist(), [], 0
+            for i, t in enumerate(texts):
+                some.append(t)
+                held += len(t)
+                if held >= COUNTED or i == len(texts) - 1:
+                    codes, count = _strings(some)
+                    for which, k in _packed(codes):
+                        yield pa.RecordBatch.from_arrays([k, pa.array(count[which], pa.int64())], ["k", "n"])
+                    some, held = [], 0
+
+    k = spread(table(spark, sf_dir, "documents").select("text")).mapInArrow(run, "k binary, n bigint")
     return k.groupBy("k").agg(F.sum("n").alias("freq")).groupBy("freq").agg(F.count("*").alias("kmers"))
 
 
