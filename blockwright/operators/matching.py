@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from blockwright.plans.running import global_running
 from blockwright.session import spread, table
 
 WINDOW = (1 << 23) - 1
@@ -234,19 +235,25 @@ REGION, SAVE_PERCENT = 128 << 10, 1
 def region_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences that are kept, with their literals: those of regions whose matches save less than a hundredth become literals
     of the next sequence that is kept. A match saves its bytes less those of its token, offset and length, in sixteenths of a bit.
+
+    Ends are running sums over ranges of the whole table, since there are few blocks. Regions ascend with the sequences of a block, so
+    what came before a sequence matters only for a region's first one: the end of the last region that was kept.
     """
-    w = Window.partitionBy("block").orderBy("seq", "l_suppkey", "off")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    o = _offsets(spark, sf_dir).withColumn("block", F.col("block") % 50).withColumn("ll", F.col("l_suppkey") * 300)
+    o = _offsets(spark, sf_dir).withColumn("block", F.col("block") % 50).withColumn("ll", (F.col("l_suppkey") * 300).cast("long"))
     # some blocks hardly repeat anything
-    o = o.withColumn("ml", 4 + F.col("ml") * (F.col("block") % 4)).withColumn("seq", F.row_number().over(Window.partitionBy("block").orderBy("seq", "l_suppkey", "off", "ml"))).withColumn("total", (F.col("ll") + F.col("ml")).cast("long"))
-    o = o.withColumn("end", F.sum("total").over(so_far)).withColumn("region", F.floor((F.col("end") - F.col("ml")) / REGION))
+    o = o.withColumn("ml", (4 + F.col("ml") * (F.col("block") % 4)).cast("long")).withColumn("total", F.col("ll") + F.col("ml")).withColumn("one", F.lit(1).cast("long"))
+    r = global_running(o, ["block", "seq", "l_suppkey", "off", "ml"], {"total": "upto", "one": "rank"}, o.count())
+    w = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    starts = o.groupBy("block").agg(F.sum("total").alias("total"), F.sum("one").alias("one"))
+    starts = starts.select("block", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("start"), F.coalesce(F.sum("one").over(w), F.lit(0)).alias("ranks"))
+    r = r.join(F.broadcast(starts), "block").select("block", (F.col("rank") - F.col("ranks")).cast("int").alias("seq"), "off", "ml", "ll", (F.col("upto") - F.col("start")).alias("end"))
+    r = r.withColumn("region", F.floor((F.col("end") - F.col("ml")) / REGION))
     saves = 128 * F.col("ml") - 128 * (1 + F.when(F.col("off") < 256, 1).when(F.col("off") < 65536, 2).otherwise(3)) - 128 * F.when(F.col("ml") >= 19, 1).otherwise(0)
-    kept = F.sum(saves.cast("long")).over(Window.partitionBy("block", "region")) >= REGION * 128 * SAVE_PERCENT // 100
-    o = o.withColumn("kept", kept)
-    # where the last sequence that is kept ended, everything since then is literals
-    before = F.coalesce(F.max(F.when(F.col("kept"), F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return o.withColumn("ll", F.col("end") - F.col("ml") - before).where("kept").select("block", "seq", "off", "ml", "region", "ll")
+    regions = r.groupBy("block", "region").agg(F.sum(saves.cast("long")).alias("saved"), F.max("end").alias("region_end"), F.min("seq").alias("first")).where(F.col("saved") >= REGION * 128 * SAVE_PERCENT // 100)
+    before = F.coalesce(F.lag("region_end").over(Window.partitionBy("block").orderBy("region")), F.lit(0))
+    kept = r.join(regions.select("block", "region", "first", before.alias("before")), ["block", "region"])
+    ll = F.when(F.col("seq") == F.col("first"), F.col("end") - F.col("ml") - F.col("before")).otherwise(F.col("ll"))
+    return kept.select("block", "seq", "off", "ml", "region", ll.alias("ll"))
 
 
 REGION_STORE = f"""WITH {_OFFSETS}, a AS (SELECT block % 50 AS block, row_number() OVER (PARTITION BY block % 50 ORDER BY seq, l_suppkey, off, ml) AS seq, l_suppkey, off, ml, l_suppkey * 300 AS ll FROM (SELECT block, seq, l_suppkey, off, CAST(4 + ml * (block % 50 % 4) AS BIGINT) AS ml FROM o)),

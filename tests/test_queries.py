@@ -265,3 +265,22 @@ def test_kernels_are_dealt_to_all_cores(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", with_many)
     assert len(sizes) == 4 * spark.sparkContext.defaultParallelism and max(sizes) < 2 * 200_000 / len(sizes)
+
+
+def test_region_store_has_no_window_over_a_block_of_sequences(spark):
+    plan = catalog.queries()["region_store"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line and "row_number" in line]
+    assert not windows
+
+
+def test_parses_are_dealt_to_all_cores(spark):
+    assert catalog.queries()["parse_sizes"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_set_of_tables_is_made_once(monkeypatch):
+    from blockwright.functions import entropy3, huffman
+
+    data, calls, lengths = b"".join(b"%d words of many kinds %d " % (i * i, i) for i in range(400)), [], huffman.lengths
+    monkeypatch.setattr(huffman, "lengths", lambda *a: calls.append(1) or lengths(*a))
+    coded = entropy3.encode(data)
+    assert entropy3.decode(coded, len(data)) == data and len(calls) < 100
