@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockwright.functions import registry
-from blockwright.session import shared_folder, table
+from blockwright.session import bound_batches, shared_folder, spread, table
 from blockwright.sources import datasource
 
 
 def sql_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message coded and decoded by SQL functions, by the method of its turn."""
     registry.register(spark)
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+    bound_batches(spark, 1 << 20)
+    rows = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")))
     method = F.element_at(F.array(*map(F.lit, ("plain", "lazy", "entropy", "entropy3", "turbo", "huffman"))), (F.pmod("turn", F.lit(6)) + 1).cast("int"))
     coded = rows.withColumn("method", method).withColumn("coded", F.call_function("bw_encode", F.col("raw"), F.col("method")))
     back = coded.withColumn("back", F.call_function("bw_decode", F.col("coded"), F.length("raw"), F.col("method")))

@@ -284,3 +284,14 @@ def test_a_set_of_tables_is_made_once(monkeypatch):
     monkeypatch.setattr(huffman, "lengths", lambda *a: calls.append(1) or lengths(*a))
     coded = entropy3.encode(data)
     assert entropy3.decode(coded, len(data)) == data and len(calls) < 100
+
+
+def test_sql_functions_get_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(64 << 20))
+        catalog.queries()["sql_round_trip"](spark, SF)
+        assert int(spark.conf.get(key).rstrip("b")) <= 1 << 20
+    finally:
+        spark.conf.set(key, before)
